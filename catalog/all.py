@@ -1,3 +1,4 @@
 """Imports every query module."""
 
 import catalog.detection  # noqa: F401
+import catalog.pipeline  # noqa: F401
