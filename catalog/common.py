@@ -8,6 +8,7 @@ from catalog import sql
 from veilscan.operators import findings as fo, govern
 from veilscan.operators.detect import ScanConfig, detect
 from veilscan.operators.findings import Suppression
+from veilscan.session import materialise
 from veilscan.sources import corpora
 
 CONFIG = ScanConfig(groups=("secrets", "pii"))
@@ -53,7 +54,9 @@ def baseline(found: DataFrame) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fo.apply_path_rules(aggregated(spark, sf_dir), SUPPRESSIONS)
+    """Findings with both flags. They are written once, as a store would hold them,
+    because the baseline and later joins read them again."""
+    found = materialise(fo.apply_path_rules(aggregated(spark, sf_dir), SUPPRESSIONS), "findings")
     return fo.apply_baseline(found, baseline(found))
 
 

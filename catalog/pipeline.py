@@ -11,6 +11,7 @@ from veilscan.operators import findings as fo, govern, rulesets
 from veilscan.operators.detect import ScanConfig, card_accepted, detect, secret_detections, run_detections
 from veilscan.operators.scrub import remaining_secrets, scrub_content
 from veilscan.plans.scan import ScanInputs, raw_findings, scan
+from veilscan.session import materialise
 from veilscan.sources import corpora, store as st
 
 q = sql.with_query
@@ -96,7 +97,7 @@ def _verifications(found):
     "coalesce(status = 'ACTIVE', false) AS verified FROM checked LEFT JOIN results USING (fingerprint)",
 ))
 def verify_and_escalate(spark, sf_dir):
-    found = common.raw(spark, sf_dir)
+    found = materialise(common.raw(spark, sf_dir), "raw")
     return fo.verify_and_escalate(found, _verifications(found)).select(
         "repo_id", "rule_id", "path", "line_no", "commit_id", "severity", "verified"
     )
@@ -115,7 +116,7 @@ def path_suppression_and_baseline(spark, sf_dir):
     common.FLAGGED, "SELECT repo_id, fingerprint, rule_id FROM agg WHERE fingerprint NOT IN (SELECT fingerprint FROM base)",
 ))
 def new_findings(spark, sf_dir):
-    found = common.aggregated(spark, sf_dir)
+    found = materialise(common.aggregated(spark, sf_dir), "aggregated")
     return fo.new_findings(found, common.baseline(found)).select("repo_id", "fingerprint", "rule_id")
 
 
@@ -410,8 +411,8 @@ def triage_audit(spark, sf_dir):
 
 @query("recent_audit", q(
     f"{common.STORE}, {_DECISIONS}",
-    "SELECT target, detail, at FROM (SELECT s.id AS target, 'status=' || j.status || CASE WHEN reason IS NULL THEN '' ELSE ', reason set' END AS detail, s.last_seen AS at "
-    "FROM judged j JOIN store s USING (id) WHERE error IS NULL) ORDER BY at DESC, target LIMIT 20",
+    "SELECT target, detail, \"at\" FROM (SELECT s.id AS target, 'status=' || j.status || CASE WHEN reason IS NULL THEN '' ELSE ', reason set' END AS detail, s.last_seen AS \"at\" "
+    "FROM judged j JOIN store s USING (id) WHERE error IS NULL) ORDER BY \"at\" DESC, target LIMIT 20",
 ))
 def recent_audit(spark, sf_dir):
     from veilscan.operators import query as qo
@@ -534,11 +535,9 @@ def plan_summary_lines(spark, sf_dir):
 def _edits(units):
     """Three edits per file: replace the first line, annotate the second, cut the
     third and fourth."""
-    rows = F.array(
-        F.struct(F.lit(1).alias("seq"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(fv.REMOVED_MARK).alias("new_content")),
-        F.struct(F.lit(2), F.lit(2), F.lit(2), F.lit(fv.APPEND_MARK + " # scanner:ignore-line ")),
-        F.struct(F.lit(3), F.lit(3), F.lit(4), F.lit("-")),
-    )
+    edits = ((1, 1, 1, fv.REMOVED_MARK), (2, 2, 2, fv.APPEND_MARK + " # scanner:ignore-line "), (3, 3, 4, "-"))
+    kind = "struct<seq:int,start_line:int,end_line:int,new_content:string>"
+    rows = F.array(*[F.struct(*[F.lit(v) for v in e]).cast(kind) for e in edits])
     return units.select("repo_id", "path", F.inline(rows))
 
 

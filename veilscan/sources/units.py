@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import fixed_values as fv, text
 from veilscan.operators.lookups import keep_known, keep_unknown
+from veilscan.session import materialise
 
 UNIT_COLUMNS = ("repo_id", "path", "commit_id", "author", "ts", "content")
 UNIT_KEY = ("repo_id", "commit_id", "path")
@@ -64,7 +65,7 @@ def select_history(
     never moved.
     """
     if mode == "HEAD":
-        heads = head_commits(units) if heads is None else heads
+        heads = materialise(head_commits(units), "heads") if heads is None else heads
         return keep_known(_once(units), heads, ["repo_id", "commit_id"])
     if mode == "FULL":
         return _once(units)
@@ -79,6 +80,7 @@ def _once(units: DataFrame) -> DataFrame:
     if "branch" not in units.columns:
         return units.dropDuplicates(list(UNIT_KEY))
     chosen = units.groupBy("repo_id", "commit_id").agg(F.min("branch").alias("branch"))
+    chosen = materialise(chosen, "branches")
     return keep_known(units, chosen, ["repo_id", "commit_id", "branch"]).drop("branch")
 
 
