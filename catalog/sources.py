@@ -202,7 +202,7 @@ def rules_table_usage(spark, sf_dir):
 # --- value sources ------------------------------------------------------------------
 
 @query("key_values_csv", (
-    "SELECT key, value FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN c_phone END AS key, c_name AS value FROM customer) "
+    "SELECT key, value FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'nation' || c_nationkey END AS key, c_name AS value FROM customer) "
     "WHERE key IS NOT NULL"
 ))
 def key_values_csv(spark, sf_dir):
@@ -210,7 +210,7 @@ def key_values_csv(spark, sf_dir):
     n = F.col("c_custkey") % 3
     line = (
         F.when(n == 0, F.concat(F.lit(' "'), "c_mktsegment", F.lit('" ; "'), "c_name", F.lit('"')))
-        .when(n == 1, F.concat("c_phone", F.lit(", "), "c_name", F.lit("\r")))
+        .when(n == 1, F.concat(F.lit("nation"), "c_nationkey", F.lit(", "), "c_name", F.lit("\r")))
         .when(F.col("c_custkey") % 2 == 0, F.lit("Key;VALUE"))
         .otherwise(F.col("c_name"))
     )
@@ -258,12 +258,12 @@ def records_at_path(spark, sf_dir):
 
 
 @query("load_value_columns", (
-    "SELECT DISTINCT attribute, value FROM (SELECT unnest(['c_name', 'c_phone', 'c_mktsegment', 'c_nationkey']) AS attribute, "
-    "unnest([c_name, c_phone, c_mktsegment, c_nationkey::VARCHAR]) AS value FROM customer) WHERE length(value) >= 4"
+    "SELECT DISTINCT attribute, value FROM (SELECT unnest(['c_name', 'c_mktsegment', 'c_nationkey']) AS attribute, "
+    "unnest([c_name, c_mktsegment, c_nationkey::VARCHAR]) AS value FROM customer) WHERE length(value) >= 4"
 ))
 def load_value_columns(spark, sf_dir):
     return vs.load_value_columns(
-        corpora.read_table(spark, sf_dir, "customer"), ["c_name", "c_phone", "c_mktsegment", "c_nationkey"]
+        corpora.read_table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment", "c_nationkey"]
     )
 
 
@@ -271,21 +271,21 @@ _MASK = "CASE WHEN v IS NULL THEN '' WHEN length(v) <= 2 THEN repeat('*', length
 
 
 @query("profile_source", (
-    f"SELECT true AS reachable, (SELECT count(*) FROM customer) AS records, attribute, {_MASK} AS sample FROM (SELECT unnest(['c_custkey', 'c_name', 'c_phone']) AS attribute, "
-    "unnest([c_custkey::VARCHAR, c_name, c_phone]) AS v FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 1))"
+    f"SELECT true AS reachable, (SELECT count(*) FROM customer) AS records, attribute, {_MASK} AS sample FROM (SELECT unnest(['c_custkey', 'c_name', 'c_mktsegment']) AS attribute, "
+    "unnest([c_custkey::VARCHAR, c_name, c_mktsegment]) AS v FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 1))"
 ))
 def profile_source(spark, sf_dir):
-    records = corpora.read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_phone")
+    records = corpora.read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return vs.profile_source(records, "c_custkey")
 
 
-_CUSTOMER_PAIRS = "pairs AS (SELECT c_mktsegment AS key, c_phone AS value FROM customer UNION ALL SELECT 'city', left(c_phone, 3) FROM customer)"
+_CUSTOMER_PAIRS = "pairs AS (SELECT c_mktsegment AS key, c_name AS value FROM customer UNION ALL SELECT 'city', left(c_name, 3) FROM customer)"
 
 
 def _customer_pairs(spark, sf_dir):
     customers = corpora.read_table(spark, sf_dir, "customer")
-    return customers.select(F.col("c_mktsegment").alias("key"), F.col("c_phone").alias("value")).unionByName(
-        customers.select(F.lit("city").alias("key"), F.substring("c_phone", 1, 3).alias("value"))
+    return customers.select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("value")).unionByName(
+        customers.select(F.lit("city").alias("key"), F.substring("c_name", 1, 3).alias("value"))
     )
 
 
@@ -342,10 +342,11 @@ _PHRASES = (
 
 @query("detect_phrases", q(
     f"{_ALL_LINES}, {_PHRASES}",
-    "SELECT DISTINCT repo_id, path, line_no, length(value)::INTEGER AS n, sha256(value) AS digest FROM lines, phrases WHERE file_type <> 'BINARY' AND contains(line, value) "
-    "AND len(list_filter(range(1, length(line) - length(value) + 2), lambda i: substr(line, i, length(value)) = value "
-    "AND (i = 1 OR NOT regexp_matches(substr(line, i - 1, 1), '[\\p{L}\\p{Nd}_]')) "
-    "AND NOT regexp_matches(substr(line, i + length(value), 1), '[\\p{L}\\p{Nd}_]'))) > 0",
+    "SELECT repo_id, path, line_no, length(value)::INTEGER AS n, sha256(value) AS digest FROM "
+    "(SELECT *, string_split(line, value) AS ps FROM lines, phrases WHERE file_type <> 'BINARY' AND contains(line, value)) "
+    "WHERE len(list_filter(range(1, len(ps)), lambda i: "
+    "NOT regexp_matches(CASE WHEN ps[i] <> '' THEN right(ps[i], 1) WHEN i = 1 THEN '' ELSE right(value, 1) END, '[\\p{L}\\p{Nd}_]') "
+    "AND NOT regexp_matches(CASE WHEN ps[i + 1] <> '' THEN left(ps[i + 1], 1) WHEN i + 1 = len(ps) THEN '' ELSE left(value, 1) END, '[\\p{L}\\p{Nd}_]'))) > 0",
 ))
 def detect_phrases(spark, sf_dir):
     """Values of several words, and values without any word."""

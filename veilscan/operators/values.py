@@ -51,7 +51,7 @@ def whole_word(line: Column, value: Column) -> Column:
     """Is the value in the line with no letter, digit or ``_`` at either side?"""
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     bounded = F.concat(F.lit(r"(?<![\p{L}\p{Nd}_])"), quoted, F.lit(r"(?![\p{L}\p{Nd}_])"))
-    return line.contains(value) & line.rlike(bounded)
+    return line.contains(value) & F.regexp_like(line, bounded)
 
 
 def detect_values(
