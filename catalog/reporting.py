@@ -424,7 +424,7 @@ def scan_rate_per_repo(spark, sf_dir):
 
 
 SESSIONS_SQL = (
-    "marked AS (SELECT *, CASE WHEN started_at - lag(started_at) OVER w < 1800 THEN 0 ELSE 1 END AS opens FROM records WINDOW w AS (PARTITION BY repo_id ORDER BY started_at, id)), "
+    "marked AS (SELECT *, CASE WHEN started_at - lag(started_at) OVER w <= 1800 THEN 0 ELSE 1 END AS opens FROM records WINDOW w AS (PARTITION BY repo_id ORDER BY started_at, id)), "
     "numbered AS (SELECT *, sum(opens) OVER (PARTITION BY repo_id ORDER BY started_at, id) AS session FROM marked)"
 )
 

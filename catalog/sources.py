@@ -380,6 +380,10 @@ _FEED = (
 
 
 def _feed(spark, sf_dir):
+    return feed_of(corpora.read_table(spark, sf_dir, "events"))
+
+
+def feed_of(events):
     """Events as CI deliveries: one run per user, delivered again and again."""
     finding = (
         '{"detectorId":"secret.regex-ruleset","ruleId":"rule-', '","file":"src/f', '.java","line":',
@@ -393,7 +397,7 @@ def _feed(spark, sf_dir):
         F.lit(',{"ruleId":"x","severity":"LOW","category":"PII","file":"a","line":1,"redactedMatch":"**","fingerprint":"fp'),
         e, F.lit('","verified":true},{"ruleId":" ","redactedMatch":"*"}]}'),
     )
-    return corpora.read_table(spark, sf_dir, "events").select(e.alias("seq"), body.alias("body"))
+    return events.select(e.alias("seq"), body.alias("body"))
 
 
 @query("ingest_records", q(

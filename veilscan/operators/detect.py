@@ -306,7 +306,10 @@ def candidate_lines(units: DataFrame, detections: list[Detection]) -> DataFrame:
 def detect(units: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """All pattern detectors over the units: raw findings, already redacted, without
     those an inline directive covers."""
-    return run_detections(units, active_detections(config), config.require_reason)
+    detections = active_detections(config)
+    if not detections:
+        return empty_findings(units.sparkSession)
+    return run_detections(units, detections, config.require_reason)
 
 
 def run_detections(
@@ -314,16 +317,18 @@ def run_detections(
     detections: list[Detection],
     require_reason: bool = False,
     keep_suppressed: bool = False,
+    with_match_no: bool = False,
 ) -> DataFrame:
     """Candidate lines → candidates of every rule → accepted, redacted findings.
 
     All steps are narrow and run in one task each: the plain match lives only
     between two operators of the same stage. With ``keep_suppressed`` the findings
-    under an inline directive stay, marked by ``inline_suppressed``.
+    under an inline directive stay, marked by ``inline_suppressed``; with
+    ``with_match_no`` a finding carries its number among the matches of its rule on
+    the line, which makes it unique within its unit.
     """
     if not detections:
-        empty = empty_findings(units.sparkSession)
-        return empty.withColumn("inline_suppressed", F.lit(False)) if keep_suppressed else empty
+        raise ValueError("no detector is active")
     line, prev = F.col("line"), F.col("prev_line")
     found = ", ".join(
         f"CASE WHEN {in_scope(d.scope)} AND {may_match_sql('line', d.rule)} THEN {d.find} END"
@@ -337,7 +342,7 @@ def run_detections(
     per_rule = candidate_lines(units, detections).select(
         *keys, F.struct(*off).alias("off"), F.posexplode(F.expr(f"array({found})")).alias("rule", "found")
     )
-    candidates = per_rule.select(*keys, "off", "rule", F.explode("found").alias("c"))
+    candidates = per_rule.select(*keys, "off", "rule", F.posexplode("found").alias("match_no", "c"))
 
     def of_rule(value: Callable[[Detection], str]) -> Column:
         return F.element_at(text_array(value(d) for d in detections), F.col("rule") + 1)
@@ -359,11 +364,14 @@ def run_detections(
         "ts",
         F.lit(False).alias("verified"),
         "off",
+        "match_no",
     )
     suppressed = F.lit(False)
     for c in sorted({d.category for d in detections}):
         suppressed = F.when(F.col("category") == c, F.col(f"off.{c}")).otherwise(suppressed)
     findings = findings.withColumn("inline_suppressed", suppressed).drop("off")
+    if not with_match_no:
+        findings = findings.drop("match_no")
     if keep_suppressed:
         return findings
     return findings.filter(~F.col("inline_suppressed")).drop("inline_suppressed")

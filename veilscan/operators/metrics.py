@@ -171,7 +171,7 @@ def scan_sessions(records: DataFrame, ts: str = "started_at", gap_s: int = 1800)
     order = Window.partitionBy("repo_id").orderBy("minute")
     gap = F.make_dt_interval(secs=F.lit(gap_s))
     previous = F.lag("last").over(order)
-    opens = F.when(previous.isNull() | (F.col("first") >= previous + gap), 1).otherwise(0)
+    opens = F.when(previous.isNull() | (F.col("first") > previous + gap), 1).otherwise(0)
     numbered = minutes.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order))
     return (
         numbered.groupBy("repo_id", "session")

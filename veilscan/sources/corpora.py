@@ -63,8 +63,17 @@ def _document_path() -> Column:
     return F.concat(F.lit("src/"), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit("."), ext)
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def document_units(spark: SparkSession, sf_dir: str, path: Column | None = None) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    return units_of_documents(read_table(spark, sf_dir, "documents"), path)
+
+
+def units_of_documents(docs: DataFrame, path: Column | None = None) -> DataFrame:
     ident = F.col("doc_id")
     return docs.select(
         F.col("source").alias("repo_id"),
@@ -115,7 +124,11 @@ def all_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with one planted line after its text."""
-    docs = document_units(spark, sf_dir).withColumn(
+    return planted_units_of(read_table(spark, sf_dir, "documents"))
+
+
+def planted_units_of(documents: DataFrame) -> DataFrame:
+    docs = units_of_documents(documents).withColumn(
         "doc_id", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint")
     )
     line = F.element_at(
@@ -199,8 +212,12 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as detector runs: which detector, how long, did it fail."""
+    return detector_runs_of(read_table(spark, sf_dir, "events"))
+
+
+def detector_runs_of(events: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(d) for d in _DETECTORS])
-    return read_table(spark, sf_dir, "events").select(
+    return events.select(
         F.element_at(names, (F.col("user_id") % len(_DETECTORS) + 1).cast("int")).alias("detector_id"),
         F.timestamp_seconds(event_seconds()).alias("ts"),
         F.col("value").alias("duration_s"),
