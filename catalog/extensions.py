@@ -49,7 +49,7 @@ _PLUGIN_LINES = sql.lines_ctes(sql.PLANTED)
 @query("plugin_detector", q(
     _PLUGIN_LINES,
     f"SELECT repo_id, 'custom.tickets' AS detector_id, 'CUSTOM' AS category, 'LOW' AS severity, 'ticket-number' AS rule_id, path, line_no, {sql.REDACT} AS redacted_match, commit_id, ts, false AS verified "
-    f"FROM (SELECT *, unnest(regexp_extract_all(line, {sql.lit(TICKET)})) AS m FROM lines WHERE NOT contains(line, '###') AND file_type IN ('SOURCE','CONFIG','DOCUMENTATION'))",
+    f"FROM (SELECT *, unnest(regexp_extract_all(line, {sql.lit(TICKET)})) AS m FROM lines WHERE NOT contains(line, '###') AND NOT contains(line, 'scanner:ignore-line') AND NOT contains(coalesce(prev_line, ''), 'scanner:ignore-next-line') AND file_type IN ('SOURCE','CONFIG','DOCUMENTATION'))",
 ))
 def plugin_detector(spark, sf_dir):
     registry = Registry()

@@ -278,6 +278,20 @@ def inline_suppressed(
     )
 
 
+def suppression_flags(line: Column, prev_line: Column, require_reason: bool = False) -> Column:
+    """Which categories the directives around a line cover."""
+    return F.struct(
+        *[inline_suppressed(line, prev_line, c, require_reason).alias(c) for c in fv.CATEGORIES]
+    )
+
+
+def covered(flags: str, category: Column) -> Column:
+    out = F.lit(False)
+    for c in fv.CATEGORIES:
+        out = F.when(category == c, F.col(f"{flags}.{c}")).otherwise(out)
+    return out
+
+
 def candidate_lines(units: DataFrame, detections: list[Detection]) -> DataFrame:
     """Lines on which at least one rule may match, out of units for which that holds."""
     marked = units.select(
@@ -334,13 +348,11 @@ def run_detections(
         f"CASE WHEN {in_scope(d.scope)} AND {may_match_sql('line', d.rule)} THEN {d.find} END"
         for d in detections
     )
-    off = [
-        inline_suppressed(line, prev, c, require_reason).alias(c)
-        for c in sorted({d.category for d in detections})
-    ]
     keys = ["repo_id", "path", "commit_id", "ts", "line_no"]
     per_rule = candidate_lines(units, detections).select(
-        *keys, F.struct(*off).alias("off"), F.posexplode(F.expr(f"array({found})")).alias("rule", "found")
+        *keys,
+        suppression_flags(line, prev, require_reason).alias("off"),
+        F.posexplode(F.expr(f"array({found})")).alias("rule", "found"),
     )
     candidates = per_rule.select(*keys, "off", "rule", F.posexplode("found").alias("match_no", "c"))
 
@@ -366,10 +378,7 @@ def run_detections(
         "off",
         "match_no",
     )
-    suppressed = F.lit(False)
-    for c in sorted({d.category for d in detections}):
-        suppressed = F.when(F.col("category") == c, F.col(f"off.{c}")).otherwise(suppressed)
-    findings = findings.withColumn("inline_suppressed", suppressed).drop("off")
+    findings = findings.withColumn("inline_suppressed", covered("off", F.col("category"))).drop("off")
     if not with_match_no:
         findings = findings.drop("match_no")
     if keep_suppressed:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators.detect import FINDING_COLUMNS, empty_findings
+from veilscan.operators.detect import FINDING_COLUMNS, empty_findings, inline_suppressed
 from veilscan.sources.units import blob_guard, explode_lines, with_file_type
 
 LineDetector = Callable[[DataFrame], DataFrame]
@@ -40,6 +40,7 @@ class Plugin:
 class Registry:
     detectors: dict[str, Plugin] = field(default_factory=dict)
     proposers: dict[str, Proposer] = field(default_factory=dict)
+    require_reason: bool = False
 
     def add(self, plugin: Plugin) -> None:
         if not plugin.detector_id.strip() or plugin.category not in fv.CATEGORIES:
@@ -50,10 +51,17 @@ class Registry:
         self.proposers[name] = proposer
 
     def lines_for(self, units: DataFrame, plugin: Plugin) -> DataFrame:
+        """The lines a detector gets to see: its file types, without those a directive
+        covers for its category."""
         typed = with_file_type(blob_guard(units)).filter(F.col("file_type").isin(*plugin.file_types))
-        return explode_lines(
+        lines = explode_lines(
             typed.select("repo_id", "path", "commit_id", "ts", "file_type", "content")
         )
+        return lines.filter(
+            ~inline_suppressed(
+                F.col("line"), F.col("prev_line"), plugin.category, self.require_reason
+            )
+        )
 
     def run(self, units: DataFrame) -> DataFrame:
         """Findings of all registered detectors."""

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan.functions import fixed_values as fv, text
+from veilscan.operators.detect import covered, suppression_flags
 from veilscan.operators.lookups import BROADCAST_ROWS, is_small, lookup_join
 from veilscan.sources.units import blob_guard, explode_lines, with_file_type
 
-LINE_KEY = ("repo_id", "path", "commit_id", "ts", "line_no")
+LINE_KEY = ("repo_id", "path", "commit_id", "ts", "line_no", "off")
 
 
-def value_lines(units: DataFrame) -> DataFrame:
-    """Lines for value matching: every line of every text file, however long."""
+def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
+    """Lines for value matching: every line of every text file, however long, with
+    the categories that inline directives cover there."""
     guarded = with_file_type(blob_guard(units)).filter(F.col("file_type") != "BINARY")
     keep = guarded.select("repo_id", "path", "commit_id", "ts", "content")
-    return explode_lines(keep, max_chars=None).drop("prev_line").filter(F.col("line") != "")
+    flags = suppression_flags(F.col("line"), F.col("prev_line"), require_reason)
+    lines = explode_lines(keep, max_chars=None).withColumn("off", flags)
+    return lines.drop("prev_line").filter(F.col("line") != "")
 
 
 def _longest(words: Column) -> Column:
@@ -55,7 +59,10 @@ def whole_word(line: Column, value: Column) -> Column:
 
 
 def detect_values(
-    units: DataFrame, values: DataFrame, max_broadcast: int = BROADCAST_ROWS
+    units: DataFrame,
+    values: DataFrame,
+    max_broadcast: int = BROADCAST_ROWS,
+    require_reason: bool = False,
 ) -> DataFrame:
     """Whole-word occurrences of (attribute, value): one finding per value and line.
 
@@ -65,26 +72,21 @@ def detect_values(
     severity and category of its attribute.
     """
     known = _with_rule_columns(values).distinct().withColumn("piece", _anchor(F.col("value")))
-    single = F.col("value").rlike(r"^[\p{L}\p{Nd}_]+$")
-    symbols = known.filter(~F.col("value").rlike(r"[\p{L}\p{Nd}_]"))
-    has_symbols = not symbols.isEmpty()
-    lines = value_lines(units)
-    pieces = lines.select(
+    one_word = F.col("value").rlike(r"^[\p{L}\p{Nd}_]+$")
+    has_symbols = not known.filter(~F.col("value").rlike(r"[\p{L}\p{Nd}_]")).isEmpty()
+    pieces = value_lines(units, require_reason).select(
         *LINE_KEY, "line", F.explode(_pieces(F.col("line"), has_symbols)).alias("piece")
     )
-    # The line itself is needed only to check values of several words; a line whose
-    # pieces all belong to single-word values never carries its text into a shuffle.
-    words = known.filter(single)
-    rest = known.filter(~single)
-    by_word = _meet(pieces.drop("line"), words, max_broadcast)
-    found = [by_word]
-    if not rest.isEmpty():
-        by_piece = _meet(pieces, rest, max_broadcast).filter(
-            whole_word(F.col("line"), F.col("value"))
-        )
-        found.append(by_piece.drop("line"))
-    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return _as_findings(out, F.col("value"))
+    occurs = whole_word(F.col("line"), F.col("value"))
+    if is_small(known, max_broadcast):
+        found = pieces.join(F.broadcast(known), "piece").filter(one_word | occurs).drop("line")
+    else:
+        # Only lines that hold the anchor of a value of several words carry their text
+        # into a shuffle.
+        words = _meet(pieces.drop("line"), known.filter(one_word), max_broadcast)
+        phrases = _meet(pieces, known.filter(~one_word), max_broadcast).filter(occurs)
+        found = words.unionByName(phrases.drop("line"))
+    return _as_findings(found, F.col("value"))
 
 
 def _meet(pieces: DataFrame, known: DataFrame, max_broadcast: int) -> DataFrame:
@@ -103,12 +105,13 @@ def detect_hashed_values(
     pepper: str = "",
     min_length: int = fv.VALUE_MIN_LENGTH,
     max_broadcast: int = BROADCAST_ROWS,
+    require_reason: bool = False,
 ) -> DataFrame:
     """Tokens whose peppered hash is stored: one finding per occurrence. ``hashes``
     holds (attribute, value_hash) and optionally severity and category."""
     known = _with_rule_columns(hashes.withColumnRenamed("value_hash", "piece")).distinct()
     tokens = (
-        value_lines(units)
+        value_lines(units, require_reason)
         .select(*LINE_KEY, F.explode(text.tokens(F.col("line"))).alias("token"))
         .filter(F.length("token") >= min_length)
     )
@@ -132,7 +135,7 @@ def _with_rule_columns(values: DataFrame) -> DataFrame:
 
 def _as_findings(found: DataFrame, value: Column | None) -> DataFrame:
     redacted = F.col("redacted") if value is None else text.redact(value)
-    return found.select(
+    return found.filter(~covered("off", F.col("category"))).select(
         "repo_id",
         F.lit(fv.VALUES_DETECTOR).alias("detector_id"),
         "category",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -33,9 +32,12 @@ def raw_findings(units: DataFrame, config: ScanConfig, inputs: ScanInputs = Scan
         config = config.with_rules_on(tuple(rulesets.rules_switched_on(inputs.rulesets)))
     found = detect(units, config)
     if "pii" in config.groups and inputs.values is not None:
-        found = found.unionByName(detect_values(units, inputs.values))
+        found = found.unionByName(detect_values(units, inputs.values, require_reason=config.require_reason))
     if "pii" in config.groups and inputs.value_hashes is not None:
-        found = found.unionByName(detect_hashed_values(units, inputs.value_hashes, inputs.pepper))
+        hashed = detect_hashed_values(
+            units, inputs.value_hashes, inputs.pepper, require_reason=config.require_reason
+        )
+        found = found.unionByName(hashed)
     if inputs.plugins is not None:
         found = found.unionByName(inputs.plugins.run(units))
     if inputs.rulesets is not None:
@@ -77,14 +79,3 @@ def scan_under_policies(
     """Verdict of every repository under its own policy and rulesets, in one job."""
     resolved = rulesets.resolve_policies(repos, policies)
     return govern.evaluate_policy_gate(scan(units, config, inputs), resolved)
-
-
-def raw_detectors(configs: Iterable[ScanConfig], units: DataFrame) -> DataFrame:
-    """Union of several scans of the same units."""
-    out: DataFrame | None = None
-    for config in configs:
-        found = detect(units, config)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no scan given")
-    return out
