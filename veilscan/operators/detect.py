@@ -142,7 +142,8 @@ def secret_detections(config: ScanConfig) -> list[Detection]:
 
 
 def _entropy_detection(config: ScanConfig, entropy: EntropyConfig) -> Detection:
-    hint = rf"[A-Za-z0-9+/=_-]{{{max(16, entropy.min_length)}}}"
+    # Only where a run begins: otherwise every word is tried again from each letter.
+    hint = rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{max(16, entropy.min_length)}}}"
     rule = Rule(fv.ENTROPY_RULE, "", fv.ENTROPY_TOKEN, entropy.severity, hint=hint)
     return _pattern_detection(
         rule,
@@ -250,48 +251,36 @@ def in_scope(scope: str) -> str:
     return f"iac_target = {sql_text(scope)} AND file_type IN ('CONFIG', 'OTHER')"
 
 
-def _directive(line: Column, names: list[str], require_reason: bool) -> Column:
+def _directive(line: str, names: tuple[str, ...], require_reason: bool) -> str:
     """Is one of the named directives on the line (with a reason, if required)?"""
-    found = F.arrays_zip(
-        F.regexp_extract_all(line, F.lit(fv.DIRECTIVE_PATTERN), F.lit(1)).alias("name"),
-        F.regexp_extract_all(line, F.lit(fv.DIRECTIVE_PATTERN), F.lit(2)).alias("reason"),
+    pattern = sql_text(fv.DIRECTIVE_PATTERN)
+    named = f"d.`0` IN ({', '.join(sql_text(n) for n in names)})"
+    fits = named + (f" AND d.`1` rlike {sql_text(chr(92) + 'S')}" if require_reason else "")
+    return (
+        f"(contains({line}, {sql_text(fv.DIRECTIVE_MARK)}) AND exists(arrays_zip("
+        f"regexp_extract_all({line}, {pattern}, 1), regexp_extract_all({line}, {pattern}, 2)), "
+        f"d -> {fits}))"
     )
 
-    def fits(d: Column) -> Column:
-        named = d["name"].isin(names)
-        return named & d["reason"].rlike(r"\S") if require_reason else named
-
-    return F.when(line.contains(fv.DIRECTIVE_MARK), F.exists(found, fits)).otherwise(F.lit(False))
 
-
-def inline_suppressed(
-    line: Column, prev_line: Column, category: str, require_reason: bool = False
-) -> Column:
-    """Does a directive on the line or on the previous line cover this category?"""
-    names = ["ignore-line"]
-    if category == "SECRET":
-        names.append("ignore-secret")
-    if category == "PII":
-        names.append("ignore-pii")
-    return _directive(line, names, require_reason) | _directive(
-        F.coalesce(prev_line, F.lit("")), ["ignore-next-line"], require_reason
-    )
+def suppression_flags(require_reason: bool = False) -> Column:
+    """What the directives on ``line`` and ``prev_line`` cover: findings of every
+    category, secrets, personal data."""
+    on_line = _directive("line", ("ignore-line",), require_reason)
+    before = _directive("coalesce(prev_line, '')", ("ignore-next-line",), require_reason)
+    secret = _directive("line", ("ignore-secret",), require_reason)
+    pii = _directive("line", ("ignore-pii",), require_reason)
+    return F.expr(f"named_struct('all', {on_line} OR {before}, 'secret', {secret}, 'pii', {pii})")
 
 
-def suppression_flags(line: Column, prev_line: Column, require_reason: bool = False) -> Column:
-    """Which categories the directives around a line cover."""
-    return F.struct(
-        *[inline_suppressed(line, prev_line, c, require_reason).alias(c) for c in fv.CATEGORIES]
+def covered(flags: str, category: str) -> Column:
+    """Do the flags cover findings of the category (an SQL expression)?"""
+    return F.expr(
+        f"{flags}.all OR ({category} = 'SECRET' AND {flags}.secret) "
+        f"OR ({category} = 'PII' AND {flags}.pii)"
     )
 
 
-def covered(flags: str, category: Column) -> Column:
-    out = F.lit(False)
-    for c in fv.CATEGORIES:
-        out = F.when(category == c, F.col(f"{flags}.{c}")).otherwise(out)
-    return out
-
-
 def candidate_lines(units: DataFrame, detections: list[Detection]) -> DataFrame:
     """Lines on which at least one rule may match, out of units for which that holds."""
     marked = units.select(
@@ -343,7 +332,6 @@ def run_detections(
     """
     if not detections:
         raise ValueError("no detector is active")
-    line, prev = F.col("line"), F.col("prev_line")
     found = ", ".join(
         f"CASE WHEN {in_scope(d.scope)} AND {may_match_sql('line', d.rule)} THEN {d.find} END"
         for d in detections
@@ -351,7 +339,7 @@ def run_detections(
     keys = ["repo_id", "path", "commit_id", "ts", "line_no"]
     per_rule = candidate_lines(units, detections).select(
         *keys,
-        suppression_flags(line, prev, require_reason).alias("off"),
+        suppression_flags(require_reason).alias("off"),
         F.posexplode(F.expr(f"array({found})")).alias("rule", "found"),
     )
     candidates = per_rule.select(*keys, "off", "rule", F.posexplode("found").alias("match_no", "c"))
@@ -378,7 +366,7 @@ def run_detections(
         "off",
         "match_no",
     )
-    findings = findings.withColumn("inline_suppressed", covered("off", F.col("category"))).drop("off")
+    findings = findings.withColumn("inline_suppressed", covered("off", "category")).drop("off")
     if not with_match_no:
         findings = findings.drop("match_no")
     if keep_suppressed:

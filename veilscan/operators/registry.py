@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from veilscan.functions import fixed_values as fv, text
-from veilscan.operators.detect import FINDING_COLUMNS, empty_findings, inline_suppressed
+from veilscan.functions import fixed_values as fv
+from veilscan.functions.patterns import sql_text
+from veilscan.operators.detect import FINDING_COLUMNS, covered, empty_findings, suppression_flags
 from veilscan.sources.units import blob_guard, explode_lines, with_file_type
 
 LineDetector = Callable[[DataFrame], DataFrame]
@@ -57,11 +58,8 @@ class Registry:
         lines = explode_lines(
             typed.select("repo_id", "path", "commit_id", "ts", "file_type", "content")
         )
-        return lines.filter(
-            ~inline_suppressed(
-                F.col("line"), F.col("prev_line"), plugin.category, self.require_reason
-            )
-        )
+        flagged = lines.withColumn("off", suppression_flags(self.require_reason))
+        return flagged.filter(~covered("off", sql_text(plugin.category))).drop("off")
 
     def run(self, units: DataFrame) -> DataFrame:
         """Findings of all registered detectors."""

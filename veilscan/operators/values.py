@@ -17,8 +17,7 @@ def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
     the categories that inline directives cover there."""
     guarded = with_file_type(blob_guard(units)).filter(F.col("file_type") != "BINARY")
     keep = guarded.select("repo_id", "path", "commit_id", "ts", "content")
-    flags = suppression_flags(F.col("line"), F.col("prev_line"), require_reason)
-    lines = explode_lines(keep, max_chars=None).withColumn("off", flags)
+    lines = explode_lines(keep, max_chars=None).withColumn("off", suppression_flags(require_reason))
     return lines.drop("prev_line").filter(F.col("line") != "")
 
 
@@ -135,7 +134,7 @@ def _with_rule_columns(values: DataFrame) -> DataFrame:
 
 def _as_findings(found: DataFrame, value: Column | None) -> DataFrame:
     redacted = F.col("redacted") if value is None else text.redact(value)
-    return found.filter(~covered("off", F.col("category"))).select(
+    return found.filter(~covered("off", "category")).select(
         "repo_id",
         F.lit(fv.VALUES_DETECTOR).alias("detector_id"),
         "category",
