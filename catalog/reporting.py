@@ -259,39 +259,19 @@ def scans_by_status(spark, sf_dir):
 
 @query("scan_duration_quantiles", q(
     common.SCAN_RECORDS,
-    "SELECT repo_id, round(quantile_cont(duration_s, 0.5), 6) AS p50, round(quantile_cont(duration_s, 0.95), 6) AS p95 FROM records GROUP BY repo_id",
+    "SELECT repo_id, quantile_disc(duration_s, 0.5) AS p50, quantile_disc(duration_s, 0.95) AS p95 FROM records GROUP BY repo_id",
 ))
 def scan_duration_quantiles(spark, sf_dir):
-    exact = mo.scan_durations(corpora.scan_records(spark, sf_dir), exact=True)
-    return exact.select("repo_id", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
-
-
-@query("scan_duration_sketch", q(
-    common.SCAN_RECORDS,
-    "SELECT repo_id, true AS p50_close, true AS p95_close FROM records GROUP BY repo_id",
-))
-def scan_duration_sketch(spark, sf_dir):
-    """The sketch against the exact quantiles: within one percent of the rows."""
-    records = corpora.scan_records(spark, sf_dir)
-    both = mo.scan_durations(records)
-    below = records.join(both, "repo_id").groupBy("repo_id").agg(
-        F.avg((F.col("duration_s") <= F.col("p50")).cast("double")).alias("a"),
-        F.avg((F.col("duration_s") <= F.col("p95")).cast("double")).alias("b"),
-    )
-    return below.select(
-        "repo_id",
-        (F.abs(F.col("a") - 0.5) < 0.01).alias("p50_close"),
-        (F.abs(F.col("b") - 0.95) < 0.01).alias("p95_close"),
-    )
+    return mo.scan_durations(corpora.scan_records(spark, sf_dir))
 
 
 @query("detector_health", q(
     common.DETECTOR_RUNS,
-    "SELECT detector_id, count(*) AS runs, round(quantile_cont(duration_s, 0.95), 6) AS p95, round(avg(failed::DOUBLE), 9) AS error_rate FROM runs GROUP BY detector_id",
+    "SELECT detector_id, count(*) AS runs, quantile_disc(duration_s, 0.95) AS p95, round(avg(failed::DOUBLE), 9) AS error_rate FROM runs GROUP BY detector_id",
 ))
 def detector_health(spark, sf_dir):
-    health = mo.detector_health(corpora.detector_runs(spark, sf_dir), exact=True)
-    return health.select("detector_id", "runs", F.round("p95", 6).alias("p95"), F.round("error_rate", 9).alias("error_rate"))
+    health = mo.detector_health(corpora.detector_runs(spark, sf_dir))
+    return health.withColumn("error_rate", F.round("error_rate", 9))
 
 
 @query("active_detectors", q(common.DETECTOR_RUNS, "SELECT count(DISTINCT detector_id) AS detectors FROM runs"))

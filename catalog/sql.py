@@ -86,7 +86,7 @@ IAC_TARGET = (
     "AND contains(content, 'kind:') THEN 'kubernetes' END"
 )
 BLOB_OK = (
-    f"strlen(content) <= {fv.MAX_BLOB_BYTES} AND NOT contains(substr(content, 1, {fv.NUL_PROBE_CHARS}), chr(0))"
+    f"strlen(content) <= {fv.MAX_BLOB_BYTES} AND (NOT contains(content, chr(0)) OR strlen(split_part(content, chr(0), 1)) >= {fv.NUL_PROBE_BYTES})"
 )
 
 

@@ -56,7 +56,7 @@ def stream_ingest_ci(spark, sf_dir):
     feed = feed_of(corpora.stream_table(spark, sf_dir, "events"))
     path = work_dir(spark, "ingest")
     sf.start_ingest(feed, F.col("body"), path, work_dir(spark, "ingest-state")).awaitTermination()
-    records = st.ingested_records(sf.ingested_runs(spark, path))
+    records = st.ingested_records(st.ingested_runs(spark, path))
     return records.select("scan_id", "repo_id", "finding_count", "ci.run_ref")
 
 

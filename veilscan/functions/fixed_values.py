@@ -22,7 +22,7 @@ REMEDIATION_STATUSES = ("OPEN", "PR_OPEN", "FIXED", "ROTATED", "SCRUBBED")
 
 MAX_LINE_CHARS = 4000
 MAX_BLOB_BYTES = 2000000
-NUL_PROBE_CHARS = 8000
+NUL_PROBE_BYTES = 8000
 ENTROPY_THRESHOLD = 4.5
 ENTROPY_MIN_LENGTH = 20
 VALUE_MIN_LENGTH = 4

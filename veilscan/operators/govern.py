@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilscan.functions import fixed_values as fv, text
 from veilscan.operators.lookups import lookup_join
 
+# Edits of up to this many files are broadcast to the files.
+MAX_EDITED_FILES = 20_000
+
 
 def countable(fail_on: Column, fail_on_new_only: Column) -> Column:
     """Does an aggregated finding count against the gate?"""
@@ -316,7 +319,7 @@ def apply_edits(units: DataFrame, edits: DataFrame) -> DataFrame:
     per_file = edits.groupBy("repo_id", "path").agg(
         F.array_sort(F.collect_list(F.struct("seq", "start_line", "end_line", "new_content"))).alias("edits")
     )
-    joined = units.join(per_file, ["repo_id", "path"], "inner")
+    joined = lookup_join(units, per_file, ["repo_id", "path"], "inner", MAX_EDITED_FILES)
     # A trailing newline ends the last line rather than starting another one.
     body = F.regexp_replace("content", r"\r?\n\z", "")
     lines = F.when(F.col("content") == "", F.array().cast("array<string>")).otherwise(

@@ -21,7 +21,10 @@ INGEST_SCHEMA = (
 
 
 def append_findings(stored: DataFrame, path: str) -> None:
-    stored.write.partitionBy("repo_id").mode("append").parquet(path)
+    """Append to the store. Rows are rebalanced by repository first: small ones share
+    a file, and a repository that holds most of the rows is written by many tasks."""
+    rebalanced = stored.hint("rebalance", "repo_id")
+    rebalanced.write.partitionBy("repo_id").mode("append").parquet(path)
 
 
 def chunk_of(key: Column, total: int, size: int) -> Column:
@@ -135,11 +138,19 @@ def ingested_findings(runs: DataFrame) -> DataFrame:
     )
 
 
-def replace_runs(rows: DataFrame, path: str) -> None:
-    """Store rows by scan; a run that is delivered again replaces its partition."""
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write one batch to its own partition. A batch that is run again after a
+    failure replaces that partition, so nothing counts twice."""
     (
-        rows.write.option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scan_id")
+        rows.withColumn("batch_id", F.lit(batch_id))
+        .write.option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
         .mode("overwrite")
         .parquet(path)
     )
+
+
+def ingested_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The latest delivery of every run, over all batches written so far. A run that
+    is delivered again replaces the earlier one here, without rewriting anything."""
+    return parse_ingest(spark.read.parquet(path), F.col("body"))

@@ -13,10 +13,9 @@ UNIT_KEY = ("repo_id", "commit_id", "path")
 
 
 def blob_ok(content: Column) -> Column:
-    """Small enough, and no NUL among the first characters."""
-    return (F.octet_length(content) <= fv.MAX_BLOB_BYTES) & ~F.substring(
-        content, 1, fv.NUL_PROBE_CHARS
-    ).contains("\x00")
+    """Small enough, and no NUL among the first bytes."""
+    head = F.substring(content.cast("binary"), 1, fv.NUL_PROBE_BYTES)
+    return (F.octet_length(content) <= fv.MAX_BLOB_BYTES) & ~F.contains(head, F.expr("X'00'"))
 
 
 def blob_guard(units: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan.operators import findings as fo
 from veilscan.operators.detect import FINDING_COLUMNS, ScanConfig, active_detections, run_detections
@@ -57,21 +57,9 @@ def combine_partials(partials: DataFrame) -> DataFrame:
 
 
 def batch_sink(path: str, shape: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that writes each batch to its own partition. A batch that
-    is run again after a failure replaces that partition, so nothing counts twice,
-    and no state grows with the number of fingerprints."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            shape(batch)
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .mode("overwrite")
-            .parquet(path)
-        )
-
-    return write
+    """A foreachBatch sink: every batch has its own partition, and no state grows
+    with the number of fingerprints or runs."""
+    return lambda batch, batch_id: st.write_batch(shape(batch), path, batch_id)
 
 
 def start_dedup(findings: DataFrame, path: str, checkpoint: str):
@@ -86,7 +74,7 @@ def start_dedup(findings: DataFrame, path: str, checkpoint: str):
 
 def start_ingest(feed: DataFrame, body: Column, path: str, checkpoint: str):
     """Run the ingest stream over all that is available now: per batch the deliveries
-    as they came; ``ingested_runs`` keeps the latest per run."""
+    as they came; the store's ``ingested_runs`` keeps the latest per run."""
     return (
         feed.select("seq", body.alias("body"))
         .writeStream.foreachBatch(batch_sink(path, lambda batch: batch))
@@ -96,10 +84,6 @@ def start_ingest(feed: DataFrame, body: Column, path: str, checkpoint: str):
     )
 
 
-def ingested_runs(spark: SparkSession, path: str) -> DataFrame:
-    return st.parse_ingest(spark.read.parquet(path), F.col("body"))
-
-
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run an append-mode stream over all that is available now and read the result."""
     spark = stream.sparkSession
