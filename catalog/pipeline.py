@@ -168,9 +168,7 @@ def drop_allowlisted(spark, sf_dir):
         rule.alias("rule_id"), fo.pii_key(F.col("match"), rule).alias("value_key"),
     )
     first_lines = keyed.filter("line_no = 1").select("rule_id", "value_key")
-    known = spark.createDataFrame([(c,) for c in fv.ALLOWED_CARDS], "value string").select(
-        rule.alias("rule_id"), fo.pii_key(F.col("value"), rule).alias("value_key")
-    )
+    known = rulesets.pii_allowlist(spark)
     return fo.drop_allowlisted(keyed, first_lines.unionByName(known)).select(
         "repo_id", "path", "line_no", "redacted_match"
     )

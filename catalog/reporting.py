@@ -325,7 +325,6 @@ def gate_fail_quota(spark, sf_dir):
     "SELECT strftime(make_timestamp(first_seen * 1000000), '%Y-%m-%d') AS day, severity, count(*) AS new_findings FROM agg GROUP BY ALL",
 ))
 def finding_trend(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return mo.finding_trend(common.aggregated(spark, sf_dir))
 
 
@@ -334,7 +333,6 @@ def finding_trend(spark, sf_dir):
     "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'error' ELSE 'blocked' END AS result, count(*) AS actions FROM events GROUP BY ALL"
 ))
 def remediation_metrics(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     actions = corpora.read_table(spark, sf_dir, "events").select(
         F.timestamp_seconds(corpora.event_seconds()).alias("at"),
         F.when(F.col("user_id") % 2 == 0, F.lit("auto-fix")).otherwise(F.lit("scrub-execute")).alias("type"),

@@ -447,3 +447,76 @@ def configured_and_discovered(spark, sf_dir):
 ))
 def query_sources(spark, sf_dir):
     return qo.query_sources(corpora.repositories(spark, sf_dir), " C1", "gitlab").select("name", "type", "description")
+
+
+# --- lists, tokens, masks -----------------------------------------------------------
+
+_LISTS = "lists(kind, entry) AS (VALUES " + ", ".join(
+    f"('{kind}', {sql.lit(e)})"
+    for kind, entries in (
+        ("address", fv.TEST_MAIL_ADDRESSES), ("local_part", fv.TEST_MAIL_LOCAL_PARTS), ("domain", fv.TEST_MAIL_DOMAINS),
+        ("tld", fv.TEST_MAIL_TLDS), ("sld", fv.TEST_MAIL_SLDS),
+    )
+    for e in entries
+) + ")"
+
+
+@query("mail_list_hits", q(
+    f"{sql.lines_ctes(sql.ALL_UNITS + ' UNION ALL ' + sql.PLANTED)}, {_LISTS}, mails AS (SELECT repo_id, path, line_no, lower(m) AS mail, string_split(split_part(lower(m), '@', 2), '.') AS labels FROM (SELECT *, unnest(regexp_extract_all(line, {sql.lit(fv.EMAIL_PATTERN)})) AS m FROM lines))",
+    "SELECT repo_id, path, line_no, kind, entry FROM mails, lists WHERE (kind = 'address' AND entry = mail) OR (kind = 'local_part' AND list_contains(string_split_regex(split_part(mail, '@', 1), '[._+-]'), entry)) "
+    "OR (kind = 'domain' AND entry = split_part(mail, '@', 2)) OR (kind = 'tld' AND entry = labels[-1]) OR (kind = 'sld' AND entry = labels[-2])",
+))
+def mail_list_hits(spark, sf_dir):
+    """Which test-mail list takes out which address."""
+    from veilscan.functions.patterns import all_matches
+
+    units = corpora.all_units(spark, sf_dir).unionByName(corpora.planted_units(spark, sf_dir))
+    lines = un.explode_lines(un.blob_guard(units)).filter(F.col("line").contains("@"))
+    mails = lines.select(
+        "repo_id", "path", "line_no", F.explode(all_matches(F.col("line"), fv.EMAIL_PATTERN)).alias("m")
+    )
+    parts = mails.select("repo_id", "path", "line_no", F.inline(rulesets.mail_parts(F.col("m"))))
+    # About a hundred entries, fixed.
+    return parts.join(F.broadcast(rulesets.test_email_lists(spark)), ["kind", "entry"]).select(
+        "repo_id", "path", "line_no", "kind", "entry"
+    )
+
+
+@query("tokenise", q(
+    _ALL_LINES,
+    "SELECT repo_id, path, sum(len(regexp_extract_all(line, '[\\p{L}\\p{Nd}_]+')))::BIGINT AS tokens, sum(list_sum(list_transform(regexp_extract_all(line, '[\\p{L}\\p{Nd}_]+'), lambda t: length(t))))::BIGINT AS token_chars FROM lines GROUP BY ALL",
+))
+def tokenise(spark, sf_dir):
+    lines = un.explode_lines(un.blob_guard(corpora.all_units(spark, sf_dir)), max_chars=None)
+    found = text.tokens(F.col("line"))
+    chars = F.aggregate(found, F.lit(0), lambda acc, t: acc + F.length(t))
+    return lines.groupBy("repo_id", "path").agg(
+        F.sum(F.size(found)).alias("tokens"), F.sum(F.when(F.size(found) > 0, chars)).alias("token_chars")
+    )
+
+
+@query("redact_tokens", q(
+    f"t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}_]+')) AS m FROM documents)",
+    f"SELECT redacted, masked, count(*) AS tokens FROM (SELECT {sql.REDACT} AS redacted, CASE WHEN length(m) <= 2 THEN repeat('*', length(m)) ELSE left(m, 2) || repeat('*', length(m) - 2) END AS masked FROM t) GROUP BY ALL",
+))
+def redact_tokens(spark, sf_dir):
+    words = corpora.read_table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("m")).distinct()
+    return words.groupBy(
+        text.redact(F.col("m")).alias("redacted"), text.mask_sample(F.col("m")).alias("masked")
+    ).agg(F.count("*").alias("tokens"))
+
+
+@query("replace_values", q(
+    f"{_WORDS}, {_CUSTOMER_PAIRS}",
+    f"SELECT 'crm' AS source_id, attribute, count(*) AS values FROM (SELECT DISTINCT key AS attribute, value FROM pairs WHERE length(value) >= 4) GROUP BY ALL UNION ALL SELECT 'words', 'passage_word', count(*) FROM words",
+))
+def replace_values(spark, sf_dir):
+    """Two sources are uploaded, then one of them again with other values."""
+    from veilscan.session import work_dir
+
+    path = work_dir(spark, "value-hashes")
+    words = corpora.passage_words(spark, sf_dir).withColumnRenamed("attribute", "key")
+    vs.replace_values(vs.hash_values(words, PEPPER), "words", path)
+    vs.replace_values(vs.hash_values(words, PEPPER), "crm", path)
+    vs.replace_values(vs.hash_values(_customer_pairs(spark, sf_dir), PEPPER), "crm", path)
+    return spark.read.parquet(path).groupBy("source_id", "attribute").agg(F.count("*").alias("values"))

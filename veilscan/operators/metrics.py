@@ -95,16 +95,22 @@ def gate_fail_quota(gates: DataFrame) -> DataFrame:
     )
 
 
+def utc_day(ts: Column) -> Column:
+    """The UTC day as text, whatever the session's time zone."""
+    days = F.floor(F.unix_timestamp(ts) / 86400).cast("int")
+    return F.date_from_unix_date(days).cast("string")
+
+
 def finding_trend(findings: DataFrame) -> DataFrame:
     """New findings per day and severity."""
     return findings.groupBy(
-        F.date_format(F.date_trunc("day", "first_seen"), "yyyy-MM-dd").alias("day"), "severity"
+        utc_day(F.col("first_seen")).alias("day"), "severity"
     ).agg(F.count("*").alias("new_findings"))
 
 
 def remediation_metrics(actions: DataFrame) -> DataFrame:
     return actions.groupBy(
-        F.date_format(F.date_trunc("day", "at"), "yyyy-MM-dd").alias("day"), "type", "result"
+        utc_day(F.col("at")).alias("day"), "type", "result"
     ).agg(F.count("*").alias("actions"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import fixed_values as fv
 from veilscan.functions.fixed_values import Rule
+from veilscan.operators.findings import pii_key
 from veilscan.operators.lookups import lookup_join
 
 RULESET_SCHEMA = (
@@ -59,6 +60,46 @@ def rule_catalog(spark: SparkSession) -> DataFrame:
     return pattern_rules.unionByName(spark.createDataFrame(others, pattern_rules.schema))
 
 
+def pii_allowlist(spark: SparkSession) -> DataFrame:
+    """Well-known test accounts and cards as (rule_id, value_key); the key is a hash
+    of the normalised value (see findings.pii_key)."""
+    rows = [("iban", v) for v in fv.ALLOWED_IBANS] + [("creditcard", v) for v in fv.ALLOWED_CARDS]
+    known = spark.createDataFrame(rows, "rule_id string, value string")
+    return known.select("rule_id", pii_key(F.col("value"), F.col("rule_id")).alias("value_key"))
+
+
+def test_email_lists(spark: SparkSession) -> DataFrame:
+    """Test and placeholder mail names as (kind, entry)."""
+    lists = {
+        "address": fv.TEST_MAIL_ADDRESSES,
+        "local_part": fv.TEST_MAIL_LOCAL_PARTS,
+        "domain": fv.TEST_MAIL_DOMAINS,
+        "tld": fv.TEST_MAIL_TLDS,
+        "sld": fv.TEST_MAIL_SLDS,
+    }
+    rows = [(kind, entry) for kind, entries in lists.items() for entry in entries]
+    return spark.createDataFrame(rows, "kind string, entry string")
+
+
+def mail_parts(match: Column) -> Column:
+    """The (kind, entry) pairs under which a mail address may be listed."""
+    mail = F.lower(match)
+    labels = F.split(F.substring_index(mail, "@", -1), r"\.")
+
+    def pairs(kind: str, entries: Column) -> Column:
+        return F.transform(
+            F.array_distinct(entries), lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("entry"))
+        )
+
+    return F.concat(
+        pairs("address", F.array(mail)),
+        pairs("local_part", F.split(F.substring_index(mail, "@", 1), r"[._+-]")),
+        pairs("domain", F.array(F.substring_index(mail, "@", -1))),
+        pairs("tld", F.array(F.element_at(labels, -1))),
+        pairs("sld", F.array(F.get(labels, F.size(labels) - 2))),
+    )
+
+
 def _active_rules(rulesets: DataFrame) -> DataFrame:
     return rulesets.filter(F.col("enforcement") == "ACTIVE").select(
         "position", "global", "repo_names", F.posexplode("rules").alias("index", "rule")

@@ -30,12 +30,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows when the input has fewer files than there are cores.
+# Tables of fewer files than cores are redistributed up to this size.
+SPREAD_BYTES = 2 * 1024**3
 
-    A handful of files with one row group each would be read by as many tasks. At
-    scale there are far more files than cores and the frame is returned untouched,
-    so no file content is ever shuffled there.
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Redistribute the rows of a small table that lies in fewer files than there are
+    cores: a handful of files with one row group each would be read by as many tasks.
+
+    The check looks at no more than one file name per core. Larger tables, and all
+    tables of many files, are returned untouched, so their content is never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.read.format("binaryFile").load(path).select("path", "length").limit(cores)
+    seen = files.agg({"length": "sum", "path": "count"}).first()
+    few = seen["count(path)"] < cores and (seen["sum(length)"] or 0) <= SPREAD_BYTES
+    return df.repartition(cores) if few else df

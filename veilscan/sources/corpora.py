@@ -48,7 +48,8 @@ PLANTED_FILES = (
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark.read.parquet(path), path)
 
 
 def _minutes(ident: Column) -> Column:

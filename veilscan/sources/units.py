@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators.lookups import keep_known, keep_unknown
+from veilscan.operators.lookups import is_small, keep_known, keep_unknown
 from veilscan.session import materialise
 
 UNIT_COLUMNS = ("repo_id", "path", "commit_id", "author", "ts", "content")
@@ -77,12 +77,26 @@ def select_history(
 
 def _once(units: DataFrame) -> DataFrame:
     if "branch" not in units.columns:
-        return units.dropDuplicates(list(UNIT_KEY))
+        return _without_copies(units)
     chosen = units.groupBy("repo_id", "commit_id").agg(F.min("branch").alias("branch"))
     chosen = materialise(chosen, "branches")
     return keep_known(units, chosen, ["repo_id", "commit_id", "branch"]).drop("branch")
 
 
+def _without_copies(units: DataFrame) -> DataFrame:
+    """Each unit once. The copies are found on the narrow key columns; only their
+    content is shuffled, or all of it where there are very many."""
+    key = list(UNIT_KEY)
+    copied = units.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    copied = materialise(copied, "copies")
+    if copied.isEmpty():
+        return units
+    if not is_small(copied):
+        return units.dropDuplicates(key)
+    several = keep_known(units, copied, key).dropDuplicates(key)
+    return keep_unknown(units, copied, key).unionByName(several)
+
+
 def skip_seen_commits(units: DataFrame, seen: DataFrame) -> DataFrame:
     return keep_unknown(units, seen, ["repo_id", "commit_id"])
 
