@@ -267,6 +267,21 @@ def load_value_columns(spark, sf_dir):
     )
 
 
+@query("load_record_values", (
+    "SELECT DISTINCT 'type' AS attribute, event_type AS value FROM events WHERE length(event_type) >= 4 UNION "
+    "SELECT 'id', event_id::VARCHAR FROM events WHERE event_id >= 1000 AND event_id % 2 = 0"
+))
+def load_record_values(spark, sf_dir):
+    """Events as records: text, a number or an object, null, a nested array."""
+    e = F.col("event_id")
+    ident = F.when(e % 2 == 0, e.cast("string")).otherwise(F.concat(F.lit('{"n": '), e, F.lit("}")))
+    record = F.concat(
+        F.lit('{"type": "'), "event_type", F.lit('", "id": '), ident, F.lit(', "list": ["aaaa"], "none": null, "props": '), "props", F.lit("}")
+    )
+    rows = corpora.read_table(spark, sf_dir, "events").select(record.alias("record"))
+    return vs.load_record_values(rows, ["type", "id", "list", "none", "props", "absent"])
+
+
 _MASK = "CASE WHEN v IS NULL THEN '' WHEN length(v) <= 2 THEN repeat('*', length(v)) ELSE left(v, 2) || repeat('*', length(v) - 2) END"
 
 

@@ -30,7 +30,9 @@ LINES = [
     "aa a aa a, scanner ((x)) ( (x) )",
     "x" * 5000 + " 12345678",
 ]
-VALUES = ["12345678", "Anna Meier", "Zürich", "???", "a.b.c", "a aa", "(x)", "\\E", "Meier, Anna"]
+VALUES = [
+    "12345678", "Anna Meier", "Zürich", "???", "a.b.c", "a aa", "(x)", "\\\\E", "Meier, Anna", "Anna  Meier, Anna", "((", "; //", "scanner ((x)) ( (x",
+]
 
 
 def test_whole_words_match_brute_force(spark, make_units):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan.functions import fixed_values as fv, text
+from veilscan.functions.patterns import sql_text
 from veilscan.operators.detect import covered, suppression_flags
 from veilscan.operators.lookups import BROADCAST_ROWS, is_small, lookup_join
 from veilscan.sources.units import blob_guard, explode_lines, with_file_type
@@ -21,39 +22,52 @@ def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
     return lines.drop("prev_line").filter(F.col("line") != "")
 
 
-def _longest(words: Column) -> Column:
-    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+RUNS = f"regexp_extract_all(line, {sql_text(fv.WORD_TOKEN + '|' + fv.NON_WORD_RUN)}, 0)"
+WORD_CHAR = r"[\p{L}\p{Nd}_]"
 
 
-def _anchor(value: Column) -> Column:
-    """The piece of a value that must appear in a line as a piece of its own: its
-    longest word token, or the first characters of a value without any word."""
-    return F.coalesce(_longest(text.tokens(value)), F.substring(value, 1, 2))
+def _core(value: Column) -> Column:
+    """The part of a value from its first to its last word character, as it must
+    appear in a line between word borders; a value without words is its own core."""
+    core = F.regexp_extract(value, rf"{WORD_CHAR}(?:(?s:.*){WORD_CHAR})?", 0)
+    return F.when(core != "", core).otherwise(value)
 
 
-def _pieces(line: Column, with_symbols: bool) -> Column:
-    words = text.tokens(line)
-    if not with_symbols:
-        return F.array_distinct(words)
-    runs = F.regexp_extract_all(line, F.lit(fv.NON_WORD_RUN), F.lit(0))
-    pairs = F.flatten(
-        F.transform(
-            runs,
-            lambda r: F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(r)),
-                    lambda i: F.array(F.substr(r, i, F.lit(1)), F.substr(r, i, F.lit(2))),
-                )
-            ),
+def _sizes(known: DataFrame) -> tuple[list[int], list[int]]:
+    """Which numbers of words the values have, and the lengths of those without any."""
+    words = F.size(text.tokens(F.col("value")))
+    row = known.agg(
+        F.array_sort(F.collect_set(F.when(words > 0, words))).alias("words"),
+        F.array_sort(F.collect_set(F.when(words == 0, F.length("value")))).alias("symbols"),
+    ).first()
+    return row["words"], row["symbols"]
+
+
+def _pieces(word_counts: list[int], symbol_lengths: list[int]) -> Column:
+    """The distinct stretches of a line that could be the core of a known value: runs
+    of as many words as some value has, with what lies between them; and, for values
+    without words, the parts of their length of the stretches between words."""
+    first = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
+    parts = []
+    for k in word_counts:
+        last = f"size(runs) - {2 * (k - 1)}"
+        parts.append(
+            f"CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}, 2), "
+            f"i -> array_join(slice(runs, i, {2 * k - 1}), '')) ELSE array() END"
         )
-    )
-    return F.array_distinct(F.concat(words, pairs))
+    for n in symbol_lengths:
+        between = f"filter(runs, r -> length(r) >= {n} AND NOT r rlike {sql_text('^' + WORD_CHAR)})"
+        parts.append(
+            f"flatten(transform({between}, r -> transform(sequence(1, length(r) - {n - 1}), "
+            f"i -> substr(r, i, {n}))))"
+        )
+    return F.expr(f"array_distinct(concat({', '.join(['cast(array() as array<string>)', *parts])}))")
 
 
 def whole_word(line: Column, value: Column) -> Column:
     """Is the value in the line with no letter, digit or ``_`` at either side?"""
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    bounded = F.concat(F.lit(r"(?<![\p{L}\p{Nd}_])"), quoted, F.lit(r"(?![\p{L}\p{Nd}_])"))
+    bounded = F.concat(F.lit(f"(?<!{WORD_CHAR})"), quoted, F.lit(f"(?!{WORD_CHAR})"))
     return line.contains(value) & F.regexp_like(line, bounded)
 
 
@@ -65,26 +79,28 @@ def detect_values(
 ) -> DataFrame:
     """Whole-word occurrences of (attribute, value): one finding per value and line.
 
-    Every value is looked up by one word token it contains, so lines and values meet
-    in an equi-join; the whole value is then checked in the row. Values of several
-    words need no join of every line with every value. ``values`` may carry the
-    severity and category of its attribute.
+    A line lists its runs of one, two, … words, for the numbers of words the values
+    have, and meets the values in an equi-join on the whole run. No line is paired
+    with values it does not hold, even where many values share a word. ``values`` may
+    carry the severity and category of its attribute.
     """
-    known = _with_rule_columns(values).distinct().withColumn("piece", _anchor(F.col("value")))
-    one_word = F.col("value").rlike(r"^[\p{L}\p{Nd}_]+$")
-    has_symbols = not known.filter(~F.col("value").rlike(r"[\p{L}\p{Nd}_]")).isEmpty()
-    pieces = value_lines(units, require_reason).select(
-        *LINE_KEY, "line", F.explode(_pieces(F.col("line"), has_symbols)).alias("piece")
+    known = _with_rule_columns(values).distinct().withColumn("piece", _core(F.col("value")))
+    pieces = (
+        value_lines(units, require_reason)
+        .withColumn("runs", F.expr(RUNS))
+        .select(*LINE_KEY, "line", F.explode(_pieces(*_sizes(known))).alias("piece"))
     )
+    # Equal to a core of words: certain. Otherwise what lies around the core decides.
+    certain = (F.col("value") == F.col("piece")) & F.col("value").rlike(WORD_CHAR)
     occurs = whole_word(F.col("line"), F.col("value"))
     if is_small(known, max_broadcast):
-        found = pieces.join(F.broadcast(known), "piece").filter(one_word | occurs).drop("line")
+        found = pieces.join(F.broadcast(known), "piece").filter(certain | occurs).drop("line")
     else:
-        # Only lines that hold the anchor of a value of several words carry their text
-        # into a shuffle.
-        words = _meet(pieces.drop("line"), known.filter(one_word), max_broadcast)
-        phrases = _meet(pieces, known.filter(~one_word), max_broadcast).filter(occurs)
-        found = words.unionByName(phrases.drop("line"))
+        # Only lines that hold the core of an uncertain value carry their text into a
+        # shuffle.
+        words = _meet(pieces.drop("line"), known.filter(certain), max_broadcast)
+        others = _meet(pieces, known.filter(~certain), max_broadcast).filter(occurs)
+        found = words.unionByName(others.drop("line"))
     return _as_findings(found, F.col("value"))
 
 

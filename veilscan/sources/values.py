@@ -94,6 +94,25 @@ def load_value_columns(
     )
 
 
+def load_record_values(
+    records: DataFrame, attributes: list[str], min_length: int = fv.VALUE_MIN_LENGTH
+) -> DataFrame:
+    """The same for records as JSON text in ``record``: only scalar values count,
+    nested objects and arrays do not."""
+    fields = F.from_json("record", "map<string,variant>")
+    pairs = F.array(
+        *[F.struct(F.lit(a).alias("attribute"), fields[a].alias("v")) for a in attributes]
+    )
+    scalar = ~F.schema_of_variant("v").rlike("^(?:OBJECT|ARRAY)")
+    return (
+        records.select(F.inline(pairs))
+        .filter(F.col("v").isNotNull() & scalar)
+        .select("attribute", F.try_variant_get("v", "$", "string").alias("value"))
+        .filter(F.length("value") >= min_length)
+        .distinct()
+    )
+
+
 def profile_source(records: DataFrame, order_by: str) -> DataFrame:
     """Reachable, number of records, and per attribute a masked sample from the first
     record in the given order."""
@@ -105,8 +124,10 @@ def profile_source(records: DataFrame, order_by: str) -> DataFrame:
         )
         for c in names
     ]
-    return records.agg(F.count("*").alias("records"), F.array(*samples).alias("s")).select(
-        F.lit(True).alias("reachable"), "records", F.inline("s")
+    counted = records.agg(F.count("*").alias("records"), F.array(*samples).alias("s"))
+    # Without records there is one row, and no attribute.
+    return counted.select(
+        F.lit(True).alias("reachable"), "records", F.inline_outer(F.when(F.col("records") > 0, F.col("s")))
     )
 
 
