@@ -12,8 +12,9 @@ from catalog.registry import plain, query
 from catalog.sources import PEPPER, _WORDS
 from veilscan.functions import fixed_values as fv
 from veilscan.operators import findings as fo, govern
-from veilscan.operators.detect import FINDING_COLUMNS
+from veilscan.operators.detect import FINDING_COLUMNS, ScanConfig
 from veilscan.operators.registry import Plugin, Registry, batch_outcomes, degradations, outcome_findings
+from veilscan.plans.history import scan_history
 from veilscan.plans.scan import ScanInputs, scan
 from veilscan.session import materialise
 from veilscan.sources import corpora, values as vs
@@ -123,3 +124,18 @@ def scan_with_all_inputs(spark, sf_dir):
         found, "repo_id", "fingerprint", "rule_id", "severity", "verified", "occurrences",
         "first_seen", "last_seen", "suppressed", "baseline",
     )
+
+
+_MIXED = f"{sql.history(sql.PLANTED)} UNION ALL {sql.INFRASTRUCTURE}"
+
+
+@query("scan_history_blobs", q(
+    sql.findings_ctes(_MIXED, ScanConfig()), f"SELECT {sql.RAW_COLUMNS} FROM raw",
+))
+def scan_history_blobs(spark, sf_dir):
+    """History and infrastructure files, every distinct content scanned once."""
+    units = common.history(spark, sf_dir).unionByName(corpora.infrastructure_units(spark, sf_dir))
+    keyed = units.withColumn("blob_id", F.sha2("content", 256))
+    documents = corpora.planted_units(spark, sf_dir).unionByName(corpora.infrastructure_units(spark, sf_dir))
+    blobs = documents.select(F.sha2("content", 256).alias("blob_id"), "content").dropDuplicates(["blob_id"])
+    return plain(scan_history(keyed.drop("content"), blobs, ScanConfig()), *FINDING_COLUMNS)

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 SAMPLE = (
     "scan_gate_verdicts", "scan_planted_all_detectors", "detect_phone", "policy_gate", "triage", "detect_phrases",
-    "stream_alert_stale_repo", "source_links", "plugin_detector", "lookback_counts",
+    "stream_alert_stale_repo", "source_links", "plugin_detector", "lookback_counts", "scan_history_blobs",
 )
 
 

@@ -67,9 +67,10 @@ ASCII_BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9
 
 
 class Rule(NamedTuple):
-    """A pattern rule. ``anchors`` are literals of which one must occur (any case
-    when ``anchor_any_case``) before ``pattern`` can match; ``hint`` is a cheap
-    pattern with the same meaning. They only save time."""
+    """A pattern rule. ``anchors`` are literals of which one must occur before
+    ``pattern`` can match; ``hint`` is a cheap pattern with the same meaning;
+    ``line_bound`` is false for patterns that match a whole text wherever they match
+    one of its lines. The three only save time."""
 
     rule_id: str
     description: str
@@ -78,6 +79,7 @@ class Rule(NamedTuple):
     target: str | None = None
     anchors: tuple[str, ...] = ()
     hint: str | None = None
+    line_bound: bool = True
 
 
 # --- Fixed values: secret rules -------------------------------------------------
@@ -151,6 +153,7 @@ IAC_RULES = (
         r'(?i)acl\s*=\s*"public-read(-write)?"',
         "HIGH",
         "terraform",
+        line_bound=False,
     ),
     Rule(
         "tf-open-ingress",
@@ -158,6 +161,7 @@ IAC_RULES = (
         r'cidr_blocks\s*=\s*\[\s*"0\.0\.0\.0/0"',
         "HIGH",
         "terraform",
+        line_bound=False,
     ),
     Rule(
         "tf-unencrypted",
@@ -165,6 +169,7 @@ IAC_RULES = (
         r"(?i)encrypted\s*=\s*false",
         "MEDIUM",
         "terraform",
+        line_bound=False,
     ),
     Rule(
         "k8s-privileged",
@@ -172,6 +177,7 @@ IAC_RULES = (
         r"(?i)privileged:\s*true",
         "HIGH",
         "kubernetes",
+        line_bound=False,
     ),
     Rule(
         "k8s-run-as-root",
@@ -179,6 +185,7 @@ IAC_RULES = (
         r"(?i)runAsNonRoot:\s*false",
         "MEDIUM",
         "kubernetes",
+        line_bound=False,
     ),
     Rule(
         "k8s-host-network",
@@ -186,6 +193,7 @@ IAC_RULES = (
         r"(?i)hostNetwork:\s*true",
         "MEDIUM",
         "kubernetes",
+        line_bound=False,
     ),
     Rule(
         "docker-user-root",
@@ -193,6 +201,7 @@ IAC_RULES = (
         r"(?im)^\s*USER\s+root\s*$",
         "MEDIUM",
         "dockerfile",
+        line_bound=False,
     ),
     Rule(
         "docker-latest-tag",
@@ -200,6 +209,7 @@ IAC_RULES = (
         r"(?im)^\s*FROM\s+\S+:latest\b",
         "LOW",
         "dockerfile",
+        line_bound=False,
     ),
 )
 

@@ -48,14 +48,13 @@ def any_sql(conditions: Iterable[str]) -> str:
 def may_match_sql(column: str, rule: Rule, whole_text: bool = False) -> str:
     """Cheap test that holds for every text the rule matches in: literals first,
     found on the bytes, then the hint. A rule without either is tested by its own
-    pattern on a line, and not at all on a whole text, where ``^`` and ``$`` would
-    mean something else."""
+    pattern; on a whole text only if the pattern means the same there as on a line."""
     tests = []
     if rule.anchors:
         tests.append(any_sql(f"contains({column}, {sql_text(a)})" for a in rule.anchors))
     if rule.hint:
         tests.append(f"({column} rlike {sql_text(rule.hint)})")
-    if not tests and not whole_text:
+    if not tests and not (whole_text and rule.line_bound):
         tests.append(f"({column} rlike {sql_text(spark_pattern(rule.pattern))})")
     return " AND ".join(tests) if tests else "true"
 

@@ -86,22 +86,29 @@ def facet_extension(path: Column) -> Column:
     return F.substring_index(path, ".", -1)
 
 
-def iac_target(path: Column, content: Column) -> Column:
-    """terraform / dockerfile / kubernetes, or null for other files."""
+def path_target(path: Column) -> Column:
+    """What the path says: terraform, dockerfile, yaml or null."""
     p = F.lower(path)
     name = F.substring_index(p, "/", -1)
-    kubernetes = (
-        (p.endswith(".yaml") | p.endswith(".yml"))
-        & content.contains("apiVersion:")
-        & content.contains("kind:")
-    )
     return (
         F.when(p.endswith(".tf") | p.endswith(".tf.json"), F.lit("terraform"))
         .when(
             (name == "dockerfile") | name.startswith("dockerfile.") | name.endswith(".dockerfile"),
             F.lit("dockerfile"),
         )
-        .when(kubernetes, F.lit("kubernetes"))
+        .when(p.endswith(".yaml") | p.endswith(".yml"), F.lit("yaml"))
+    )
+
+
+def looks_kubernetes(content: Column) -> Column:
+    return content.contains("apiVersion:") & content.contains("kind:")
+
+
+def iac_target(path: Column, content: Column) -> Column:
+    """terraform / dockerfile / kubernetes, or null for other files."""
+    target = path_target(path)
+    return F.when(target != "yaml", target).when(
+        (target == "yaml") & looks_kubernetes(content), F.lit("kubernetes")
     )
 
 

@@ -281,23 +281,29 @@ def covered(flags: str, category: str) -> Column:
     )
 
 
-def candidate_lines(units: DataFrame, detections: list[Detection]) -> DataFrame:
-    """Lines on which at least one rule may match, out of units for which that holds."""
-    marked = units.select(
-        "repo_id",
-        "path",
-        "commit_id",
-        "ts",
-        text.file_type(F.col("path")).alias("file_type"),
-        text.iac_target(F.col("path"), F.col("content")).alias("iac_target"),
-        "content",
-    )
+UNIT_KEYS = ("repo_id", "path", "commit_id", "ts")
+
+
+def candidate_lines(
+    units: DataFrame,
+    detections: list[Detection],
+    keys: tuple[str, ...] = UNIT_KEYS,
+    scoped: bool = True,
+) -> DataFrame:
+    """Lines on which at least one rule may match, out of units for which that holds.
+    Without ``scoped`` the path is not known yet and every rule is tried."""
+    scope_columns = {
+        "file_type": text.file_type(F.col("path")),
+        "iac_target": text.iac_target(F.col("path"), F.col("content")),
+    } if scoped else {}
+    marked = units.select(*keys, "content", *[c.alias(n) for n, c in scope_columns.items()])
 
     def promising(column: str, whole_text: bool) -> Column:
         scopes = {}
         for d in detections:
-            scopes.setdefault(d.scope, []).append(may_match_sql(column, d.rule, whole_text))
-        return F.expr(any_sql(f"({in_scope(s)} AND {any_sql(t)})" for s, t in scopes.items()))
+            scope = in_scope(d.scope) if scoped else "true"
+            scopes.setdefault(scope, []).append(may_match_sql(column, d.rule, whole_text))
+        return F.expr(any_sql(f"({s} AND {any_sql(t)})" for s, t in scopes.items()))
 
     # A unit without any candidate has its content set to null and so gives no lines.
     # As a projection this test stays where it is and never slides below a shuffle.
@@ -322,27 +328,47 @@ def run_detections(
     keep_suppressed: bool = False,
     with_match_no: bool = False,
 ) -> DataFrame:
-    """Candidate lines → candidates of every rule → accepted, redacted findings.
+    """Findings of the detections over the units. With ``keep_suppressed`` those under
+    an inline directive stay, marked by ``inline_suppressed``; with ``with_match_no`` a
+    finding carries its number among the matches of its rule on the line, which makes
+    it unique within its unit."""
+    found = find_matches(units, detections, require_reason)
+    if not keep_suppressed:
+        found = found.filter(~F.col("inline_suppressed"))
+    extra = ["match_no"] if with_match_no else []
+    extra += ["inline_suppressed"] if keep_suppressed else []
+    return found.withColumn("verified", F.lit(False)).select(*FINDING_COLUMNS, *extra)
+
+
+def find_matches(
+    units: DataFrame,
+    detections: list[Detection],
+    require_reason: bool = False,
+    keys: tuple[str, ...] = UNIT_KEYS,
+    scoped: bool = True,
+) -> DataFrame:
+    """Candidate lines → candidates of every rule → accepted, redacted matches.
 
     All steps are narrow and run in one task each: the plain match lives only
-    between two operators of the same stage. With ``keep_suppressed`` the findings
-    under an inline directive stay, marked by ``inline_suppressed``; with
-    ``with_match_no`` a finding carries its number among the matches of its rule on
-    the line, which makes it unique within its unit.
+    between two operators of the same stage.
     """
     if not detections:
         raise ValueError("no detector is active")
-    found = ", ".join(
-        f"CASE WHEN {in_scope(d.scope)} AND {may_match_sql('line', d.rule)} THEN {d.find} END"
-        for d in detections
-    )
-    keys = ["repo_id", "path", "commit_id", "ts", "line_no"]
-    per_rule = candidate_lines(units, detections).select(
+
+    def guard(d: Detection) -> str:
+        scope = in_scope(d.scope) if scoped else "true"
+        return f"{scope} AND {may_match_sql('line', d.rule)}"
+
+    found = ", ".join(f"CASE WHEN {guard(d)} THEN {d.find} END" for d in detections)
+    per_rule = candidate_lines(units, detections, keys, scoped).select(
         *keys,
+        "line_no",
         suppression_flags(require_reason).alias("off"),
         F.posexplode(F.expr(f"array({found})")).alias("rule", "found"),
     )
-    candidates = per_rule.select(*keys, "off", "rule", F.posexplode("found").alias("match_no", "c"))
+    candidates = per_rule.select(
+        *keys, "line_no", "off", "rule", F.posexplode("found").alias("match_no", "c")
+    )
 
     def of_rule(value: Callable[[Detection], str]) -> Column:
         return F.element_at(text_array(value(d) for d in detections), F.col("rule") + 1)
@@ -351,27 +377,19 @@ def run_detections(
     for i, d in enumerate(detections):
         if d.accept is not None:
             accepted = F.when(F.col("rule") == i, d.accept(F.col("c"))).otherwise(accepted)
-    findings = candidates.filter(accepted).select(
-        "repo_id",
+    matches = candidates.filter(accepted).select(
+        *keys,
+        "line_no",
         of_rule(lambda d: d.detector_id).alias("detector_id"),
         of_rule(lambda d: d.category).alias("category"),
         of_rule(lambda d: d.severity).alias("severity"),
         of_rule(lambda d: d.rule_id).alias("rule_id"),
-        "path",
-        "line_no",
+        of_rule(lambda d: d.scope).alias("scope"),
         text.redact(F.col("c.match")).alias("redacted_match"),
-        "commit_id",
-        "ts",
-        F.lit(False).alias("verified"),
-        "off",
         "match_no",
+        "off",
     )
-    findings = findings.withColumn("inline_suppressed", covered("off", "category")).drop("off")
-    if not with_match_no:
-        findings = findings.drop("match_no")
-    if keep_suppressed:
-        return findings
-    return findings.filter(~F.col("inline_suppressed")).drop("inline_suppressed")
+    return matches.withColumn("inline_suppressed", covered("off", "category")).drop("off")
 
 
 def empty_findings(spark: SparkSession) -> DataFrame:
