@@ -15,10 +15,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     that it outlives any executor. Only where nothing is set (a plain local test
     session) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="veilscan-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilscan-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/veilscan/{name}-{uuid.uuid4().hex}"
 
 
