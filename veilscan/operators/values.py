@@ -50,6 +50,9 @@ def _pieces(word_counts: list[int], symbol_lengths: list[int]) -> Column:
     first = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
     parts = []
     for k in word_counts:
+        if k == 1:
+            parts.append(f"regexp_extract_all(line, {sql_text(fv.WORD_TOKEN)}, 0)")
+            continue
         last = f"size(runs) - {2 * (k - 1)}"
         parts.append(
             f"CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}, 2), "
