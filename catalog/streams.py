@@ -12,7 +12,6 @@ from catalog import common, sql
 from catalog.registry import plain, query
 from catalog.reporting import SESSIONS_SQL, sliding
 from catalog.sources import _FEED, feed_of
-from veilscan.operators import metrics as mo
 from veilscan.operators.detect import detect
 from veilscan.session import work_dir
 from veilscan.sources import corpora, store as st
@@ -70,7 +69,7 @@ _CLOSED = "(SELECT max(t) - 600 FROM src)"
 ))
 def stream_alert_new_critical(spark, sf_dir):
     units = _planted_stream(spark, sf_dir).withWatermark("ts", sf.LATENESS)
-    return plain(sf.run_to_table(mo.alert_new_critical(detect(units, common.CONFIG)), "critical"))
+    return plain(sf.run_to_table(alerts.alert_new_critical(detect(units, common.CONFIG)), "critical"))
 
 
 def _stream_records(spark, sf_dir):
@@ -91,7 +90,7 @@ def stream_alert_gate_fail(spark, sf_dir):
 
 
 @query("stream_alert_error_rate", q(
-    f"{common.DETECTOR_RUNS}, src AS (SELECT ts AS t FROM runs WHERE failed)",
+    f"{common.DETECTOR_RUNS}, src AS (SELECT ts AS t FROM runs)",
     f"SELECT window_start, detector_id, count(*) AS n, round(count(*) / 900.0, 9) AS rate FROM (SELECT detector_id, {sliding(900, 300)} FROM (SELECT detector_id, ts AS t FROM runs WHERE failed)) WHERE window_start + 900 <= {_CLOSED} GROUP BY ALL HAVING count(*) / 900.0 > 0.002",
 ))
 def stream_alert_error_rate(spark, sf_dir):

@@ -1,4 +1,8 @@
-"""Alerts and rates as streaming queries. Rows later than the watermark are dropped."""
+"""Alerts and rates as streaming queries. Rows later than the watermark are dropped.
+
+Started in update mode an alert fires with the batch that causes it; in append mode it is
+written once, when its window has closed.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,10 @@ from veilscan.operators import metrics as mo
 from veilscan.streaming.findings import LATENESS
 
 
-def alert_new_critical(findings: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    return mo.alert_new_critical(findings.withWatermark("ts", lateness))
+def alert_new_critical(findings: DataFrame) -> DataFrame:
+    """``findings`` come from units with a watermark on ``ts``, so that units without
+    findings move it on too."""
+    return mo.alert_new_critical(findings)
 
 
 def alert_gate_fail(gates: DataFrame, lateness: str = LATENESS) -> DataFrame:
