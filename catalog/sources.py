@@ -229,7 +229,7 @@ def key_values_json(spark, sf_dir):
     document = (
         F.when(n == 0, F.col("props"))
         .when(n == 1, F.concat(F.lit('[{"key": "'), "event_type", F.lit('", "value": '), "event_id", F.lit("}]")))
-        .otherwise(F.concat(F.lit(' [{"type": "'), "event_type", F.lit('", "user": "'), "user_id", F.lit('", "none": null, "blank": " "}]')))
+        .otherwise(F.concat(F.lit(' [{"type": "'), "event_type", F.lit('", "user": "'), "user_id", F.lit('", "none": null, "blank": " ", "nest": {"a": "b"}, "list": ["c"]}]')))
     )
     rows = corpora.read_table(spark, sf_dir, "events").select(document.alias("d"))
     return vs.key_values_of_json(rows, F.col("d"))

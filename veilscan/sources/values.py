@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from veilscan.functions import fixed_values as fv, text
 from veilscan.operators.lookups import lookup_join
 
-OBJECT = "map<string,string>"
+OBJECT = "map<string,variant>"
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
@@ -54,13 +54,20 @@ def key_values_of_json(rows: DataFrame, document: Column) -> DataFrame:
             )
         ).alias("o")
     )
-    pair_like = (
-        F.map_contains_key("o", "key") & F.map_contains_key("o", "value")
+    pair_like = F.map_contains_key("o", "key") & F.map_contains_key("o", "value")
+    one_pair = F.array(
+        F.struct(_scalar(F.col("o")["key"]).alias("key"), _scalar(F.col("o")["value"]).alias("value"))
     )
-    pairs = F.when(
-        pair_like, F.array(F.struct(F.col("o")["key"].alias("key"), F.col("o")["value"].alias("value")))
-    ).otherwise(F.map_entries("o"))
-    return _filled(objects.select(F.inline(pairs)))
+    all_pairs = F.transform(
+        F.map_entries("o"), lambda e: F.struct(e["key"].alias("key"), _scalar(e["value"]).alias("value"))
+    )
+    return _filled(objects.select(F.inline(F.when(pair_like, one_pair).otherwise(all_pairs))))
+
+
+def _scalar(value: Column) -> Column:
+    """Text of a JSON scalar; null for objects, arrays and JSON null."""
+    nested = F.schema_of_variant(value).rlike("^(?:OBJECT|ARRAY)")
+    return F.when(~nested, F.try_variant_get(value, "$", "string"))
 
 
 def records_at_path(rows: DataFrame, document: Column, path: str | None = None) -> DataFrame:
@@ -103,12 +110,10 @@ def load_record_values(
     pairs = F.array(
         *[F.struct(F.lit(a).alias("attribute"), fields[a].alias("v")) for a in attributes]
     )
-    scalar = ~F.schema_of_variant("v").rlike("^(?:OBJECT|ARRAY)")
     return (
         records.select(F.inline(pairs))
-        .filter(F.col("v").isNotNull() & scalar)
-        .select("attribute", F.try_variant_get("v", "$", "string").alias("value"))
-        .filter(F.length("value") >= min_length)
+        .select("attribute", _scalar(F.col("v")).alias("value"))
+        .filter(F.col("value").isNotNull() & (F.length("value") >= min_length))
         .distinct()
     )
 
