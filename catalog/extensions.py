@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from catalog import common, sql
 from catalog.registry import plain, query
 from catalog.sources import PEPPER, _WORDS
-from veilscan.functions import fixed_values as fv
 from veilscan.operators import findings as fo, govern
 from veilscan.operators.detect import FINDING_COLUMNS, ScanConfig
 from veilscan.operators.registry import Plugin, Registry, batch_outcomes, degradations, outcome_findings

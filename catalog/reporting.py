@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import common, sql
 from catalog.registry import plain, query
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators import findings as fo, govern, metrics as mo, query as qo
+from veilscan.operators import govern, metrics as mo, query as qo
 from veilscan.session import materialise
 from veilscan.sources import corpora, reports as rp
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilscan.functions import fixed_values as fv, text
