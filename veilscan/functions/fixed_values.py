@@ -126,7 +126,7 @@ SECRET_RULES = (
         "Slack Token",
         r"xox[baprs]-[0-9A-Za-z\-]{10,48}",
         "HIGH",
-        anchors=("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"),
+        anchors=("xox",),
     ),
     Rule(
         "private-key",
