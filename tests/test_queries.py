@@ -2,6 +2,7 @@
 
 import pytest
 
+from catalog.registry import ORACLES, QUERIES
 from __spark_entry__ import entry, oracle_sql, queries
 from tools_check import TABLES, rows_of
 
@@ -24,7 +25,8 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
