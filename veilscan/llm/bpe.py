@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilscan.llm.inputs import id_and_text
 
 SHORT = 64
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 NO_RANK = 1 << 60
 BATCH_BYTES = 8 << 20
 

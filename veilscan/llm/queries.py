@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilscan.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from veilscan.llm import bpe, decontaminate, exact_dedup, files, simhash, token_count, token_files, toxicity, warc
 from veilscan.llm.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op2_warc_normaliser")
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, single = files.shared_folder(spark, "warc-whole"), files.shared_folder(spark, "warc")
+    warc.write_archives(warc.page_records(table(spark, sf_dir, "pages")), f"{whole}/archives")
+    return warc.read_archives(warc.normalise(spark, f"{whole}/archives", single))
+
+
 @query("op3_simhash_near_dedup")
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,6 +49,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), path, files.shared_folder(spark, "tokens"), vocabulary_size=50_257
+    )
+    return token_files.read_token_files(manifest)
+
+
 @query("op7_toxicity_ordinal")
 def op7_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -62,3 +78,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe_round_trip")
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
