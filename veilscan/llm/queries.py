@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilscan.llm import bpe, decontaminate, exact_dedup, files, simhash, token_count, token_files, toxicity, warc
+from veilscan.llm import bpe, chat, chat_events, decontaminate, exact_dedup, files, simhash, suffix_array, token_count, token_files, toxicity, warc
 from veilscan.llm.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_chat_tool_links", chat_events.SQL)
+def op1_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = chat_events.conversation_events(table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(events, chat.schema_table(spark))
+
+
 @query("op2_warc_normaliser")
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, single = files.shared_folder(spark, "warc-whole"), files.shared_folder(spark, "warc")
@@ -38,6 +44,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_array.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 @query("op5_benchmark_decontamination")
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
