@@ -231,14 +231,11 @@ def near_duplicates(
     )
 
 
-def keep_one_per_group(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    words: int = WORDS_PER_SHINGLE, max_bits: int = MAX_BITS,
-) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those that are near-duplicates of a kept one:
-    each group keeps the row of its smallest id; of several rows with that id the one whose
-    text sorts first. Rows without an id cannot be named by a group and are kept."""
-    marks = near_duplicates(docs, id_col, text_col, words, max_bits)
+    each group of ``marks`` (doc_id, component_id) keeps the row of its smallest id; of several
+    rows with that id the one whose text sorts first. Rows without an id cannot be named by a
+    group and are kept."""
     kept = (
         marks.filter(F.col("doc_id") == F.col("component_id"))
         .select(F.col("component_id").alias("__id")).distinct().withColumn("__kept", F.lit(True))
