@@ -18,21 +18,25 @@ repeated rows, ties and empty tables pass through as they are; further columns p
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from veilscan.llm.inputs import id_and_text
 
 SHORT = 64
 REMEMBERED = 400_000
 NO_RANK = 1 << 60
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
 BATCH_BYTES = 8 << 20
 
 # White space as the tokenizer's patterns know it (Unicode White_Space).
@@ -80,6 +84,8 @@ class Vocabulary:
         ids, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        # The rank of a pair above the id of what it becomes: the least number merges first.
+        self.ranks = {pair: rank << ID_BITS | whole for pair, (rank, whole) in self.merges.items()}
         letters = byte_letters()
         self.inner = [ids[c] for c in letters]
         self.final = [ids[c + end] for c in letters]
@@ -89,7 +95,10 @@ class Vocabulary:
             self.tokens[n] = token
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.decimal = [str(n) for n in range(len(self.tokens))]
+        # Pieces between white space that are not a word of letters, and words.
         self.memory: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Vocabulary:
@@ -99,24 +108,24 @@ class Vocabulary:
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
-        parts = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
+        parts = [*map(self.inner.__getitem__, raw)]
+        parts[-1] = self.final[raw[-1]]
         return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        none = (NO_RANK, -1)
-        merge = self.merges.get
-        ranks = [merge(p, none)[0] for p in zip(parts, parts[1:])]
+        rank_of = self.ranks.get
+        ranks = [rank_of(p, NO_RANK) for p in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             k = ranks.index(least)
-            parts[k] = self.merges[parts[k], parts[k + 1]][1]
-            del parts[k + 1], ranks[k]
+            del parts[k], ranks[k]
+            merged = parts[k] = least & ID_MASK
             if k:
-                ranks[k - 1] = merge((parts[k - 1], parts[k]), none)[0]
+                ranks[k - 1] = rank_of((parts[k - 1], merged), NO_RANK)
             if k < len(ranks):
-                ranks[k] = merge((parts[k], parts[k + 1]), none)[0]
+                ranks[k] = rank_of((merged, parts[k + 1]), NO_RANK)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
@@ -141,11 +150,21 @@ class Vocabulary:
                         heapq.heappush(heap, (m[0], left, pair))
         return [p for p in alive if p is not None]
 
+    def _known_word(self, word: str) -> bytes:
+        packed = self.words.get(word)
+        if packed is None:
+            packed = array("i", self.word(word)).tobytes()
+            if len(word) <= 4 * SHORT:
+                self.words[word] = packed
+        return packed
+
     def _fragment(self, fragment: str) -> bytes:
-        if len(self.memory) >= REMEMBERED:
+        if len(self.memory) + len(self.words) >= REMEMBERED:
             self.memory.clear()
-        ids = [n for w in _WORDS.findall(fragment) for n in self.word(w)]
-        packed = np.array(ids, dtype="<i4").tobytes()
+            self.words.clear()
+        if fragment.isalpha():  # letters only: one word
+            return self._known_word(fragment)
+        packed = b"".join(map(self._known_word, _WORDS.findall(fragment)))
         if len(fragment) <= 4 * SHORT:
             self.memory[fragment] = packed
         return packed
@@ -160,8 +179,8 @@ class Vocabulary:
         )
 
     def _plain(self, text: str) -> bytes:
-        known, new = self.memory.get, self._fragment
-        return b"".join([known(f) or new(f) for f in fragments(normalised(text))])
+        word, other, new = self.words.get, self.memory.get, self._fragment
+        return b"".join([word(f) or other(f) or new(f) for f in fragments(normalised(text))])
 
     def decode(self, ids: list[int]) -> str:
         """The library has no decoder for this kind of file and joins tokens by a space."""
@@ -205,17 +224,31 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         vocabulary = Vocabulary.at(path)
         for whole in batches:
             for batch in _sliced(whole, "ids"):
-                decoded = pa.array([vocabulary.decode(ids) for ids in batch.column("ids").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
+                lists = batch.column("ids")
+                ends, flat = lists.offsets.to_pylist(), np.asarray(lists.values)
+                decoded = [vocabulary.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the decoded text."""
-    both = decode_documents(encode_documents(docs, path, id_col, text_col), path)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, and SHA-256 of the ids (in decimal, joined by a space) and of the text
+    decoded from them. Both ways run in one worker, so neither ids nor texts travel back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary.at(path)
+        for whole in batches:
+            counts, first, second = [], [], []
+            for text in whole.column("text"):
+                ids = np.frombuffer(vocabulary.encode(text.as_py()), dtype="<i4").tolist()
+                counts.append(len(ids))
+                first.append(hashlib.sha256(" ".join(map(vocabulary.decimal.__getitem__, ids)).encode()).hexdigest())
+                second.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
+            columns = [whole.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, _DIGESTS)
