@@ -33,6 +33,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 HISTORY = sql.history(sql.PLANTED)
 
 
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repository that was scanned."""
+    return history(spark, sf_dir).select("repo_id").distinct()
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(history(spark, sf_dir), CONFIG)
 

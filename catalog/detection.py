@@ -29,7 +29,7 @@ IBANS = ScanConfig(groups=("pii",), pii_patterns=("iban",))
 CARDS = ScanConfig(groups=("pii",), pii_patterns=("creditcard",))
 ALL_CARDS = ScanConfig(groups=("pii",), pii_patterns=("creditcard",), allowed_cards=())
 MAILS = ScanConfig(
-    groups=("pii",), pii_patterns=("email",), mail_filter=MailFilter(domains=("firma.ch",))
+    groups=("pii",), pii_patterns=("email",), mail_filter=MailFilter(domains=("seilerwerk.ch",))
 )
 ALL_MAILS = ScanConfig(
     groups=("pii",), pii_patterns=("email",), mail_filter=MailFilter(enabled=False)

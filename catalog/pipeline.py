@@ -11,7 +11,7 @@ from veilscan.operators import findings as fo, govern, rulesets
 from veilscan.operators.detect import ScanConfig, detect
 from veilscan.operators.scrub import remaining_secrets, scrub_content
 from veilscan.plans.scan import ScanInputs, raw_findings, scan
-from veilscan.session import materialise
+from veilscan.session import materialise, work_dir
 from veilscan.sources import corpora, store as st
 
 q = sql.with_query
@@ -19,18 +19,22 @@ q = sql.with_query
 
 @query("scan_gate_verdicts", q(
     f"{sql.findings_ctes(sql.ALL_UNITS, ScanConfig().with_rules_on(('phone',)))}, {sql.aggregate_ctes()}",
-    "SELECT repo_id, count(*) AS findings, count(*) FILTER (severity_rank >= 3) AS blocking_count, "
+    "SELECT repo_id, count(agg.path) AS findings, count(*) FILTER (severity_rank >= 3) AS blocking_count, "
     "count(*) FILTER (severity_rank >= 2) AS warn_count, count(*) FILTER (severity_rank >= 3) = 0 AS passed, "
-    "(CASE WHEN count(*) FILTER (severity_rank >= 3) = 0 THEN 0 ELSE 1 END)::INTEGER AS exit_code FROM agg GROUP BY repo_id",
+    "(CASE WHEN count(*) FILTER (severity_rank >= 3) = 0 THEN 0 ELSE 1 END)::INTEGER AS exit_code "
+    "FROM (SELECT DISTINCT repo_id FROM units) LEFT JOIN agg USING (repo_id) GROUP BY repo_id",
 ))
 def scan_gate_verdicts(spark, sf_dir):
-    """All detectors, phone included, over every unit; one verdict per repository."""
-    found = scan(corpora.all_units(spark, sf_dir), ScanConfig().with_rules_on(("phone",)))
+    """All detectors, phone included, over every unit; one verdict per repository, clean ones
+    included."""
+    units = corpora.all_units(spark, sf_dir)
+    found = scan(units, ScanConfig().with_rules_on(("phone",)))
     counted = found.groupBy("repo_id").agg(
         F.count("*").alias("findings"),
         F.count_if(govern.countable(F.lit("HIGH"), F.lit(False))).alias("blocking_count"),
         F.count_if(govern.countable(F.lit("MEDIUM"), F.lit(False))).alias("warn_count"),
     )
+    counted = units.select("repo_id").distinct().join(counted, "repo_id", "left").na.fill(0)
     return counted.withColumn("passed", F.col("blocking_count") == 0).withColumn(
         "exit_code", F.when(F.col("passed"), 0).otherwise(1)
     )
@@ -134,17 +138,15 @@ def generate_baseline(spark, sf_dir):
     "'2024-02-01' AS accepted_at, NULL::VARCHAR AS reason FROM (SELECT DISTINCT fingerprint FROM agg)",
 ))
 def baseline_round_trip(spark, sf_dir):
-    """Entries written as baseline documents and read back."""
+    """Entries written as baseline files and read back."""
     found = common.aggregated(spark, sf_dir).select("fingerprint").distinct()
     entries = found.select(
         "fingerprint", F.lit("lead").alias("accepted_by"), F.lit("2024-02-01").alias("accepted_at"),
         F.lit(None).cast("string").alias("reason"),
     )
-    documents = st.baseline_documents(entries, "2024-02-01T00:00:00Z", 20_000).select(
-        F.to_json(F.struct("version", "generatedAt", "entries")).alias("document")
-    )
-    parsed = documents.select(F.from_json("document", st.BASELINE_SCHEMA).alias("d")).select("d.*")
-    return st.baseline_entries(parsed)
+    path = work_dir(spark, "baseline")
+    st.write_baseline(entries, path, "2024-02-01T00:00:00Z")
+    return st.read_baseline(spark, path)
 
 
 @query("drop_allowlisted", q(
@@ -180,28 +182,31 @@ _GATE = (
     "SELECT repo_id, blocking_count, warn_count, 'HIGH' AS fail_on, {soft} AS soft_fail, blocking_count = 0 AS passed, "
     "(CASE WHEN blocking_count = 0 THEN 0 ELSE {code} END)::INTEGER AS exit_code FROM (SELECT repo_id, "
     "count(*) FILTER (NOT suppressed {new} AND severity_rank >= 3) AS blocking_count, "
-    "count(*) FILTER (NOT suppressed {new} AND severity_rank >= 2) AS warn_count FROM flagged GROUP BY repo_id)"
+    "count(*) FILTER (NOT suppressed {new} AND severity_rank >= 2) AS warn_count "
+    "FROM (SELECT DISTINCT repo_id FROM units) LEFT JOIN flagged USING (repo_id) GROUP BY repo_id)"
 )
 
 
 @query("evaluate_gate", q(common.FLAGGED, _GATE.format(soft="false", code=1, new="")))
 def evaluate_gate(spark, sf_dir):
-    return govern.evaluate_gate(common.flagged(spark, sf_dir))
+    return govern.evaluate_gate(common.flagged(spark, sf_dir), repos=common.repos(spark, sf_dir))
 
 
 @query("evaluate_gate_new_only", q(common.FLAGGED, _GATE.format(soft="true", code=3, new="AND NOT baseline")))
 def evaluate_gate_new_only(spark, sf_dir):
-    return govern.evaluate_gate(common.flagged(spark, sf_dir), fail_on_new_only=True, soft_fail=True)
+    return govern.evaluate_gate(
+        common.flagged(spark, sf_dir), fail_on_new_only=True, soft_fail=True, repos=common.repos(spark, sf_dir)
+    )
 
 
 @query("evaluate_raw_gate", q(
     common.RAW,
     "SELECT repo_id, count(*) FILTER (severity = 'CRITICAL') AS blocking_count, 'CRITICAL' AS fail_on, false AS soft_fail, "
     "count(*) FILTER (severity = 'CRITICAL') = 0 AS passed, (CASE WHEN count(*) FILTER (severity = 'CRITICAL') = 0 THEN 0 ELSE 1 END)::INTEGER AS exit_code "
-    "FROM raw GROUP BY repo_id",
+    "FROM (SELECT DISTINCT repo_id FROM units) LEFT JOIN raw USING (repo_id) GROUP BY repo_id",
 ))
 def evaluate_raw_gate(spark, sf_dir):
-    return govern.evaluate_raw_gate(common.raw(spark, sf_dir), "CRITICAL")
+    return govern.evaluate_raw_gate(common.raw(spark, sf_dir), "CRITICAL", repos=common.repos(spark, sf_dir))
 
 
 # --- rulesets and policies ----------------------------------------------------------
@@ -338,9 +343,18 @@ def policy_gate(spark, sf_dir):
 
 # --- store, triage, audit -----------------------------------------------------------
 
-@query("append_findings", q(common.STORE, f"SELECT {', '.join(common.STORE_COLUMNS)} FROM store"))
+@query("append_findings", q(
+    common.STORE,
+    f"SELECT {', '.join(common.STORE_COLUMNS)} FROM store UNION ALL SELECT {', '.join(common.STORE_COLUMNS)} "
+    "FROM (SELECT * REPLACE (sha256('again-' || repo_id || '/' || repo_id || '/' || fingerprint) AS id, 'again-' || repo_id AS scan_id) FROM store)",
+))
 def append_findings(spark, sf_dir):
-    return plain(common.store(spark, sf_dir), *common.STORE_COLUMNS)
+    """The findings of two scans appended to a store on disk, which is then read."""
+    path = work_dir(spark, "store")
+    found = materialise(common.flagged(spark, sf_dir), "flagged")
+    for scan_name in ("scan-", "again-"):
+        st.append_findings(govern.stored_findings(found, F.concat(F.lit(scan_name), F.col("repo_id"))), path)
+    return plain(spark.read.parquet(path), *common.STORE_COLUMNS)
 
 
 def _decisions(stored):
@@ -562,7 +576,7 @@ def _scrub_sql() -> str:
     line = "x"
     for r in _SCRUB_RULES:
         line = f"regexp_replace({line}, {sql.lit(r.pattern)}, '***REMOVED***', 'g')"
-    return f"array_to_string(list_transform(string_split(content, chr(10)), lambda x: CASE WHEN length(x) <= 4000 THEN {line} ELSE x END), chr(10))"
+    return f"array_to_string(list_transform(string_split(content, chr(10)), lambda x: {line}), chr(10))"
 
 
 @query("scrub_content", q(

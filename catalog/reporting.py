@@ -102,17 +102,17 @@ def notify_candidates(spark, sf_dir):
 
 
 @query("report_order", q(
-    common.AGG, "SELECT repo_id, fingerprint, severity FROM agg ORDER BY severity_rank DESC, repo_id, fingerprint LIMIT 100",
+    common.AGG, "SELECT repo_id, fingerprint, severity FROM agg ORDER BY severity_rank DESC, repo_id, fingerprint",
 ))
 def report_order(spark, sf_dir):
-    return qo.report_order(common.aggregated(spark, sf_dir)).limit(100).select("repo_id", "fingerprint", "severity")
+    return qo.report_order(common.aggregated(spark, sf_dir)).select("repo_id", "fingerprint", "severity")
 
 
 @query("sorted_findings", q(
-    common.STORE, "SELECT id, last_seen FROM store ORDER BY last_seen DESC, id LIMIT 50",
+    common.STORE, "SELECT id, last_seen FROM store ORDER BY last_seen DESC, id",
 ))
 def sorted_findings(spark, sf_dir):
-    return plain(qo.sorted_findings(_stored(spark, sf_dir), "last_seen").limit(50), "id", "last_seen")
+    return plain(qo.sorted_findings(_stored(spark, sf_dir), "last_seen"), "id", "last_seen")
 
 
 @query("remediable", q(
@@ -156,14 +156,13 @@ def sarif_results(spark, sf_dir):
 
 
 @query("sarif_documents", q(
-    common.FLAGGED, "SELECT repo_id, count(*)::INTEGER AS results, 20::INTEGER AS rules FROM flagged WHERE NOT suppressed GROUP BY repo_id",
+    common.FLAGGED, "SELECT repo_id, count(*)::INTEGER AS results, 23::INTEGER AS rules FROM flagged WHERE NOT suppressed GROUP BY repo_id",
 ))
 def sarif_documents(spark, sf_dir):
     """Results and rules counted back out of the finished documents."""
     from veilscan.operators.rulesets import rule_catalog
 
-    catalog = rule_catalog(spark).filter(~F.col("rule_id").isin("high-entropy-string", "pii.custom-regex", "pii.customer-data-api"))
-    documents = rp.sarif_documents(common.flagged(spark, sf_dir), rp.sarif_rules(catalog, F.col("rule_id")))
+    documents = rp.sarif_documents(common.flagged(spark, sf_dir), rp.sarif_rules(rule_catalog(spark), F.col("rule_id")))
     results = F.from_json(F.get_json_object("document", "$.runs[0].results"), "array<string>")
     rules = F.from_json(F.get_json_object("document", "$.runs[0].tool.driver.rules"), "array<string>")
     return documents.groupBy("repo_id").agg(
@@ -215,12 +214,12 @@ def last_scans(spark, sf_dir):
 
 @query("repository_cards", q(
     f"{common.STORE}, {common.REPOSITORIES}, {common.SCAN_RECORDS}, {_LAST}, lang AS (SELECT repo_id, arg_min(ext, {{'a': -n, 'b': ext}}) AS language FROM (SELECT repo_id, regexp_extract(path, '\\.([^./]*)$', 1) AS ext, count(*) AS n FROM store GROUP BY ALL) GROUP BY repo_id)",
-    "SELECT name, type, coalesce(language, '') AS language, last_scan_at, last_status FROM repos LEFT JOIN lang ON lang.repo_id = name LEFT JOIN last ON replace(last.repo_id, 'repo', 'src') = name AND n <> 7",
+    "SELECT name, type, coalesce(language, '') AS language, last_scan_at, last_status FROM repos LEFT JOIN lang ON lang.repo_id = name LEFT JOIN last ON replace(last.repo_id, 'repo', 'src') = name",
 ))
 def repository_cards(spark, sf_dir):
     records = corpora.scan_records(spark, sf_dir).withColumn("repo_id", F.regexp_replace("repo_id", "^repo", "src"))
     cards = qo.repository_cards(
-        corpora.repositories(spark, sf_dir), records.filter(F.col("repo_id") != "src7"), _stored(spark, sf_dir)
+        corpora.repositories(spark, sf_dir), records, _stored(spark, sf_dir)
     )
     return plain(cards, "name", "type", "language", "last_scan_at", "last_status")
 
@@ -280,15 +279,15 @@ def active_detectors(spark, sf_dir):
 
 
 @query("coverage", q(
-    f"{common.FLAGGED}, {common.REPOSITORIES}, {common.SCAN_RECORDS}, lastr AS (SELECT replace(repo_id, 'repo', 'src') AS name, max(started_at) AS at_s FROM records WHERE repo_id <> 'repo7' GROUP BY ALL), "
-    "gates AS (SELECT repo_id AS name, count(*) FILTER (NOT suppressed AND severity_rank >= 3) = 0 AS passed FROM flagged GROUP BY repo_id)",
+    f"{common.FLAGGED}, {common.REPOSITORIES}, {common.SCAN_RECORDS}, lastr AS (SELECT replace(repo_id, 'repo', 'src') AS name, max(started_at) AS at_s FROM records GROUP BY ALL), "
+    "gates AS (SELECT u.repo_id AS name, count(f.repo_id) FILTER (NOT suppressed AND severity_rank >= 3) = 0 AS passed FROM (SELECT DISTINCT repo_id FROM units) u LEFT JOIN flagged f USING (repo_id) GROUP BY u.repo_id)",
     f"SELECT count(*) AS repos, count(at_s) AS scanned, count(at_s) / count(*) AS share_scanned, count(*) FILTER (NOT passed) AS gate_fail, max({common.NOW} - at_s) AS longest_gap_s FROM repos LEFT JOIN lastr USING (name) LEFT JOIN gates USING (name)",
 ))
 def coverage(spark, sf_dir):
     records = corpora.scan_records(spark, sf_dir).withColumn("repo_id", F.regexp_replace("repo_id", "^repo", "src"))
-    gates = govern.evaluate_gate(common.flagged(spark, sf_dir))
+    gates = govern.evaluate_gate(common.flagged(spark, sf_dir), repos=common.repos(spark, sf_dir))
     return mo.coverage(
-        corpora.repositories(spark, sf_dir), records.filter(F.col("repo_id") != "src7"),
+        corpora.repositories(spark, sf_dir), records,
         materialise(gates, "gates"), F.timestamp_seconds(F.lit(common.NOW)),
     )
 
@@ -313,11 +312,11 @@ def top_repos_by_risk(spark, sf_dir):
 
 
 @query("gate_fail_quota", q(
-    f"{common.FLAGGED}, gates AS (SELECT repo_id, count(*) FILTER (NOT suppressed AND severity_rank >= 3) = 0 AS passed FROM flagged GROUP BY repo_id)",
+    f"{common.FLAGGED}, gates AS (SELECT u.repo_id, count(f.repo_id) FILTER (NOT suppressed AND severity_rank >= 3) = 0 AS passed FROM (SELECT DISTINCT repo_id FROM units) u LEFT JOIN flagged f USING (repo_id) GROUP BY u.repo_id)",
     "SELECT count(*) AS repos, count(*) FILTER (NOT passed) AS failing, count(*) FILTER (NOT passed) / count(*) AS quota FROM gates",
 ))
 def gate_fail_quota(spark, sf_dir):
-    return mo.gate_fail_quota(govern.evaluate_gate(common.flagged(spark, sf_dir)))
+    return mo.gate_fail_quota(govern.evaluate_gate(common.flagged(spark, sf_dir), repos=common.repos(spark, sf_dir)))
 
 
 @query("finding_trend", q(

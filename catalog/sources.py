@@ -38,6 +38,24 @@ _VARIANTS = (
 ))
 def blob_guard(spark, sf_dir):
     """Documents, some made too large and some given a NUL early or late."""
+    units = _variants(spark, sf_dir)
+    return un.blob_guard(units, fv.MAX_BLOB_BYTES, fv.NUL_PROBE_BYTES).select(
+        "repo_id", "path", F.octet_length("content").cast("bigint").alias("bytes")
+    )
+
+
+@query("skipped_units", q(
+    f"units AS ({_VARIANTS})",
+    f"SELECT repo_id, path, strlen(content) AS bytes, CASE WHEN strlen(content) > {fv.MAX_BLOB_BYTES} THEN 'size' ELSE 'binary' END AS reason "
+    f"FROM units WHERE NOT ({sql.BLOB_OK})",
+))
+def skipped_units(spark, sf_dir):
+    """What the same limits leave out."""
+    units = _variants(spark, sf_dir).withColumn("commit_id", F.lit("c"))
+    return un.skipped_units(units, fv.MAX_BLOB_BYTES, fv.NUL_PROBE_BYTES).drop("commit_id")
+
+
+def _variants(spark, sf_dir):
     docs = corpora.read_table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     times = (F.floor(F.lit(2000000) / (F.octet_length("text") + 1)) + 1).cast("int")
@@ -47,12 +65,9 @@ def blob_guard(spark, sf_dir):
         .when(n % 97 == 5, F.repeat(F.concat("text", F.lit(" ")), times))
         .otherwise(F.col("text"))
     )
-    units = docs.select(
+    return docs.select(
         F.col("source").alias("repo_id"), F.concat(F.lit("f"), n).alias("path"), content.alias("content")
     )
-    return un.blob_guard(units).select(
-        "repo_id", "path", F.octet_length("content").cast("bigint").alias("bytes")
-    )
 
 
 _BRANCHED = (
@@ -136,7 +151,7 @@ def route_by_file_type(spark, sf_dir):
     "SELECT repo_id, path, line_no, length(line) AS n, sha256(line) AS digest, sha256(coalesce(prev_line, '')) AS prev_digest FROM lines",
 ))
 def explode_lines(spark, sf_dir):
-    lines = un.explode_lines(un.blob_guard(corpora.all_units(spark, sf_dir)))
+    lines = un.explode_lines(corpora.all_units(spark, sf_dir))
     return lines.select(
         "repo_id", "path", "line_no", F.length("line").cast("bigint").alias("n"),
         F.sha2("line", 256).alias("digest"), F.sha2(F.coalesce("prev_line", F.lit("")), 256).alias("prev_digest"),
@@ -148,7 +163,7 @@ def explode_lines(spark, sf_dir):
     "SELECT repo_id, count(*) AS total_lines, count(*) FILTER (length(line) > 4000) AS skipped_lines FROM lines GROUP BY repo_id",
 ))
 def skipped_lines(spark, sf_dir):
-    return un.skipped_lines(un.blob_guard(corpora.all_units(spark, sf_dir)))
+    return un.skipped_lines(corpora.all_units(spark, sf_dir))
 
 
 _CATALOG_SQL = (
@@ -351,7 +366,7 @@ def detect_values(spark, sf_dir):
 
 
 _PHRASES = (
-    "phrases AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS value FROM benchmark UNION SELECT '. ' UNION SELECT '???')"
+    "phrases AS (SELECT DISTINCT text AS value FROM benchmark WHERE text <> '' UNION SELECT '. ' UNION SELECT '???')"
 )
 
 
@@ -365,8 +380,8 @@ _PHRASES = (
 ))
 def detect_phrases(spark, sf_dir):
     """Values of several words, and values without any word."""
-    start = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    values = corpora.read_table(spark, sf_dir, "benchmark").select(start.alias("value")).distinct()
+    passages = corpora.read_table(spark, sf_dir, "benchmark").filter("text <> ''")
+    values = passages.select(F.col("text").alias("value")).distinct()
     more = spark.createDataFrame([(". ",), ("???",)], "value string")
     known = values.unionByName(more).select(F.sha2("value", 256).alias("attribute"), "value")
     found = vo.detect_values(corpora.all_units(spark, sf_dir), known)
@@ -486,7 +501,7 @@ def mail_list_hits(spark, sf_dir):
     from veilscan.functions.patterns import all_matches
 
     units = corpora.all_units(spark, sf_dir).unionByName(corpora.planted_units(spark, sf_dir))
-    lines = un.explode_lines(un.blob_guard(units)).filter(F.col("line").contains("@"))
+    lines = un.explode_lines(units).filter(F.col("line").contains("@"))
     mails = lines.select(
         "repo_id", "path", "line_no", F.explode(all_matches(F.col("line"), fv.EMAIL_PATTERN)).alias("m")
     )
@@ -502,7 +517,7 @@ def mail_list_hits(spark, sf_dir):
     "SELECT repo_id, path, sum(len(regexp_extract_all(line, '[\\p{L}\\p{Nd}_]+')))::BIGINT AS tokens, sum(list_sum(list_transform(regexp_extract_all(line, '[\\p{L}\\p{Nd}_]+'), lambda t: length(t))))::BIGINT AS token_chars FROM lines GROUP BY ALL",
 ))
 def tokenise(spark, sf_dir):
-    lines = un.explode_lines(un.blob_guard(corpora.all_units(spark, sf_dir)), max_chars=None)
+    lines = un.explode_lines(corpora.all_units(spark, sf_dir))
     found = text.tokens(F.col("line"))
     chars = F.aggregate(found, F.lit(0), lambda acc, t: acc + F.length(t))
     return lines.groupBy("repo_id", "path").agg(

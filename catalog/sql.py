@@ -90,12 +90,12 @@ BLOB_OK = (
 )
 
 
-def lines_ctes(units: str, max_chars: int | None = fv.MAX_LINE_CHARS) -> str:
+def lines_ctes(units: str, max_chars: int | None = None) -> str:
     limit = f"WHERE length(line) <= {max_chars}" if max_chars else ""
     return (
         f"units AS ({units}), "
         f"marked AS (SELECT *, {FILE_TYPE} AS file_type, {IAC_TARGET} AS iac_target, "
-        f"string_split(content, chr(10)) AS ls FROM units WHERE {BLOB_OK}), "
+        f"string_split(content, chr(10)) AS ls FROM units), "
         "numbered AS (SELECT repo_id, path, commit_id, ts, file_type, iac_target, "
         "unnest(ls) AS line, unnest(list_concat([NULL], ls[:-2])) AS prev_line, "
         "unnest(range(1, len(ls) + 1))::INTEGER AS line_no FROM marked), "

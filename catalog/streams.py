@@ -32,7 +32,9 @@ def stream_scan(spark, sf_dir):
     """Every unit is delivered twice; it counts once."""
     units = _planted_stream(spark, sf_dir)
     twice = units.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return plain(sf.run_to_table(sf.stream_scan(twice, common.CONFIG), "stream-scan"))
+    path = work_dir(spark, "stream-scan")
+    sf.stream_scan(twice, common.CONFIG, path, work_dir(spark, "stream-scan-state")).awaitTermination()
+    return plain(spark.read.parquet(path).drop("batch_id"))
 
 
 @query("stream_dedup_findings", q(
@@ -41,8 +43,7 @@ def stream_scan(spark, sf_dir):
 def stream_dedup_findings(spark, sf_dir):
     units = corpora.history_units(_planted_stream(spark, sf_dir))
     path = work_dir(spark, "dedup")
-    found = sf.stream_scan(units, common.CONFIG, "10 days")
-    sf.start_dedup(found, path, work_dir(spark, "dedup-state")).awaitTermination()
+    sf.stream_dedup(units, common.CONFIG, path, work_dir(spark, "dedup-state")).awaitTermination()
     combined = sf.combine_partials(spark.read.parquet(path))
     return plain(combined, "repo_id", "fingerprint", "rule_id", "commit_id", "first_seen", "last_seen", "occurrences")
 

@@ -10,9 +10,9 @@ from veilscan.operators import lookups, metrics, query as qo, rulesets
 from veilscan.sources import reports, store as st, units as un, values as vs
 
 
-@pytest.mark.parametrize("bound", [100, 0])
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_is_the_same_beyond_the_bound(spark, how, bound):
+def test_lookup_join_is_the_same_beyond_the_bound(spark, how, threshold):
     # One key holds a third of all rows.
     large = spark.range(900).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 40).alias("k"), F.lit("x" * 10).alias("content")
@@ -20,19 +20,15 @@ def test_lookup_join_is_the_same_beyond_the_bound(spark, how, bound):
     small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     right = small if how in ("inner", "left") else small.select("k")
     want = sorted(map(str, large.join(right, ["k"], how).collect()))
-    got = lookups.lookup_join(large, right, ["k"], how, max_rows=bound)
-    assert sorted(map(str, got.select(*large.join(right, ["k"], how).columns).collect())) == want
-
-
-def test_salted_join_spreads_a_hot_key(spark):
-    large = spark.range(3000).select(F.col("id"), F.lit(7).alias("k"))
-    small = spark.range(20).select(F.col("id").alias("k"))
-    joined = lookups.lookup_join(large, small, ["k"], "inner", max_rows=0)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
-    salts = large.select(F.pmod(F.xxhash64("id", "k"), F.lit(lookups.SALTS)).alias("s")).groupBy("s").count()
-    sizes = [r["count"] for r in salts.collect()]
-    assert len(sizes) == lookups.SALTS and max(sizes) < 300
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = lookups.lookup_join(large, right, ["k"], how)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (threshold != "-1") and "explode" not in plan.lower()
+        assert sorted(map(str, got.select(*large.join(right, ["k"], how).columns).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def ruleset(position, enforcement, is_global, repos, *rules):
@@ -174,12 +170,18 @@ def test_history_modes(make_units):
 
 
 def test_lines(make_units):
-    lines = un.explode_lines(make_units(("a", "x\ny\n"), ("b", ""), ("c", "p\n" + "q" * 4001 + "\nr")))
-    got = sorted((r["path"], r["line_no"], r["line"], r["prev_line"]) for r in lines.collect())
-    assert got == [
+    units = make_units(("a", "x\ny\n"), ("b", ""), ("c", "p\n" + "q" * 4001 + "\nr"))
+
+    def lines(limit):
+        rows = un.explode_lines(units, limit).collect()
+        return sorted((r["path"], r["line_no"], r["line"], r["prev_line"]) for r in rows)
+
+    every = [
         ("a", 1, "x", None), ("a", 2, "y", "x"), ("a", 3, "", "y"), ("b", 1, "", None),
-        ("c", 1, "p", None), ("c", 3, "r", "q" * 4001),
+        ("c", 1, "p", None), ("c", 2, "q" * 4001, "p"), ("c", 3, "r", "q" * 4001),
     ]
+    assert lines(None) == every
+    assert lines(4000) == [r for r in every if r[1:2] != (2,) or r[0] != "c"]
 
 
 def test_file_types_and_files(spark, tmp_path):

@@ -26,7 +26,7 @@ from veilscan.functions.patterns import (
     text_array,
     with_context,
 )
-from veilscan.sources.units import blob_ok, explode_lines
+from veilscan.sources.units import blob_guard, explode_lines
 
 FINDING_COLUMNS = (
     "repo_id", "detector_id", "category", "severity", "rule_id", "path", "line_no",
@@ -65,6 +65,10 @@ class ScanConfig:
     allowed_ibans: tuple[str, ...] = fv.ALLOWED_IBANS
     allowed_cards: tuple[str, ...] = fv.ALLOWED_CARDS
     require_reason: bool = False
+    # Limits are off unless set; ``skipped_units`` and ``skipped_lines`` list what they leave out.
+    max_blob_bytes: int | None = None
+    nul_probe_bytes: int | None = None
+    max_line_chars: int | None = None
     overrides: dict[str, RuleSwitch] = field(default_factory=dict)
 
     def active(self, rule_id: str, default_on: bool = True) -> bool:
@@ -289,6 +293,7 @@ def candidate_lines(
     detections: list[Detection],
     keys: tuple[str, ...] = UNIT_KEYS,
     scoped: bool = True,
+    max_line_chars: int | None = None,
 ) -> DataFrame:
     """Lines on which at least one rule may match, out of units for which that holds.
     Without ``scoped`` the path is not known yet and every rule is tried."""
@@ -307,8 +312,8 @@ def candidate_lines(
 
     # A unit without any candidate has its content set to null and so gives no lines.
     # As a projection this test stays where it is and never slides below a shuffle.
-    wanted = F.when(blob_ok(F.col("content")) & promising("content", True), F.col("content"))
-    lines = explode_lines(marked.withColumn("content", wanted))
+    wanted = F.when(promising("content", True), F.col("content"))
+    lines = explode_lines(marked.withColumn("content", wanted), max_line_chars)
     return lines.filter(promising("line", False))
 
 
@@ -318,7 +323,8 @@ def detect(units: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     detections = active_detections(config)
     if not detections:
         return empty_findings(units.sparkSession)
-    return run_detections(units, detections, config.require_reason)
+    guarded = blob_guard(units, config.max_blob_bytes, config.nul_probe_bytes)
+    return run_detections(guarded, detections, config.require_reason, max_line_chars=config.max_line_chars)
 
 
 def run_detections(
@@ -327,12 +333,13 @@ def run_detections(
     require_reason: bool = False,
     keep_suppressed: bool = False,
     with_match_no: bool = False,
+    max_line_chars: int | None = None,
 ) -> DataFrame:
     """Findings of the detections over the units. With ``keep_suppressed`` those under
     an inline directive stay, marked by ``inline_suppressed``; with ``with_match_no`` a
     finding carries its number among the matches of its rule on the line, which makes
     it unique within its unit."""
-    found = find_matches(units, detections, require_reason)
+    found = find_matches(units, detections, require_reason, max_line_chars=max_line_chars)
     if not keep_suppressed:
         found = found.filter(~F.col("inline_suppressed"))
     extra = ["match_no"] if with_match_no else []
@@ -346,6 +353,7 @@ def find_matches(
     require_reason: bool = False,
     keys: tuple[str, ...] = UNIT_KEYS,
     scoped: bool = True,
+    max_line_chars: int | None = None,
 ) -> DataFrame:
     """Candidate lines → candidates of every rule → accepted, redacted matches.
 
@@ -360,7 +368,7 @@ def find_matches(
         return f"{scope} AND {may_match_sql('line', d.rule)}"
 
     found = ", ".join(f"CASE WHEN {guard(d)} THEN {d.find} END" for d in detections)
-    per_rule = candidate_lines(units, detections, keys, scoped).select(
+    per_rule = candidate_lines(units, detections, keys, scoped, max_line_chars).select(
         *keys,
         "line_no",
         suppression_flags(require_reason).alias("off"),

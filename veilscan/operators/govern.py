@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators.lookups import lookup_join
-
-# Edits of up to this many files are broadcast to the files.
-MAX_EDITED_FILES = 20_000
+from veilscan.operators.lookups import keep_known, lookup_join
 
 
 def countable(fail_on: Column, fail_on_new_only: Column) -> Column:
@@ -34,23 +31,36 @@ def evaluate_gate(
     fail_on_new_only: bool = False,
     soft_fail: bool = False,
     warn_threshold: str = "MEDIUM",
+    repos: DataFrame | None = None,
 ) -> DataFrame:
-    """Verdict per repository over aggregated findings."""
+    """Verdict per repository over aggregated findings. ``repos`` (repo_id) names all that were
+    scanned: those without any finding pass."""
     new_only = F.lit(fail_on_new_only)
     counted = findings.groupBy("repo_id").agg(
         F.count_if(countable(F.lit(fail_on), new_only)).alias("blocking_count"),
         F.count_if(countable(F.lit(warn_threshold), new_only)).alias("warn_count"),
     )
+    counted = _for_all(counted, repos)
     return _verdict(
         counted.withColumns({"fail_on": F.lit(fail_on), "soft_fail": F.lit(soft_fail)})
     )
 
 
-def evaluate_raw_gate(findings: DataFrame, fail_on: str = "HIGH", soft_fail: bool = False) -> DataFrame:
+def _for_all(counted: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Counts for every repository, zero where nothing was found."""
+    if repos is None:
+        return counted
+    return repos.select("repo_id").distinct().join(counted, "repo_id", "left").na.fill(0)
+
+
+def evaluate_raw_gate(
+    findings: DataFrame, fail_on: str = "HIGH", soft_fail: bool = False, repos: DataFrame | None = None
+) -> DataFrame:
     """Verdict per repository over raw findings."""
     counted = findings.groupBy("repo_id").agg(
         F.count_if(text.at_least(F.col("severity"), fail_on)).alias("blocking_count")
     )
+    counted = _for_all(counted, repos)
     return _verdict(
         counted.withColumns({"fail_on": F.lit(fail_on), "soft_fail": F.lit(soft_fail)})
     )
@@ -117,8 +127,10 @@ def decision_error(status: Column, reason: Column, known: Column) -> Column:
 
 def judge_decisions(store: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (id, status, reason, …) with ``error``: null where acceptable."""
-    known = store.select("id").distinct().withColumn("_known", F.lit(True))
-    joined = lookup_join(decisions, known, ["id"], "left")
+    # The store is the large side: the few ids decided on go to it, and those it has come back.
+    asked = decisions.select("id").distinct()
+    known = keep_known(store.select("id"), asked, ["id"]).distinct().withColumn("_known", F.lit(True))
+    joined = decisions.join(known, ["id"], "left")
     found = F.coalesce(F.col("_known"), F.lit(False))
     return joined.withColumn(
         "error", decision_error(F.col("status"), F.col("reason"), found)
@@ -313,13 +325,12 @@ def apply_edits(units: DataFrame, edits: DataFrame) -> DataFrame:
 
     An edit replaces the lines start..end by its content (one line), or, for content
     that begins with the append mark, adds it to the line unless a directive is there.
-    Edits outside the file are skipped. The edits of one file meet its row as an
-    array; a file is at most MAX_BLOB_BYTES.
+    Edits outside the file are skipped. The edits of one file meet its row as one array.
     """
     per_file = edits.groupBy("repo_id", "path").agg(
         F.array_sort(F.collect_list(F.struct("seq", "start_line", "end_line", "new_content"))).alias("edits")
     )
-    joined = lookup_join(units, per_file, ["repo_id", "path"], "inner", MAX_EDITED_FILES)
+    joined = lookup_join(units, per_file, ["repo_id", "path"], "inner")
     # A trailing newline ends the last line rather than starting another one.
     body = F.regexp_replace("content", r"\r?\n\z", "")
     lines = F.when(F.col("content") == "", F.array().cast("array<string>")).otherwise(

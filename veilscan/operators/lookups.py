@@ -1,47 +1,30 @@
 """Joins of a large table against a lookup whose size is not known beforehand.
 
-A lookup is broadcast only after its size was checked. Beyond the bound both sides
-are hash-partitioned on the key plus a salt: the lookup is repeated once per salt
-value and every row of the large side carries one, so a key that holds a third of
-all rows is still spread over many tasks.
+The lookup is computed once and written to the work folder. Spark then knows its size in
+bytes: below ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the large side stays
+in place; beyond, both sides meet in a shuffle join, whose skewed partitions adaptive execution
+splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 200_000
-SALTS = 16
+from veilscan.session import materialise
 
 
-def is_small(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Has the lookup at most ``max_rows`` rows? Reads no further than that."""
-    return lookup.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    large: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str,
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """``large`` joined with ``lookup`` on equal keys: inner, left, left_semi or
-    left_anti. ``lookup`` must be unique per key for inner and left joins."""
-    if lookup.isStreaming or is_small(lookup, max_rows):
-        return large.join(lookup if lookup.isStreaming else F.broadcast(lookup), keys, how)
-    spread_by = [c for c in large.columns if c != "content"]
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+def lookup_join(large: DataFrame, lookup: DataFrame, keys: list[str], how: str, stored: bool = False) -> DataFrame:
+    """``large`` joined with ``lookup`` on equal keys: inner, left, left_semi or left_anti.
+    ``lookup`` must be unique per key for inner and left joins; ``stored`` says that it is a
+    table as it lies on disk, or made of literals, and need not be written."""
+    if not (stored or lookup.isStreaming):
+        lookup = materialise(lookup, "lookup")
+    return large.join(lookup, keys, how)
 
 
 def keep_known(large: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    return lookup_join(large, lookup.select(*keys), keys, "left_semi")
+    return lookup_join(large, lookup.select(*keys).distinct(), keys, "left_semi")
 
 
 def keep_unknown(large: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    return lookup_join(large, lookup.select(*keys), keys, "left_anti")
+    return lookup_join(large, lookup.select(*keys).distinct(), keys, "left_anti")

@@ -17,7 +17,8 @@ def query_findings(
     offset: int = 0,
     limit: int = fv.PAGE_LIMIT_DEFAULT,
 ) -> DataFrame:
-    """A page of findings, worst first. All filters apply before the page is cut."""
+    """A page of findings, worst first. All filters apply before the page is cut. A ``limit`` of
+    0 or less takes the default page size; any other is honoured."""
     out = store
     if repo_id is not None:
         out = out.filter(F.col("repo_id") == repo_id)
@@ -27,9 +28,7 @@ def query_findings(
         out = out.filter(F.col("triage_status") == status)
     if min_severity is not None:
         out = out.filter(text.at_least(F.col("severity"), min_severity))
-    size = limit if 0 < limit <= fv.PAGE_LIMIT_MAX else (
-        fv.PAGE_LIMIT_DEFAULT if limit <= 0 else fv.PAGE_LIMIT_MAX
-    )
+    size = limit if limit > 0 else fv.PAGE_LIMIT_DEFAULT
     return out.orderBy(F.col("severity_rank").desc(), "id").offset(max(0, offset)).limit(size)
 
 
@@ -117,8 +116,8 @@ def recent_scans(records: DataFrame, limit: int) -> DataFrame:
     return records.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(limit)
 
 
-def last_scans(records: DataFrame, among_newest: int | None = fv.RECENT_SCANS) -> DataFrame:
-    """Latest scan per repository, among the newest runs overall."""
+def last_scans(records: DataFrame, among_newest: int | None = None) -> DataFrame:
+    """Latest scan per repository; on request among the newest runs overall only."""
     pool = records if among_newest is None else recent_scans(records, among_newest)
     return pool.groupBy("repo_id").agg(
         F.max_by(
@@ -221,38 +220,43 @@ def requeue_stale(records: DataFrame, now: Column, max_age_s: int = 120) -> Data
     )
 
 
+# How web hosts address a line of a file: folder between repository and revision, and the mark
+# before the line number. Fixed by the hosts.
+HOST_STYLES = {"bitbucket.org": ("src", "#lines-")}
+USUAL_STYLE = ("blob", "#L")
+
+
+def _web_address(location: Column) -> tuple[Column, Column]:
+    """Host and repository folder of a clone address, null unless it names a web host. The short
+    form user@host:folder is read as ssh://user@host/folder, so one parser serves all forms."""
+    short = F.regexp_replace(location, r"^([^/@:]+@[^/:]+):(?!/)", "ssh://$1/")
+    url = F.when(short.rlike(r"^(https?|ssh)://[^/]+/."), short)
+    host = F.try_parse_url(url, F.lit("HOST"))
+    folder = F.trim(F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), r"^/+|/*\.git$|/+$", ""))
+    return host, F.when(folder != "", folder)
+
+
 def source_links(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Findings with a web link to their line; null where the repository is unknown
-    or has no web host."""
-    branch = F.coalesce(text.blank_to_null(F.get("branches", F.lit(0))), F.lit("HEAD"))
+    """Findings with a web link to their line; null where the repository is unknown or has no web
+    host."""
+    host, folder = _web_address(F.trim("location"))
     known = repos.select(
-        F.col("name").alias("repo_id"), F.trim("location").alias("_location"), branch.alias("_ref")
+        F.col("name").alias("repo_id"),
+        F.concat_ws("/", F.lit("https:/"), host, folder).alias("_base"), host.alias("_host"), folder.alias("_folder"),
+        F.coalesce(text.blank_to_null(F.get("branches", F.lit(0))), F.lit("HEAD")).alias("_ref"),
     )
-    joined = lookup_join(findings, known, ["repo_id"], "left")
-    location = F.col("_location")
-    scp, web, ssh = r"^git@([^:]+):(.+)$", r"^https?://([^/]+)/(.+)$", r"^ssh://(?:[^@]+@)?([^/]+)/(.+)$"
-
-    def part(group: int) -> Column:
-        return (
-            F.when(location.rlike(scp), F.regexp_extract(location, scp, group))
-            .when(location.rlike(web), F.regexp_extract(location, web, group))
-            .when(location.rlike(ssh), F.regexp_extract(location, ssh, group))
-        )
 
-    host = F.when(location.rlike(scp), part(1)).otherwise(F.regexp_replace(part(1), r":\d+$", ""))
-    host = F.regexp_replace(host, r"^[^@]+@", "")
-    folder = F.regexp_replace(F.regexp_replace(part(2), r"\.git$", ""), r"/+$", "")
-    bitbucket = F.col("_host") == "bitbucket.org"
-    link = F.concat(
-        F.lit("https://"), F.col("_host"), F.lit("/"), F.col("_folder"),
-        F.when(bitbucket, F.lit("/src/")).otherwise(F.lit("/blob/")),
-        F.col("_ref"), F.lit("/"), F.regexp_replace("path", "^/+", ""),
-        F.when(F.col("line_no") <= 0, F.lit(""))
-        .when(bitbucket, F.concat(F.lit("#lines-"), F.col("line_no")))
-        .otherwise(F.concat(F.lit("#L"), F.col("line_no"))),
-    )
+    def styled(part: int) -> Column:
+        out = F.lit(USUAL_STYLE[part])
+        for name, style in HOST_STYLES.items():
+            out = F.when(F.col("_host") == name, F.lit(style[part])).otherwise(out)
+        return out
+
+    line = F.when(F.col("line_no") > 0, F.concat(styled(1), F.col("line_no"))).otherwise(F.lit(""))
+    file = F.ltrim(F.col("path"), F.lit("/"))
+    link = F.concat(F.concat_ws("/", "_base", styled(0), "_ref", file), line)
+    linked = F.col("_host").isNotNull() & F.col("_folder").isNotNull() & (F.col("path") != "")
     return (
-        joined.withColumns({"_host": host, "_folder": folder})
-        .withColumn("link", F.when((F.col("_folder") != "") & (F.col("path") != ""), link))
-        .drop("_host", "_folder", "_location", "_ref")
+        lookup_join(findings, known, ["repo_id"], "left")
+        .withColumn("link", F.when(linked, link)).drop("_base", "_host", "_folder", "_ref")
     )

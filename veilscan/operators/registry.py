@@ -1,8 +1,9 @@
 """Caller-supplied detectors, verifiers and fix proposers.
 
-A detector is a function from a line table to raw findings, both DataFrames. For
-arbitrary Python code per line there is ``batch_detector``: it runs on Arrow batches
-and reports a failing batch as degraded instead of aborting the scan.
+A detector is a function from a line table to raw findings, both DataFrames. A detector that
+fails while it builds its plan is left out of the scan and reported. For arbitrary Python code
+per line there is ``batch_outcomes``: it runs on Arrow batches and reports a line on which the
+code fails instead of aborting the scan.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilscan.functions import fixed_values as fv
 from veilscan.functions.patterns import sql_text
 from veilscan.operators.detect import FINDING_COLUMNS, covered, empty_findings, suppression_flags
-from veilscan.sources.units import blob_guard, explode_lines, with_file_type
+from veilscan.sources.units import explode_lines, with_file_type
 
 LineDetector = Callable[[DataFrame], DataFrame]
 Proposer = Callable[[DataFrame], DataFrame]
@@ -54,7 +55,7 @@ class Registry:
     def lines_for(self, units: DataFrame, plugin: Plugin) -> DataFrame:
         """The lines a detector gets to see: its file types, without those a directive
         covers for its category."""
-        typed = with_file_type(blob_guard(units)).filter(F.col("file_type").isin(*plugin.file_types))
+        typed = with_file_type(units).filter(F.col("file_type").isin(*plugin.file_types))
         lines = explode_lines(
             typed.select("repo_id", "path", "commit_id", "ts", "file_type", "content")
         )
@@ -63,11 +64,19 @@ class Registry:
 
     def run(self, units: DataFrame) -> DataFrame:
         """Findings of all registered detectors."""
-        out = empty_findings(units.sparkSession)
+        return self.run_reporting(units)[0]
+
+    def run_reporting(self, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Findings of all registered detectors, and the detectors left out (detector_id, message)."""
+        spark = units.sparkSession
+        out, failed = empty_findings(spark), []
         for plugin in self.detectors.values():
-            found = plugin.detect(self.lines_for(units, plugin))
-            out = out.unionByName(found.select(*FINDING_COLUMNS))
-        return out
+            try:
+                found = plugin.detect(self.lines_for(units, plugin)).select(*FINDING_COLUMNS)
+                out = out.unionByName(found)
+            except Exception as error:  # noqa: BLE001 - foreign code must not abort the scan
+                failed.append((plugin.detector_id, f"{plugin.detector_id}: {type(error).__name__}: {error}"))
+        return out, spark.createDataFrame(failed, "detector_id string, message string")
 
     def propose(self, findings: DataFrame, base: DataFrame) -> DataFrame:
         """Proposals of all proposers, added to the built-in ones."""

@@ -146,17 +146,26 @@ def resolve_rules(pairs: DataFrame, rulesets: DataFrame) -> DataFrame:
     return joined.withColumn("override", F.coalesce("_own", "_shared")).drop("_own", "_shared")
 
 
-def apply_overrides(findings: DataFrame, rulesets: DataFrame, default_off: tuple[str, ...] = fv.PII_DEFAULT_OFF) -> DataFrame:
+def apply_overrides(
+    findings: DataFrame,
+    rulesets: DataFrame,
+    default_off: tuple[str, ...] = fv.PII_DEFAULT_OFF,
+    named: tuple[str, ...] = (),
+) -> DataFrame:
     """Findings as each repository's rulesets want them.
 
     Detection runs with every rule some repository switches on; here a finding is
-    dropped where its rule is off, off by default and not switched on, or matched by
-    value list instead of pattern. A severity override replaces the severity.
+    dropped where its rule is off. A pattern finding is also dropped where its rule is off by
+    default and neither switched on nor ``named`` by the scan, and where the rule's values are
+    matched by list or service instead of pattern: that hands the rule over to the known values,
+    whose findings stay. A severity override replaces the severity.
     """
     resolved = resolve_rules(findings, rulesets)
     o = F.col("override")
-    on = F.when(o.isNull(), ~F.col("rule_id").isin(*default_off)).otherwise(
-        o["enabled"] & ~o["match_mode"].isin("LIST", "API")
+    by_pattern = F.col("detector_id") == fv.PII_DETECTOR
+    quiet = [r for r in default_off if r not in {n.lower() for n in named}]
+    on = F.when(o.isNull(), ~(by_pattern & F.col("rule_id").isin(*quiet))).otherwise(
+        o["enabled"] & ~(by_pattern & o["match_mode"].isin("LIST", "API"))
     )
     wanted = F.upper(F.trim(o["severity"]))
     severity = F.when(wanted.isin(*fv.SEVERITIES), wanted).otherwise(F.col("severity"))

@@ -12,8 +12,8 @@ from veilscan.operators.lookups import lookup_join
 
 def scrub_content(units: DataFrame, repos: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Units with every match of the secret rules replaced, in the repositories that
-    are to be scrubbed (repo_id). All rows of the history take part; content stays in
-    its task. Lines beyond the length limit are not scanned and so stay as they are.
+    are to be scrubbed (repo_id). All rows of the history take part, and every line of
+    them; content stays in its task.
     """
     chosen = repos.select("repo_id").distinct().withColumn("_scrub", F.lit(True))
     marked = lookup_join(units, chosen, ["repo_id"], "left")
@@ -24,7 +24,7 @@ def scrub_content(units: DataFrame, repos: DataFrame, config: ScanConfig = ScanC
         out = line
         for rule in rules:
             out = F.regexp_replace(out, F.lit(spark_pattern(rule.pattern)), F.lit(fv.REMOVED_MARK))
-        return F.when(F.length(line) <= fv.MAX_LINE_CHARS, out).otherwise(line)
+        return out
 
     cleaned = F.array_join(F.transform(F.split("content", "\n", -1), clean), "\n")
     wanted = F.coalesce(F.col("_scrub"), F.lit(False)) & F.expr(needed)

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilscan.functions import fixed_values as fv, text
 from veilscan.functions.patterns import sql_text
 from veilscan.operators.detect import covered, suppression_flags
-from veilscan.operators.lookups import BROADCAST_ROWS, is_small, lookup_join
-from veilscan.sources.units import blob_guard, explode_lines, with_file_type
+from veilscan.session import materialise
+from veilscan.sources.units import explode_lines, with_file_type
 
 LINE_KEY = ("repo_id", "path", "commit_id", "ts", "line_no", "off")
 
@@ -16,9 +16,9 @@ LINE_KEY = ("repo_id", "path", "commit_id", "ts", "line_no", "off")
 def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
     """Lines for value matching: every line of every text file, however long, with
     the categories that inline directives cover there."""
-    guarded = with_file_type(blob_guard(units)).filter(F.col("file_type") != "BINARY")
+    guarded = with_file_type(units).filter(F.col("file_type") != "BINARY")
     keep = guarded.select("repo_id", "path", "commit_id", "ts", "content")
-    lines = explode_lines(keep, max_chars=None).withColumn("off", suppression_flags(require_reason))
+    lines = explode_lines(keep).withColumn("off", suppression_flags(require_reason))
     return lines.drop("prev_line").filter(F.col("line") != "")
 
 
@@ -33,88 +33,123 @@ def _core(value: Column) -> Column:
     return F.when(core != "", core).otherwise(value)
 
 
-def _sizes(known: DataFrame) -> tuple[list[int], list[int]]:
-    """Which numbers of words the values have, and the lengths of those without any."""
-    words = F.size(text.tokens(F.col("value")))
-    row = known.agg(
-        F.array_sort(F.collect_set(F.when(words > 0, words))).alias("words"),
-        F.array_sort(F.collect_set(F.when(words == 0, F.length("value")))).alias("symbols"),
+def _parts(known: DataFrame) -> DataFrame:
+    """The stretches by which lines find a value: its first and its last 2^j words, for the
+    largest power within its number of words. The two overlap or touch, so both at the right
+    distance are the whole core. Values of 2^j words, or of none, are one stretch."""
+    runs = F.regexp_extract_all(F.col("core"), F.lit(f"{fv.WORD_TOKEN}|{fv.NON_WORD_RUN}"), F.lit(0))
+    words = F.size(text.tokens(F.col("core")))
+    marked = (
+        known.withColumn("runs", runs).withColumn("words", words)
+        .withColumn("size", F.when(words > 0, F.pow(F.lit(2), F.floor(F.log2(words))).cast("int")).otherwise(0))
+        .withColumn("delta", 2 * (F.col("words") - F.col("size")))
+    )
+    rule = ("attribute", "value", "severity", "category", "core", "size")
+    whole = marked.filter("delta = 0").select(*rule, F.col("core").alias("piece"), F.lit(0).alias("back"), F.lit("whole").alias("role"))
+    ends = marked.filter("delta > 0")
+    width = 2 * F.col("size") - 1
+    head = ends.select(*rule, F.array_join(F.slice("runs", F.lit(1), width), "").alias("piece"), F.lit(0).alias("back"), F.lit("head").alias("role"))
+    tail = ends.select(*rule, F.array_join(F.slice("runs", F.col("delta") + 1, width), "").alias("piece"), F.col("delta").alias("back"), F.lit("tail").alias("role"))
+    return whole.unionByName(head).unionByName(tail)
+
+
+def _needs(parts: DataFrame) -> tuple[list[int], list[int], int, int]:
+    """Which powers of two of words occur, the lengths of values without words, and how many
+    characters values have before and after their cores."""
+    at = F.instr(F.col("value"), F.col("core")) - 1
+    row = parts.agg(
+        F.array_sort(F.collect_set(F.when(F.col("size") > 0, F.col("size")))).alias("words"),
+        F.array_sort(F.collect_set(F.when(F.col("size") == 0, F.length("value")))).alias("symbols"),
+        F.max(at).alias("before"), F.max(F.length("value") - F.length("core") - at).alias("after"),
     ).first()
-    return row["words"], row["symbols"]
+    return row["words"], row["symbols"], row["before"] or 0, row["after"] or 0
 
 
-def _pieces(word_counts: list[int], symbol_lengths: list[int]) -> Column:
-    """The distinct stretches of a line that could be the core of a known value: runs
-    of as many words as some value has, with what lies between them; and, for values
-    without words, the parts of their length of the stretches between words."""
+def _pieces(word_counts: list[int], symbol_lengths: list[int], before: int, after: int) -> Column:
+    """The stretches of a line that could be a part of a known value, each with its place and the
+    few characters before and after it that decide whether the value stands there: runs of as
+    many words as some part has, with what lies between them; and, for values without words, the
+    stretches of their length between words. The line itself stays behind."""
     first = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
+
+    def left(i: str) -> str:
+        return f"right(concat(coalesce(get(runs, {i} - 3), ''), coalesce(get(runs, {i} - 2), '')), {before + 1})"
+
+    def right(i: str, k: int) -> str:
+        return f"left(concat(coalesce(get(runs, {i} - 1 + {k}), ''), coalesce(get(runs, {i} + {k}), '')), {after + 1})"
+
     parts = []
     for k in word_counts:
-        if k == 1:
-            parts.append(f"regexp_extract_all(line, {sql_text(fv.WORD_TOKEN)}, 0)")
-            continue
         last = f"size(runs) - {2 * (k - 1)}"
+        core = "get(runs, i - 1)" if k == 1 else f"array_join(slice(runs, i, {2 * k - 1}), '')"
         parts.append(
-            f"CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}, 2), "
-            f"i -> array_join(slice(runs, i, {2 * k - 1}), '')) ELSE array() END"
+            f"CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}, 2), i -> named_struct("
+            f"'piece', {core}, 'place', cast(i as bigint), 'left', {left('i')}, 'right', {right('i', 2 * k - 1)})) END"
         )
     for n in symbol_lengths:
-        between = f"filter(runs, r -> length(r) >= {n} AND NOT r rlike {sql_text('^' + WORD_CHAR)})"
+        # A stretch between words, with the last character before and the first one after it.
         parts.append(
-            f"flatten(transform({between}, r -> transform(sequence(1, length(r) - {n - 1}), "
-            f"i -> substr(r, i, {n}))))"
+            "flatten(transform(filter(sequence(1, size(runs)), j -> length(get(runs, j - 1)) >= "
+            f"{n} AND NOT get(runs, j - 1) rlike {sql_text('^' + WORD_CHAR)}), "
+            f"j -> transform(sequence(1, length(get(runs, j - 1)) - {n - 1}), i -> named_struct("
+            f"'piece', substr(get(runs, j - 1), i, {n}), 'place', -(j * 2147483647L + i), "
+            "'left', right(if(i > 1, substr(get(runs, j - 1), i - 1, 1), coalesce(get(runs, j - 2), '')), 1), "
+            f"'right', left(if(i + {n} <= length(get(runs, j - 1)), substr(get(runs, j - 1), i + {n}, 1), "
+            "coalesce(get(runs, j), '')), 1)))))"
         )
-    return F.expr(f"array_distinct(concat({', '.join(['cast(array() as array<string>)', *parts])}))")
-
-
-def whole_word(line: Column, value: Column) -> Column:
-    """Is the value in the line with no letter, digit or ``_`` at either side?"""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    bounded = F.concat(F.lit(f"(?<!{WORD_CHAR})"), quoted, F.lit(f"(?!{WORD_CHAR})"))
-    return line.contains(value) & F.regexp_like(line, bounded)
+    empty = "cast(array() as array<struct<piece:string,place:bigint,left:string,right:string>>)"
+    filled = [f"coalesce({p}, {empty})" for p in parts]
+    return F.expr(f"concat({', '.join([empty, *filled])})")
+
+
+def stands_whole(value: Column, piece: Column, left: Column, right: Column) -> Column:
+    """Given its core in a line and what lies around: does the value stand there, with no letter,
+    digit or ``_`` at either side?"""
+    at = F.instr(value, piece) - 1
+    head = F.substring(value, F.lit(1), at)
+    tail = F.substring(value, at + F.length(piece) + 1, F.length(value))
+    before = F.substring(left, F.lit(1), F.length(left) - F.length(head))
+    after = F.substring(right, F.length(tail) + 1, F.length(right))
+    return (
+        left.endswith(head) & right.startswith(tail)
+        & ~before.rlike(f"{WORD_CHAR}$") & ~after.rlike(f"^{WORD_CHAR}")
+    )
 
 
-def detect_values(
-    units: DataFrame,
-    values: DataFrame,
-    max_broadcast: int = BROADCAST_ROWS,
-    require_reason: bool = False,
-) -> DataFrame:
+def detect_values(units: DataFrame, values: DataFrame, require_reason: bool = False) -> DataFrame:
     """Whole-word occurrences of (attribute, value): one finding per value and line.
 
-    A line lists its runs of one, two, … words, for the numbers of words the values
-    have, and meets the values in an equi-join on the whole run. No line is paired
-    with values it does not hold, even where many values share a word. ``values`` may
-    carry the severity and category of its attribute.
+    A line lists its runs of 1, 2, 4, … words, up to the longest part of a value, and meets the
+    parts in an equi-join on the whole run. No line is paired with values it does not hold, even
+    where many values share a word, and no run carries its line: the work is linear in the text
+    and grows with the logarithm of the longest value. ``values`` may carry the severity and
+    category of its attribute.
     """
-    known = _with_rule_columns(values).distinct().withColumn("piece", _core(F.col("value")))
+    known = _with_rule_columns(values).filter(F.col("value") != "").distinct()
+    parts = materialise(_parts(known.withColumn("core", _core(F.col("value")))), "values")
     pieces = (
         value_lines(units, require_reason)
         .withColumn("runs", F.expr(RUNS))
-        .select(*LINE_KEY, "line", F.explode(_pieces(*_sizes(known))).alias("piece"))
+        .select(*LINE_KEY, F.explode(_pieces(*_needs(parts))).alias("p"))
+        .select(*LINE_KEY, "p.*")
     )
-    # Equal to a core of words: certain. Otherwise what lies around the core decides.
-    certain = (F.col("value") == F.col("piece")) & F.col("value").rlike(WORD_CHAR)
-    occurs = whole_word(F.col("line"), F.col("value"))
-    if is_small(known, max_broadcast):
-        found = pieces.join(F.broadcast(known), "piece").filter(certain | occurs).drop("line")
-    else:
-        # Only lines that hold the core of an uncertain value carry their text into a
-        # shuffle.
-        words = _meet(pieces.drop("line"), known.filter(certain), max_broadcast)
-        others = _meet(pieces, known.filter(~certain), max_broadcast).filter(occurs)
-        found = words.unionByName(others.drop("line"))
-    return _as_findings(found, F.col("value"))
-
-
-def _meet(pieces: DataFrame, known: DataFrame, max_broadcast: int) -> DataFrame:
-    """Join on ``piece``. Large lists are first cut to the pieces that occur at all:
-    the distinct pieces are combined map-side, so repeated words travel once."""
-    if is_small(known, max_broadcast):
-        return pieces.join(F.broadcast(known), "piece")
-    occurring = pieces.select("piece").distinct()
-    hits = known.join(occurring, "piece", "left_semi")
-    return lookup_join(pieces, hits, ["piece"], "inner", max_broadcast)
+    # Heads and tails of a value belong together if the tail stands as far back as it should.
+    here = _meet(pieces, parts).groupBy(
+        *LINE_KEY, "attribute", "value", "severity", "category", "core", (F.col("place") - F.col("back")).alias("place")
+    ).agg(
+        F.max(F.when(F.col("role") != "tail", F.col("left"))).alias("left"),
+        F.max(F.when(F.col("role") != "head", F.col("right"))).alias("right"),
+    )
+    whole = stands_whole(F.col("value"), F.col("core"), F.col("left"), F.col("right"))
+    met = here.filter(F.col("left").isNotNull() & F.col("right").isNotNull()).filter(whole)
+    return _as_findings(met.drop("left", "right", "place").distinct(), F.col("value"))
+
+
+def _meet(pieces: DataFrame, known: DataFrame) -> DataFrame:
+    """Join on ``piece``. ``known`` is a stored table, so Spark knows its size in bytes: below the
+    session's threshold it is broadcast, beyond the narrow pieces meet it in a shuffle join whose
+    skewed partitions adaptive execution splits. The text is read once either way."""
+    return pieces.join(known, "piece")
 
 
 def detect_hashed_values(
@@ -122,12 +157,12 @@ def detect_hashed_values(
     hashes: DataFrame,
     pepper: str = "",
     min_length: int = fv.VALUE_MIN_LENGTH,
-    max_broadcast: int = BROADCAST_ROWS,
     require_reason: bool = False,
 ) -> DataFrame:
     """Tokens whose peppered hash is stored: one finding per occurrence. ``hashes``
     holds (attribute, value_hash) and optionally severity and category."""
     known = _with_rule_columns(hashes.withColumnRenamed("value_hash", "piece")).distinct()
+    known = materialise(known, "hashes")
     tokens = (
         value_lines(units, require_reason)
         .select(*LINE_KEY, F.explode(text.tokens(F.col("line"))).alias("token"))
@@ -138,7 +173,7 @@ def detect_hashed_values(
         text.value_hash(F.col("token"), pepper).alias("piece"),
         text.redact(F.col("token")).alias("redacted"),
     )
-    return _as_findings(_meet(hashed, known, max_broadcast), None)
+    return _as_findings(_meet(hashed, known), None)
 
 
 def _with_rule_columns(values: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def raw_findings(units: DataFrame, config: ScanConfig, inputs: ScanInputs = Scan
     if inputs.plugins is not None:
         found = found.unionByName(inputs.plugins.run(units))
     if inputs.rulesets is not None:
-        found = rulesets.apply_overrides(found, inputs.rulesets)
+        found = rulesets.apply_overrides(found, inputs.rulesets, named=config.pii_patterns)
     return found
 
 
@@ -66,7 +66,10 @@ def gate(
     fail_on_new_only: bool = False,
     soft_fail: bool = False,
 ) -> DataFrame:
-    return govern.evaluate_gate(scan(units, config, inputs), fail_on, fail_on_new_only, soft_fail)
+    """Verdict of every repository that has units, clean ones included."""
+    return govern.evaluate_gate(
+        scan(units, config, inputs), fail_on, fail_on_new_only, soft_fail, repos=units.select("repo_id")
+    )
 
 
 def scan_under_policies(

@@ -1,4 +1,4 @@
-"""Session helpers: sizing, spreading of small inputs, and durable work folders."""
+"""Session helpers: durable work folders."""
 
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir`` so
-    that it outlives any executor. Only where nothing is set (a plain local test
-    session) a temporary folder takes its place.
+    that it outlives any executor. Only a local session where nothing is set uses a
+    temporary folder; on a cluster executors would not share one, so that is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="veilscan-"))
         base = context.getCheckpointDir()
@@ -29,22 +31,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Tables of fewer files than cores are redistributed up to this size.
-SPREAD_BYTES = 2 * 1024**3
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Redistribute the rows of a small table that lies in fewer files than there are
-    cores: a handful of files with one row group each would be read by as many tasks.
-
-    The check looks at no more than one file name per core. Larger tables, and all
-    tables of many files, are returned untouched, so their content is never shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").load(path).select("path", "length").limit(cores)
-    seen = files.agg({"length": "sum", "path": "count"}).first()
-    few = seen["count(path)"] < cores and (seen["sum(length)"] or 0) <= SPREAD_BYTES
-    return df.repartition(cores) if few else df

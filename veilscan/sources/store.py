@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import text
+from veilscan.session import materialise
 
 BASELINE_SCHEMA = (
     "version int, generatedAt string, entries array<struct<fingerprint:string,"
@@ -48,6 +49,8 @@ def baseline_documents(entries: DataFrame, generated_at: str, total: int) -> Dat
 
 
 def write_baseline(entries: DataFrame, path: str, generated_at: str) -> None:
+    """Written by chunks; the entries are computed once, then counted."""
+    entries = materialise(entries, "baseline-entries")
     baseline_documents(entries, generated_at, entries.count()).write.mode("overwrite").json(path)
 
 

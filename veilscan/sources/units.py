@@ -5,42 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators.lookups import is_small, keep_known, keep_unknown
+from veilscan.operators.lookups import keep_known, keep_unknown
 from veilscan.session import materialise
 
 UNIT_COLUMNS = ("repo_id", "path", "commit_id", "author", "ts", "content")
 UNIT_KEY = ("repo_id", "commit_id", "path")
 
 
-def blob_ok(content: Column) -> Column:
-    """Small enough, and no NUL among the first bytes."""
-    head = F.substring(content.cast("binary"), 1, fv.NUL_PROBE_BYTES)
-    return (F.octet_length(content) <= fv.MAX_BLOB_BYTES) & ~F.contains(head, F.expr("X'00'"))
+def skip_reason(content: Column, max_bytes: int | None = None, nul_probe: int | None = None) -> Column:
+    """Why a unit is left out under the limits given: ``size``, ``binary`` (a NUL among the
+    first ``nul_probe`` bytes), or null. Without limits nothing is left out."""
+    reason = F.lit(None).cast("string")
+    if nul_probe is not None:
+        head = F.substring(content.cast("binary"), 1, nul_probe)
+        reason = F.when(F.contains(head, F.expr("X'00'")), F.lit("binary"))
+    if max_bytes is not None:
+        reason = F.when(F.octet_length(content) > max_bytes, F.lit("size")).otherwise(reason)
+    return reason
 
 
-def blob_guard(units: DataFrame) -> DataFrame:
-    return units.filter(blob_ok(F.col("content")))
+def blob_guard(units: DataFrame, max_bytes: int | None = None, nul_probe: int | None = None) -> DataFrame:
+    """Units within the limits; ``skipped_units`` lists the others."""
+    if max_bytes is None and nul_probe is None:
+        return units
+    return units.filter(skip_reason(F.col("content"), max_bytes, nul_probe).isNull())
 
 
-def read_files(spark: SparkSession, path: str, repo_id: str, commit_id: str) -> DataFrame:
-    """A folder of checked-out files as units. The size limit is applied to the
-    listing, before any file is opened."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .filter(F.col("length") <= fv.MAX_BLOB_BYTES)
-    )
+def skipped_units(units: DataFrame, max_bytes: int | None = None, nul_probe: int | None = None) -> DataFrame:
+    """The units that the limits leave out, with the reason."""
+    return units.select(
+        "repo_id", "path", "commit_id", F.octet_length("content").cast("bigint").alias("bytes"),
+        skip_reason(F.col("content"), max_bytes, nul_probe).alias("reason"),
+    ).filter(F.col("reason").isNotNull())
+
+
+def read_files(
+    spark: SparkSession,
+    path: str,
+    repo_id: str,
+    commit_id: str,
+    max_bytes: int | None = None,
+    nul_probe: int | None = fv.NUL_PROBE_BYTES,
+) -> DataFrame:
+    """A folder of checked-out files as units, without binary files (``nul_probe=None`` keeps
+    them). A size limit is applied to the listing, before any file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
     root = path.rstrip("/")
     relative = F.regexp_replace(F.col("path"), r"^(?:file:)?/*", "/")
-    return files.select(
+    units = files.select(
         F.lit(repo_id).alias("repo_id"),
         F.substring_index(relative, f"{root}/", -1).alias("path"),
         F.lit(commit_id).alias("commit_id"),
         F.lit("").alias("author"),
         F.col("modificationTime").alias("ts"),
         F.decode("content", "UTF-8").alias("content"),
-    ).filter(blob_ok(F.col("content")))
+    )
+    return blob_guard(units, nul_probe=nul_probe)
 
 
 def head_commits(units: DataFrame) -> DataFrame:
@@ -64,14 +86,12 @@ def select_history(
     never moved.
     """
     if mode == "HEAD":
-        heads = materialise(head_commits(units), "heads") if heads is None else heads
-        return keep_known(_once(units), heads, ["repo_id", "commit_id"])
+        heads = head_commits(units) if heads is None else heads
+        return _once(keep_known(units, heads, ["repo_id", "commit_id"]))
     if mode == "FULL":
         return _once(units)
     if mode == "INCREMENTAL":
-        if seen is None:
-            return _once(units)
-        return skip_seen_commits(_once(units), seen)
+        return _once(units if seen is None else skip_seen_commits(units, seen))
     raise ValueError(f"unknown history mode {mode!r}")
 
 
@@ -79,22 +99,19 @@ def _once(units: DataFrame) -> DataFrame:
     if "branch" not in units.columns:
         return _without_copies(units)
     chosen = units.groupBy("repo_id", "commit_id").agg(F.min("branch").alias("branch"))
-    chosen = materialise(chosen, "branches")
     return keep_known(units, chosen, ["repo_id", "commit_id", "branch"]).drop("branch")
 
 
 def _without_copies(units: DataFrame) -> DataFrame:
-    """Each unit once. The copies are found on the narrow key columns; only their
-    content is shuffled, or all of it where there are very many."""
+    """Each unit once. The copies are found on the narrow key columns; only their content
+    is shuffled, as long as their keys are few enough to be broadcast."""
     key = list(UNIT_KEY)
     copied = units.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
     copied = materialise(copied, "copies")
     if copied.isEmpty():
         return units
-    if not is_small(copied):
-        return units.dropDuplicates(key)
-    several = keep_known(units, copied, key).dropDuplicates(key)
-    return keep_unknown(units, copied, key).unionByName(several)
+    several = units.join(copied, key, "left_semi").dropDuplicates(key)
+    return units.join(copied, key, "left_anti").unionByName(several)
 
 
 def skip_seen_commits(units: DataFrame, seen: DataFrame) -> DataFrame:
@@ -109,7 +126,7 @@ def mark_seen(units: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     return scanned.distinct()
 
 
-def explode_lines(units: DataFrame, max_chars: int | None = fv.MAX_LINE_CHARS) -> DataFrame:
+def explode_lines(units: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Numbered lines with their predecessor.
 
     Each line is paired with the previous one inside the array, so neither a window
@@ -140,10 +157,10 @@ def with_file_type(units: DataFrame) -> DataFrame:
     return units.withColumn("file_type", text.file_type(F.col("path")))
 
 
-def skipped_lines(units: DataFrame) -> DataFrame:
-    """Per repository: lines left out because they exceed the length limit."""
+def skipped_lines(units: DataFrame, max_chars: int = fv.MAX_LINE_CHARS) -> DataFrame:
+    """Per repository: lines that a length limit would leave out."""
     long_lines = F.size(
-        F.filter(F.split("content", "\n", -1), lambda x: F.length(x) > fv.MAX_LINE_CHARS)
+        F.filter(F.split("content", "\n", -1), lambda x: F.length(x) > max_chars)
     )
     return units.groupBy("repo_id").agg(
         F.sum(F.size(F.split("content", "\n", -1))).cast("bigint").alias("total_lines"),

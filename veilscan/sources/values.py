@@ -12,25 +12,40 @@ OBJECT = "map<string,variant>"
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) pairs of an upload: JSON when its text starts with a bracket or
-    brace, else CSV. JSON-lines and CSV files of any size are read in splits; one JSON
-    document is one row by nature."""
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1)
-    is_json = head.filter(F.ltrim("value").rlike(r"^[\[{]")).limit(1).count() == 1
-    if is_json:
-        return key_values_of_json(spark.read.text(path, wholetext=True), F.col("value"))
-    return key_values_of_lines(spark.read.text(path), F.col("value"))
-
-
-def key_values_of_lines(rows: DataFrame, line: Column) -> DataFrame:
-    """CSV lines ``key,value`` or ``key;value``, optionally quoted. Header lines and
-    lines without two filled columns are left out."""
+    brace, else CSV. JSON lines (every filled line is a document of its own) and CSV files of
+    any size are read in splits; one JSON document over several lines is one row by nature."""
+    lines = spark.read.text(path)
+    filled = lines.filter(F.trim("value") != "")
+    if filled.limit(1).filter(F.ltrim("value").rlike(r"^[\[{]")).isEmpty():
+        return key_values_of_lines(_without_header(lines), F.col("value"), drop_headers=False)
+    if filled.filter(F.try_parse_json("value").isNull()).isEmpty():
+        return key_values_of_json(filled, F.col("value"))
+    return key_values_of_json(spark.read.text(path, wholetext=True), F.col("value"))
+
+
+def _without_header(lines: DataFrame) -> DataFrame:
+    """The lines without the first one, where that holds just the words key and value."""
+    head = lines.limit(1)
+    if head.isEmpty() or not key_values_of_lines(head, F.col("value")).isEmpty():
+        return lines
+    first = head.first()["value"]
+    if key_values_of_lines(head, F.col("value"), drop_headers=False).isEmpty():
+        return lines
+    again = lines.filter(F.col("value") == first).count() - 1
+    copies = lines.sparkSession.range(again).select(F.lit(first).alias("value"))
+    return lines.filter(F.col("value") != first).unionByName(copies)
+
+
+def key_values_of_lines(rows: DataFrame, line: Column, drop_headers: bool = True) -> DataFrame:
+    """CSV lines ``key,value`` or ``key;value``, optionally quoted. Lines without two filled
+    columns are left out, and unless told otherwise lines of just the words key and value."""
     cols = F.split(F.trim(F.regexp_replace(line, r"\r$", "")), "[,;]", 2)
     pairs = rows.select(
         _unquoted(F.trim(F.get(cols, F.lit(0)))).alias("key"),
         _unquoted(F.trim(F.get(cols, F.lit(1)))).alias("value"),
     )
     header = (F.lower("key") == "key") & (F.lower("value") == "value")
-    return _filled(pairs.filter(~header))
+    return _filled(pairs.filter(~header) if drop_headers else pairs)
 
 
 def _unquoted(value: Column) -> Column:

@@ -4,28 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.operators import findings as fo
 from veilscan.operators.detect import FINDING_COLUMNS, ScanConfig, active_detections, run_detections
+from veilscan.operators.lookups import keep_unknown
 from veilscan.session import work_dir
 from veilscan.sources import store as st
+from veilscan.sources.units import UNIT_KEY
 
 LATENESS = "10 minutes"
 
 
-def stream_scan(units: DataFrame, config: ScanConfig = ScanConfig(), lateness: str = LATENESS) -> DataFrame:
-    """Findings of newly arrived units. The stream's checkpoint takes the place of a
-    commit cache. A unit delivered twice counts once: its findings, not its content,
-    pass through the duplicate filter."""
-    found = run_detections(
-        units.withWatermark("ts", lateness),
-        active_detections(config),
-        config.require_reason,
-        with_match_no=True,
+FINDING_KEY = ("repo_id", "commit_id", "path", "line_no", "detector_id", "rule_id", "match_no")
+
+Sink = Callable[[DataFrame, int], None]
+
+
+def scan_batches(units: DataFrame, config: ScanConfig, seen: str, checkpoint: str, sink: Sink):
+    """Scan units as they arrive, over all that is available now. A unit is skipped only if an
+    earlier batch has brought it, however old its commit is: the narrow keys of all units scanned
+    lie below ``seen``, a partition per batch. A unit delivered twice within a batch counts once,
+    by its findings. ``sink`` gets the findings of a batch and its number, and must replace what it
+    wrote for that number before; a batch run again after a failure then changes nothing."""
+
+    def scan_batch(batch: DataFrame, batch_id: int) -> None:
+        known = _seen_before(batch.sparkSession, seen, batch_id)
+        fresh = batch if known is None else keep_unknown(batch, known, list(UNIT_KEY))
+        found = run_detections(fresh, active_detections(config), config.require_reason, with_match_no=True)
+        sink(found.dropDuplicates(list(FINDING_KEY)).select(*FINDING_COLUMNS), batch_id)
+        st.write_batch(batch.select(*UNIT_KEY).distinct(), seen, batch_id)
+
+    return (
+        units.writeStream.foreachBatch(scan_batch).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
-    keys = ["repo_id", "commit_id", "path", "line_no", "detector_id", "rule_id", "match_no"]
-    return found.dropDuplicatesWithinWatermark(keys).select(*FINDING_COLUMNS)
+
+
+def _seen_before(spark: SparkSession, seen: str, batch_id: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(seen).filter(F.col("batch_id") < batch_id)
+    except AnalysisException:  # nothing has been written yet
+        return None
+
+
+def stream_scan(units: DataFrame, config: ScanConfig, path: str, state: str):
+    """Write the findings of newly arrived units below ``path``; ``state`` is a folder for the
+    stream's checkpoint and the keys of the units seen."""
+    return scan_batches(units, config, f"{state}/seen", f"{state}/checkpoint", batch_sink(path, lambda found: found))
+
+
+def stream_dedup(units: DataFrame, config: ScanConfig, path: str, state: str):
+    """The same, written as partial rows per fingerprint (see combine_partials)."""
+    return scan_batches(units, config, f"{state}/seen", f"{state}/checkpoint", batch_sink(path, partial_findings))
 
 
 def partial_findings(findings: DataFrame) -> DataFrame:
@@ -62,16 +94,6 @@ def batch_sink(path: str, shape: Callable[[DataFrame], DataFrame]) -> Callable[[
     return lambda batch, batch_id: st.write_batch(shape(batch), path, batch_id)
 
 
-def start_dedup(findings: DataFrame, path: str, checkpoint: str):
-    """Run the dedup stream over all that is available now."""
-    return (
-        findings.writeStream.foreachBatch(batch_sink(path, partial_findings))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def start_ingest(feed: DataFrame, body: Column, path: str, checkpoint: str):
     """Run the ingest stream over all that is available now: per batch the deliveries
     as they came; the store's ``ingested_runs`` keeps the latest per run."""
