@@ -21,31 +21,57 @@ further columns play no part.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veilscan.llm import files
+from veilscan.llm.bpe import byte_letters
 from veilscan.llm.inputs import id_and_text, shuffle_partitions
 from veilscan.session import materialise
 
 MARK = b"VSTOKEN1"
 END_ID = 0
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 MANIFEST = "shard int, width int, n_docs long, n_tokens long, ids_file string, index_file string"
 
 
+# The byte-level word pattern. Texts in which regex engines may disagree about letters or white
+# space, or with special tokens, are left to the library as they are.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_UNSURE = re.compile("<\\||[\x1c-\x1f]|[^\x00-\u024f]")
+_LETTERS = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters())})
+
+
+class Memory(dict):
+    """Ids by what follows a space: pieces met before are looked up, others encoded."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, rest: str) -> bytes:
+        made = self.encode(" " + rest)
+        if len(rest) <= 256:
+            self[rest] = made
+        return made
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, piece by piece.
 
     The byte-level word pattern always starts a new word at a space between two characters that
     are no white space, so the text falls into pieces there whose ids do not depend on each
-    other. Each piece is encoded by the library once and remembered.
+    other. Each piece is taken apart into words once, each word given to the library's merges
+    once, and both are remembered.
     """
 
     _loaded: dict[tuple[str, str], Encoder] = {}
@@ -53,8 +79,9 @@ class Encoder:
     def __init__(self, path: str, dtype: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.memory: dict[str, bytes] = {}
+        self.tokenizer, self.kind = Tokenizer.from_file(path), "H" if dtype == "<u2" else "I"
+        self.words: dict[str, bytes] = {}
+        self.memory = Memory(self.piece)
 
     @classmethod
     def at(cls, path: str, dtype: str) -> Encoder:
@@ -64,32 +91,47 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """The first piece, and of the others what follows their space."""
         parts = text.split(" ")
-        out, at = [parts[0]], 0
+        if "  " not in text and not _BEFORE_SPACE.search(text):
+            return parts
+        out = parts[:1]
         for part in parts[1:]:
-            before = out[at]
+            before = out[-1]
             if before and not before[-1].isspace():
-                out.append(" " + part)
-                at += 1
+                out.append(part)
             else:
-                out[at] = before + " " + part
+                out[-1] = before + " " + part
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > REMEMBERED:
+    def encode(self, text: str) -> bytes:
+        if len(self.memory) + len(self.words) > REMEMBERED:
             self.memory.clear()
-        cut = [self.pieces(t) for t in texts]
-        memory = self.memory
-        new = list({p for pieces in cut for p in pieces if p not in memory})
-        long = {}
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for piece, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                packed = np.array(made.ids, dtype=self.dtype).tobytes()
-                (memory if len(piece) <= 256 else long)[piece] = packed
-        if long:
-            return [b"".join([long[p] if p in long else memory[p] for p in pieces]) for pieces in cut]
-        return [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
+            self.words.clear()
+        first, *others = self.pieces(text)
+        return self.piece(first) + b"".join(map(self.memory.__getitem__, others))
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isascii():  # most pieces are a space and a word, with or without a mark
+            if piece[1:].isalpha() and piece[0] == " ":
+                return self.word(piece)
+            if piece[1:-1].isalpha() and piece[0] == " " and piece[-1] in ".,;:!?":
+                return self.word(piece[:-1]) + self.word(piece[-1])
+        if _UNSURE.search(piece):
+            return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.word, _WORDS.findall(piece)))
+
+    def word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            letters = word.encode().decode("latin-1").translate(_LETTERS)
+            known = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            if len(word) <= 256:
+                self.words[word] = known
+        return known
+
+
+_BEFORE_SPACE = re.compile(r"\s |^ ")
 
 
 def _batches(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -124,7 +166,7 @@ def write_token_files(
         for whole in batches:
             for ids, texts in _batches(whole):
                 out = out or files.writer(ids_file)
-                packed = encoder.encode(texts)
+                packed = [encoder.encode(t) for t in texts]
                 out.write(end.join(packed) + end)
                 sizes.append(np.array([len(p) // width + 1 for p in packed], dtype="<i8"))
                 doc_ids.append(np.array([i or 0 for i in ids], dtype="<i8"))
