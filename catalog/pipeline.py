@@ -341,6 +341,17 @@ def policy_gate(spark, sf_dir):
     return govern.evaluate_policy_gate(common.flagged(spark, sf_dir), resolved)
 
 
+@query("findings_under_policies", q(
+    f"{common.FLAGGED}, {common.REPOSITORIES}, {_POLICIES_SQL}",
+    "SELECT f.repo_id, f.fingerprint, f.category FROM flagged f LEFT JOIN chosen c ON c.repo_id = f.repo_id LEFT JOIN policies p ON p.id = c.policy_id "
+    "WHERE p.id IS NULL OR list_contains(p.groups, CASE f.category WHEN 'SECRET' THEN 'secrets' ELSE 'pii' END)",
+))
+def findings_under_policies(spark, sf_dir):
+    repos = corpora.repositories(spark, sf_dir).select(F.col("name").alias("repo_id"), "org_unit")
+    resolved = rulesets.resolve_policies(repos, _policies(spark))
+    return govern.findings_under_policies(common.flagged(spark, sf_dir), resolved).select("repo_id", "fingerprint", "category")
+
+
 # --- store, triage, audit -----------------------------------------------------------
 
 @query("append_findings", q(

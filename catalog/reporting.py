@@ -201,9 +201,8 @@ def recent_scans(spark, sf_dir):
 
 
 _LAST = (
-    "newest AS (SELECT * FROM records ORDER BY started_at DESC, id DESC LIMIT 500), "
     "last AS (SELECT repo_id, max(coalesce(finished_at, started_at)) AS last_scan_at, "
-    "arg_max(status, {'a': coalesce(finished_at, started_at), 'b': id}) AS last_status FROM newest GROUP BY repo_id)"
+    "arg_max(status, {'a': coalesce(finished_at, started_at), 'b': id}) AS last_status FROM records GROUP BY repo_id)"
 )
 
 

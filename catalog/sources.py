@@ -9,7 +9,7 @@ from catalog.registry import plain, query
 from veilscan.functions import fixed_values as fv, text
 from veilscan.operators import query as qo, rulesets, values as vo
 from veilscan.operators.detect import detect
-from veilscan.session import materialise
+from veilscan.session import materialise, work_dir
 from veilscan.sources import corpora, store as st, units as un, values as vs
 
 q = sql.with_query
@@ -250,6 +250,51 @@ def key_values_json(spark, sf_dir):
     return vs.key_values_of_json(rows, F.col("d"))
 
 
+@query("key_values_uploads", (
+    "SELECT 'csv' AS upload, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'nation' || c_nationkey END AS key, c_name AS value FROM customer "
+    "UNION ALL SELECT 'lines', event_type, event_id::VARCHAR FROM events "
+    "UNION ALL SELECT 'document', 'n' || n_nationkey, n_name FROM nation"
+))
+def key_values_uploads(spark, sf_dir):
+    """Uploads on disk: CSV with a header, JSON lines, and one JSON document over many lines."""
+    customers = corpora.read_table(spark, sf_dir, "customer")
+    key = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat(F.lit("nation"), "c_nationkey"))
+    csv, lines, document = (work_dir(spark, f"upload-{n}") for n in ("csv", "lines", "document"))
+    customers.select(key.alias("key"), F.col("c_name").alias("value")).coalesce(1).write.option("header", "true").csv(csv)
+    events = corpora.read_table(spark, sf_dir, "events")
+    pair = F.struct(F.col("event_type").alias("key"), F.col("event_id").alias("value"))
+    events.select(F.to_json(pair).alias("value")).repartition(3).write.text(lines)
+    nations = corpora.read_table(spark, sf_dir, "nation").select(
+        F.concat(F.lit('{"key": "n'), "n_nationkey", F.lit('",\n "value": "'), "n_name", F.lit('"}')).alias("item")
+    )
+    whole = nations.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("item"), ",\n"), F.lit("\n]")).alias("value"))
+    whole.write.text(document)
+    found = None
+    for name, path in (("csv", csv), ("lines", lines), ("document", document)):
+        one = vs.read_key_values(spark, path).select(F.lit(name).alias("upload"), "key", "value")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("checked_values", (
+    "SELECT DISTINCT source_id, attribute, value, CASE attribute WHEN 'BUILDING' THEN 'LOW' ELSE 'MEDIUM' END AS severity, "
+    "CASE attribute WHEN 'BUILDING' THEN 'CUSTOM' ELSE 'PII' END AS category FROM (SELECT (['crm','erp','old'])[c_custkey % 3 + 1] AS source_id, "
+    "c_mktsegment AS attribute, c_name AS value FROM customer) WHERE source_id <> 'old' AND NOT (source_id = 'crm' AND attribute = 'MACHINERY')"
+))
+def checked_values(spark, sf_dir):
+    """Customers as values of three sources, one of them off, with a rule for some attributes."""
+    source = F.element_at(F.array(F.lit("crm"), F.lit("erp"), F.lit("old")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    values = corpora.read_table(spark, sf_dir, "customer").select(
+        source.alias("source_id"), F.col("c_mktsegment").alias("attribute"), F.col("c_name").alias("value")
+    ).distinct()
+    rules = spark.createDataFrame(
+        [("crm", "BUILDING", True, "LOW", "CUSTOM"), ("erp", "BUILDING", True, "LOW", "CUSTOM"), ("crm", "MACHINERY", False, "HIGH", "PII")],
+        "source_id string, field string, checked boolean, severity string, category string",
+    )
+    sources = spark.createDataFrame([("crm", True), ("erp", True), ("old", False)], "id string, enabled boolean")
+    return vs.checked_values(values, rules, sources).select("source_id", "attribute", "value", "severity", "category")
+
+
 @query("records_at_path", (
     "SELECT event_id, unnest(['{\"t\":\"' || event_type || '\"}', props]) AS record FROM events WHERE event_id % 4 = 0 "
     "UNION ALL SELECT event_id, props FROM events WHERE event_id % 4 = 1"

@@ -90,6 +90,16 @@ def evaluate_policy_gate(findings: DataFrame, policies: DataFrame) -> DataFrame:
     return _verdict(counted)
 
 
+def findings_under_policies(findings: DataFrame, policies: DataFrame) -> DataFrame:
+    """Findings of the detector groups that each repository's policy switches on (see
+    resolve_policies); those of repositories without a policy stay."""
+    groups = policies.select("repo_id", F.col("groups").alias("_groups"))
+    wanted = F.array_contains("_groups", text.category_group(F.col("category")))
+    return lookup_join(findings, groups, ["repo_id"], "left").filter(
+        F.col("_groups").isNull() | wanted
+    ).drop("_groups")
+
+
 def initial_triage() -> Column:
     return (
         F.when(F.col("suppressed"), F.lit("SUPPRESSED"))

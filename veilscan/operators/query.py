@@ -132,16 +132,19 @@ def last_scans(records: DataFrame, among_newest: int | None = None) -> DataFrame
     )
 
 
-def repository_cards(repos: DataFrame, records: DataFrame, store: DataFrame) -> DataFrame:
-    """Repositories with language and last scan; last updated first, never scanned last."""
+def repository_cards(
+    repos: DataFrame, records: DataFrame, store: DataFrame, language: str | None = None, sort: str = "updated"
+) -> DataFrame:
+    """Repositories with language and last scan, on request those of one language; last updated
+    first and never scanned last, or by name."""
     base = repos.withColumn("repo_id", F.col("name"))
     joined = lookup_join(base, dominant_language(store), ["repo_id"], "left")
     joined = lookup_join(joined, last_scans(records), ["repo_id"], "left")
-    return (
-        joined.withColumn("language", F.coalesce("language", F.lit("")))
-        .drop("repo_id")
-        .orderBy(F.col("last_scan_at").desc_nulls_last(), "name")
-    )
+    cards = joined.withColumn("language", F.coalesce("language", F.lit(""))).drop("repo_id")
+    if language is not None:
+        cards = cards.filter(F.col("language") == language)
+    order = {"updated": [F.col("last_scan_at").desc_nulls_last(), "name"], "name": [F.lower("name"), "name"]}[sort]
+    return cards.orderBy(*order)
 
 
 def report_rows(store: DataFrame, rows: int = fv.REPORT_ROWS) -> DataFrame:

@@ -25,6 +25,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/veilscan/{name}-{uuid.uuid4().hex}"
 
 
+def remove_work(spark: SparkSession) -> None:
+    """Delete what sessions have written to the shared work folder; for the end of a job, when
+    its results have been stored elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark, "x")).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared work folder and read it back, cutting lineage."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators.lookups import lookup_join
+from veilscan.operators.lookups import keep_known, lookup_join
 
 OBJECT = "map<string,variant>"
 
@@ -133,6 +133,19 @@ def load_record_values(
     )
 
 
+def checked_values(values: DataFrame, attribute_rules: DataFrame, sources: DataFrame) -> DataFrame:
+    """``values`` (source_id, attribute, value or value_hash) of the enabled ``sources`` (id,
+    enabled) and of their checked attributes, with each attribute's severity and category as its
+    rule (source_id, field, checked, severity, category) has them; attributes without a rule are
+    checked as MEDIUM personal data."""
+    enabled = sources.filter("enabled").select(F.col("id").alias("source_id")).distinct()
+    rules = attribute_rules.select("source_id", F.col("field").alias("attribute"), "checked", "severity", "category")
+    ruled = lookup_join(keep_known(values, enabled, ["source_id"]), rules, ["source_id", "attribute"], "left")
+    return ruled.filter(F.coalesce("checked", F.lit(True))).drop("checked").withColumns(
+        {"severity": F.coalesce("severity", F.lit("MEDIUM")), "category": F.coalesce("category", F.lit("PII"))}
+    )
+
+
 def profile_source(records: DataFrame, order_by: str) -> DataFrame:
     """Reachable, number of records, and per attribute a masked sample from the first
     record in the given order."""
