@@ -32,9 +32,9 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def result(spark, rows, length, anchor):
+def result(spark, rows, length, anchor, group_runs=suffix_array.GROUP_RUNS):
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = suffix_array.remove_repeats(frame, length=length, anchor=anchor).collect()
+    got = suffix_array.remove_repeats(frame, length=length, anchor=anchor, group_runs=group_runs).collect()
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str)
 
 
@@ -58,7 +58,9 @@ def test_equals_brute_force(spark, seed, length, anchor):
     rows += rows[:5]  # repeated rows
     rows += [(None, rows[7][1], "x"), (None, None, None), (5, None, "y"), (6, "", None), (7, "a" * 300, None), (900, "a" * 200 + "b", None)]
     rows += [(901, "ab" * 100, None), (902, "xab" + "ab" * 60, None), (903, passages[0] + "1", None), (903, "2" + passages[0], None)]
-    assert result(spark, rows, length, anchor) == brute(rows, length)
+    want = brute(rows, length)
+    assert result(spark, rows, length, anchor) == want
+    assert result(spark, rows, length, anchor, group_runs=2) == want
 
 
 def test_long_text_is_cut_into_pieces(spark, monkeypatch):

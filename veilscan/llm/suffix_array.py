@@ -12,18 +12,20 @@ them ever become rows:
    sorts the pairs (rank of the anchor, rank of all the run covers). A run whose anchor is found
    nowhere else is unique and dropped; one whose whole stretch is found in a smaller document is
    removed; what remains are runs whose anchor has several surroundings.
-2. *Pairs at offset 25.* Every position of the remaining runs becomes a row with the pair
-   (rank of its first 25 bytes, rank of the 25 bytes after them). Spark sorts the pairs; a
-   position whose pair first occurs in a smaller document is removed. 50 bytes are the
-   threshold, so this is the last round.
+2. *Pairs at offset 25.* The remaining runs, with their bytes, are sorted by anchor. Every
+   position in them gets the pair (rank of its first 25 bytes, rank of the 25 bytes after them);
+   the pairs of one anchor are sorted where they lie, and a position whose pair first occurs in a
+   smaller document is removed. 50 bytes are the threshold, so this is the last round.
+3. *Large anchors.* The positions of an anchor with more than ``GROUP_RUNS`` surroundings do not
+   stay in one task: they become rows of their own and Spark sorts their pairs.
 
 Ranks are 64-bit hashes rather than places in the sorted order, which saves a second shuffle per
 round; positions are only ever taken as equal if a pair of them is. Rows that a task can already
 decide (a smaller document in its own batch has the same pair) are decided there, so a passage
 that a third of all documents share reaches the sort as a few rows per task.
 
-Documents travel by id and a checksum of their text. Sorted pairs are read as streams; no group
-is held. Each round is written to the shared folder.
+Documents travel by id and a checksum of their text. Sorted rows are read as streams, and no more
+of a group is held than ``GROUP_RUNS`` allow. Each round is written to the shared folder.
 
 Defined cases: null and empty texts have no bytes; a text shorter than ``length`` keeps all; a
 null id is larger than any other; documents with one id neither remove each other's bytes nor
@@ -40,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilscan.llm.inputs import id_and_text, shuffle_partitions, utf8
@@ -51,6 +54,9 @@ NO_ID = (1 << 63) - 1
 # Windows per piece of a very long text, and bytes per slice of a batch.
 PIECE = 1 << 20
 SLICE_BYTES = 16 << 20
+GROUP_RUNS = 50_000
+# Bytes of runs whose pairs are sorted together.
+PAIR_BYTES = 4 << 20
 PLACE_BITS = 31
 
 _letters = np.random.default_rng(20240101).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,7 +179,17 @@ def _anchored(length: int, anchor: int):
     return run
 
 
-_FOUND = "doc long, place long, n int, open boolean"
+_FOUND = "rank long, doc long, place long, n int, open boolean"
+_FOUND_COLUMNS = ["rank", "doc", "place", "n", "open"]
+
+
+def _found(rank, doc, place, n, open_) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rank, doc, place, n, open_)], _FOUND_COLUMNS)
+
+
+def _settled(doc, place, n) -> pa.RecordBatch:
+    """Covered runs."""
+    return _found(np.zeros(len(doc), dtype=np.int64), doc, place, n.astype(np.int32), np.zeros(len(doc), dtype=bool))
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +215,7 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new) - 1
         covered = doc > doc[heads][group]
         chosen = np.nonzero((covered | several[group])[:until])[0]
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(doc[chosen]), pa.array(place[chosen]), pa.array(n[chosen]), pa.array(~covered[chosen])],
-            ["doc", "place", "n", "open"],
-        )
+        out = _found(k1[chosen], doc[chosen], place[chosen], n[chosen], ~covered[chosen])
         previous = int(h1[-2]) if len(h1) > 1 else before
         return out, previous, until
 
@@ -210,10 +223,7 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = tuple(batch.column(c).to_numpy() for c in ("k1", "k2", "doc", "place", "n"))
         ready = rows[4] < 0
         if ready.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[2][ready]), pa.array(rows[3][ready]), pa.array(-rows[4][ready]), pa.array(np.zeros(int(ready.sum()), dtype=bool))],
-                ["doc", "place", "n", "open"],
-            )
+            yield _settled(rows[2][ready], rows[3][ready], -rows[4][ready])
             rows = tuple(x[~ready] for x in rows)
         if not len(rows[0]):
             continue
@@ -225,10 +235,7 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A pair that many batches share: only its smallest document matters from here on.
             least = held[2][0]
             sure = held[2] > least
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held[2][sure]), pa.array(held[3][sure]), pa.array(held[4][sure]), pa.array(np.zeros(int(sure.sum()), dtype=bool))],
-                ["doc", "place", "n", "open"],
-            )
+            yield _settled(held[2][sure], held[3][sure], held[4][sure])
             held = tuple(x[~sure] for x in held)
         if out.num_rows:
             yield out
@@ -238,28 +245,94 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _paired(length: int):
-    half = length // 2
+_RUNS = "k1 long, doc long, place long, n int, bytes binary"
+
+
+def _opened(length: int):
+    """The open runs of documents, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole):
-                parts = []
+                out: list[tuple] = []
                 for doc, text, spans in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("spans")):
-                    raw, place = np.frombuffer(text.as_py(), dtype=np.uint8), _place(text.as_py())
-                    starts = np.asarray(spans.values.field("place")) & ((1 << PLACE_BITS) - 1)
-                    counts = np.asarray(spans.values.field("n")).astype(np.int64)
-                    at = np.unique(np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()))
-                    for piece in range(0, len(raw), PIECE):
-                        own = at[(at >= piece) & (at < piece + PIECE)] - piece
-                        if len(own):
-                            ranks = Ranks(raw[piece : piece + PIECE + length])
-                            parts.append((
-                                ranks.between(own, own + half), ranks.between(own + half, own + length),
-                                np.full(len(own), doc, dtype=np.int64), own + piece + place, np.ones(len(own), dtype=np.int64),
-                            ))
-                if parts:
-                    yield _decided_here(*(np.concatenate(c) for c in zip(*parts)))
+                    raw = text.as_py()
+                    for span in spans.as_py():
+                        start = span["place"] & ((1 << PLACE_BITS) - 1)
+                        out.append((span["rank"], doc, span["place"], span["n"], raw[start : start + span["n"] + length - 1]))
+                if out:
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                    yield pa.RecordBatch.from_arrays(columns, ["k1", "doc", "place", "n", "bytes"])
+
+    return run
+
+
+def _pairs(doc: np.ndarray, place: np.ndarray, n: np.ndarray, texts: list[bytes], length: int) -> pa.RecordBatch:
+    """Every position of the runs with its pair; what these rows decide is marked."""
+    half = length // 2
+    ends = np.cumsum(n + length - 1)
+    first = np.concatenate(([0], ends[:-1]))
+    within = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    at = np.repeat(first, n) + within
+    ranks = Ranks(np.frombuffer(b"".join(texts), dtype=np.uint8))
+    return _decided_here(
+        ranks.between(at, at + half), ranks.between(at + half, at + length),
+        np.repeat(doc, n), np.repeat(place, n) + within, np.ones(len(at), dtype=np.int64),
+    )
+
+
+def _second_round(length: int, group_runs: int):
+    """Reads runs sorted by anchor. Covered positions have negative n; positions of anchors with
+    too many runs go on as rows with their pairs."""
+
+    def settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, some at a time."""
+        start, size = 0, 0
+        for k, row in enumerate(rows):
+            if size >= PAIR_BYTES and row[0] != rows[k - 1][0]:
+                yield covered(rows[start:k])
+                start, size = k, 0
+            size += len(row[4])
+        yield covered(rows[start:])
+
+    def arrays(rows: list[tuple]) -> tuple:
+        _, doc, place, n, texts = zip(*rows)
+        return np.array(doc, dtype=np.int64), np.array(place, dtype=np.int64), np.array(n, dtype=np.int64), list(texts), length
+
+    def covered(rows: list[tuple]) -> pa.RecordBatch:
+        out = _pairs(*arrays(rows))
+        return out.filter(pc.less(out.column("n"), 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # complete groups, then the last one so far
+        last = 0  # where the last group starts
+        large: int | None = None  # the anchor whose positions are going on
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k1", "doc", "place", "n", "bytes"))):
+                if large is not None and row[0] != large:
+                    if held:
+                        yield _pairs(*arrays(held))
+                    held, last, large = [], 0, None
+                elif held and row[0] != held[-1][0]:
+                    last = len(held)
+                held.append(row)
+                if large is None and len(held) - last > group_runs:
+                    large = row[0]
+                    if last:
+                        yield from settled(held[:last])
+                        held, last = held[last:], 0
+                if large is not None and len(held) > 10_000:
+                    yield _pairs(*arrays(held))
+                    held, last = [], 0
+            if large is None and last:
+                yield from settled(held[:last])
+                held, last = held[last:], 0
+        if held:
+            if large is not None:
+                yield _pairs(*arrays(held))
+            else:
+                yield from settled(held)
 
     return run
 
@@ -285,10 +358,7 @@ def _last_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append((doc[covered], place[covered], np.ones(int(covered.sum()), dtype=np.int32)))
             last = (int(k1[-1]), int(k2[-1]), int(least[-1]))
         docs, places, counts = (np.concatenate(c) for c in zip(*sums))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs), pa.array(places), pa.array(counts.astype(np.int32)), pa.array(np.zeros(len(docs), dtype=bool))],
-            ["doc", "place", "n", "open"],
-        )
+        yield _settled(docs, places, counts)
 
 
 def _release(spark: SparkSession) -> None:
@@ -302,16 +372,19 @@ def _sorted_pairs(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows), *keys).sortWithinPartitions("k1", "k2", "doc")
 
 
-def _by_document(found: DataFrame) -> DataFrame:
+def _by_document(found: DataFrame, *columns: str) -> DataFrame:
     return found.groupBy("doc", F.shiftright("place", PLACE_BITS).alias("check")).agg(
-        F.collect_list(F.struct("place", "n")).alias("spans")
+        F.collect_list(F.struct("place", "n", *columns)).alias("spans")
     )
 
 
-def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+def covered_windows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
+    group_runs: int = GROUP_RUNS,
+) -> tuple[DataFrame, DataFrame]:
     """The documents as (doc, doc_id, check, text bytes), and by (doc, check) the runs of
     windows, in ``spans`` (place, n), that also occur in a smaller document."""
-    spark = docs.sparkSession
+    spark, parts = docs.sparkSession, shuffle_partitions(docs)
     rows = id_and_text(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", F.crc32(utf8(F.col("text"))).alias("check"),
         utf8(F.col("text")).alias("text"),
@@ -319,14 +392,22 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchored = rows.select("doc", "text").mapInArrow(_anchored(length, anchor), _SORTED)
     first = materialise(_sorted_pairs(anchored, "k1").mapInArrow(_first_round, _FOUND), "repeats-first")
     _release(spark)
-    still_open = _by_document(first.filter("open"))
-    paired = (
-        rows.select("doc", "check", "text").join(still_open, ["doc", "check"]).select("doc", "text", "spans")
-        .mapInArrow(_paired(length), _SORTED)
+    opened = (
+        rows.select("doc", "check", "text").join(_by_document(first.filter("open"), "rank"), ["doc", "check"])
+        .select("doc", "text", "spans").mapInArrow(_opened(length), _RUNS)
+    )
+    second = materialise(
+        opened.repartition(parts, "k1").sortWithinPartitions("k1").mapInArrow(_second_round(length, group_runs), _SORTED),
+        "repeats-second",
     )
-    last = materialise(_sorted_pairs(paired, "k1", "k2").mapInArrow(_last_round, _FOUND), "repeats-last")
     _release(spark)
-    return rows, _by_document(first.filter("NOT open").unionByName(last))
+    third = _sorted_pairs(second.filter("n > 0"), "k1", "k2").mapInArrow(_last_round, _FOUND)
+    covered = (
+        first.filter("NOT open").select("doc", "place", "n")
+        .unionByName(second.filter("n < 0").select("doc", "place", (-F.col("n")).alias("n")))
+        .unionByName(third.select("doc", "place", "n"))
+    )
+    return rows, _by_document(covered)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -369,11 +450,11 @@ def _finish(length: int, digest: bool):
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
-    digest: bool = False,
+    digest: bool = False, group_runs: int = GROUP_RUNS,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept,
     the remaining bytes (or their SHA-256)."""
-    rows, spans = covered_windows(docs, id_col, text_col, length, anchor)
+    rows, spans = covered_windows(docs, id_col, text_col, length, anchor, group_runs)
     return rows.join(spans, ["doc", "check"], "left").select("doc_id", "text", "spans").mapInArrow(
         _finish(length, digest), _RESULT
     )
