@@ -164,8 +164,9 @@ def scan_rate_per_repo(records: DataFrame, ts: str = "started_at") -> DataFrame:
 def scan_sessions(records: DataFrame, ts: str = "started_at", gap_s: int = 1800) -> DataFrame:
     """Runs of activity per repository with their last status.
 
-    Events are first combined per minute (a minute never spans two sessions), so the
-    window that finds the gaps runs over minutes, however many events a repository has.
+    Events are first combined per minute (a minute never spans two sessions), minutes within
+    each day, and the runs of the days within the repository: no window holds more than a day's
+    minutes or a repository's sessions.
     """
     at = F.col(ts)
     minutes = records.groupBy(
@@ -176,23 +177,26 @@ def scan_sessions(records: DataFrame, ts: str = "started_at", gap_s: int = 1800)
         F.count("*").alias("c"),
         F.max(F.struct(at.alias("at"), F.col("id"), F.col("status"))).alias("latest"),
     )
-    order = Window.partitionBy("repo_id").orderBy("minute")
     gap = F.make_dt_interval(secs=F.lit(gap_s))
-    previous = F.lag("last").over(order)
-    opens = F.when(previous.isNull() | (F.col("first") > previous + gap), 1).otherwise(0)
-    numbered = minutes.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order))
-    return (
-        numbered.groupBy("repo_id", "session")
-        .agg(
-            F.min("first").alias("session_start"),
-            (F.max("last") + gap).alias("session_end"),
-            F.sum("c").alias("n"),
-            F.max("latest")["status"].alias("last_status"),
-        )
-        .select("session_start", "session_end", "repo_id", "n", "last_status")
+    daily = minutes.withColumn("day", F.floor(F.unix_timestamp("first") / 86400)).drop("minute")
+    runs = _joined(_joined(daily, gap, "repo_id", "day").drop("day"), gap, "repo_id")
+    return runs.select(
+        F.col("first").alias("session_start"), (F.col("last") + gap).alias("session_end"), "repo_id",
+        F.col("c").alias("n"), F.col("latest.status").alias("last_status"),
     )
 
 
+def _joined(spans: DataFrame, gap: Column, *keys: str) -> DataFrame:
+    """Spans (first, last, c, latest) of a key joined where no more than the gap lies between."""
+    order = Window.partitionBy(*keys).orderBy("first")
+    previous = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(previous.isNull() | (F.col("first") > previous + gap), 1).otherwise(0)
+    numbered = spans.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order))
+    return numbered.groupBy(*keys, "session").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("c").alias("c"), F.max("latest").alias("latest")
+    ).drop("session")
+
+
 def lookback_counts(events: DataFrame, ts: str, seconds: int, *keys: str) -> DataFrame:
     """Events of the last ``seconds`` at every minute in which a key has any: the
     counter increase an alert rule looks at. Events are first counted per minute, so
