@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -363,9 +364,12 @@ def _last_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _release(spark: SparkSession) -> None:
     """Finished rounds leave shuffle files that Spark deletes once the driver's garbage is
-    collected; asking for that keeps the disk to one round at a time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    collected; asking for that keeps the disk to one round at a time. The second time finds what
+    the first has only made unreachable."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _sorted_pairs(rows: DataFrame, *keys: str) -> DataFrame:
