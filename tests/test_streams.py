@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veilscan.operators import findings as fo
 from veilscan.operators.detect import ScanConfig, detect
-from veilscan.streaming import findings as sf
+from veilscan.streaming import alerts, findings as sf
 
 
 def test_stream_scan_over_several_batches(spark, make_units, tmp_path):
@@ -53,3 +53,14 @@ def test_an_old_commit_that_arrives_last_is_scanned(spark, make_units, tmp_path)
     got = spark.read.parquet(path)
     assert got.select("batch_id").distinct().count() == 3
     assert sorted(map(tuple, got.drop("batch_id").collect())) == sorted(map(tuple, detect(units).collect()))
+
+
+def test_an_old_commit_alerts_when_it_arrives(spark, make_units, tmp_path):
+    units = make_units(("r", "a.java", "c0", -2000, "-----BEGIN RSA PRIVATE KEY-----"), ("r", "b.java", "c1", 5, "fine"))
+    units.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(units.schema).parquet(str(tmp_path / "in"))
+    found = alerts.alert_new_critical(detect(stream), on_arrival=True)
+    query = found.writeStream.outputMode("update").format("memory").queryName("arrivals").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.table("arrivals").collect()
+    assert len(rows) == 3 and all(r["n"] == 1 and r["window_start"].year >= 2026 for r in rows)

@@ -12,10 +12,14 @@ from veilscan.operators import metrics as mo
 from veilscan.streaming.findings import LATENESS
 
 
-def alert_new_critical(findings: DataFrame) -> DataFrame:
+def alert_new_critical(findings: DataFrame, on_arrival: bool = False) -> DataFrame:
     """``findings`` come from units with a watermark on ``ts``, so that units without
-    findings move it on too."""
-    return mo.alert_new_critical(findings)
+    findings move it on too. With ``on_arrival`` the time at which a finding is made counts
+    instead of that of its commit: an old commit that is scanned today alerts today."""
+    if not on_arrival:
+        return mo.alert_new_critical(findings)
+    arrived = findings.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", LATENESS)
+    return mo.alert_new_critical(arrived, "arrived")
 
 
 def alert_gate_fail(gates: DataFrame, lateness: str = LATENESS) -> DataFrame:
