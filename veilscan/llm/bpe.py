@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from veilscan.llm.inputs import id_and_text
 
 SHORT = 64
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NO_RANK = 1 << 60
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilscan.llm.inputs import id_and_text
@@ -285,8 +286,13 @@ def _clean(docs: DataFrame, automaton, text_col: str, max_span_words: int, max_c
 
 
 def _fixer(fixed):
-    @F.pandas_udf("kept boolean, text string")
-    def clean(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fixed(None if t is None else t) for t in texts], columns=["kept", "text"])
+    @F.arrow_udf("kept boolean, text string")
+    def clean(texts: pa.Array) -> pa.Array:
+        kept, changed = [], []
+        for text in texts:
+            stays, new = fixed(text.as_py())
+            kept.append(stays)
+            changed.append(new)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.bool_()), pa.array(changed, pa.string())], ["kept", "text"])
 
     return clean

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilscan.llm.decontaminate import words_of
@@ -39,7 +40,7 @@ FEATURES = 2_000
 LEAST_TOXIC_ROWS = 3
 BEGINNINGS = range(3, 9)
 SEVERE_FROM = 0.5
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -195,17 +196,17 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """One row per document: doc_id, expected_severity, grade, toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _activate(shared.value.index)
         for batch in batches:
-            found = [shared.value.severity(of(t)[0]) for t in batch["text"]]
+            found = [shared.value.severity(of(t.as_py())[0]) for t in batch.column("text")]
             severity = np.array([s for s, _ in found], dtype=float)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "expected_severity": severity,
-                "grade": np.array([g for _, g in found], dtype=np.int32), "toxic": severity >= severe_from,
-            })
+            columns = [
+                batch.column("doc_id"), pa.array(severity), pa.array([g for _, g in found], pa.int32()), pa.array(severity >= severe_from),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_severity", "grade", "toxic"])
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(
+    return id_and_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, expected_severity double, grade int, toxic boolean"
     )
 
@@ -215,10 +216,10 @@ def reject_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     known: list = []
 
-    @F.pandas_udf("double")
-    def severity(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def severity(texts: pa.Array) -> pa.Array:
         if not known:
             known.append(_activate(shared.value.index))
-        return pd.Series([shared.value.severity(known[0](t)[0])[0] for t in texts], dtype=float)
+        return pa.array([shared.value.severity(known[0](t.as_py())[0])[0] for t in texts], pa.float64())
 
     return docs.filter(severity(F.col(f"`{text_col}`").cast("string")) < severe_from)
