@@ -8,6 +8,8 @@ never read.
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyarrow import fs
@@ -24,6 +26,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return store.makeQualified(path).toString()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Finished steps leave shuffle files that Spark deletes once the driver's garbage is
+    collected; asking for that keeps the disk to one step at a time. The second time finds what
+    the first has only made unreachable."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def located(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")

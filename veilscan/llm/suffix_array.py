@@ -35,17 +35,16 @@ table; further columns play no part. Texts are bytes: what is kept need not be v
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from veilscan.llm.files import release_shuffles
 from veilscan.llm.inputs import id_and_text, shuffle_partitions, utf8
 from veilscan.session import materialise
 
@@ -362,16 +361,6 @@ def _last_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _settled(docs, places, counts)
 
 
-def _release(spark: SparkSession) -> None:
-    """Finished rounds leave shuffle files that Spark deletes once the driver's garbage is
-    collected; asking for that keeps the disk to one round at a time. The second time finds what
-    the first has only made unreachable."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _sorted_pairs(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows), *keys).sortWithinPartitions("k1", "k2", "doc")
 
@@ -395,7 +384,7 @@ def covered_windows(
     )
     anchored = rows.select("doc", "text").mapInArrow(_anchored(length, anchor), _SORTED)
     first = materialise(_sorted_pairs(anchored, "k1").mapInArrow(_first_round, _FOUND), "repeats-first")
-    _release(spark)
+    release_shuffles(spark)
     opened = (
         rows.select("doc", "check", "text").join(_by_document(first.filter("open"), "rank"), ["doc", "check"])
         .select("doc", "text", "spans").mapInArrow(_opened(length), _RUNS)
@@ -404,7 +393,7 @@ def covered_windows(
         opened.repartition(parts, "k1").sortWithinPartitions("k1").mapInArrow(_second_round(length, group_runs), _SORTED),
         "repeats-second",
     )
-    _release(spark)
+    release_shuffles(spark)
     third = _sorted_pairs(second.filter("n > 0"), "k1", "k2").mapInArrow(_last_round, _FOUND)
     covered = (
         first.filter("NOT open").select("doc", "place", "n")
