@@ -52,3 +52,20 @@ def test_relatives_below_the_limit_stay_apart(spark):
     want = brute_force(texts)
     assert sum(i == c for i, c in want) >= 100
     assert groups(spark, texts) == want
+
+
+def near_copies(rng):
+    """Texts of every length, and copies of them with a few words changed, added or left out."""
+    texts = []
+    for length in [1, 2, 4, 5, 6, 7, 8, 8, 9, 10, 12, 15, 16, 20, 30, 40, 60, 100, 150, 300]:
+        words = [f"w{rng.getrandbits(40)}" for _ in range(length)]
+        texts += [words, [*words, "added"], ["first", *words], changed(rng, words, 1), words[: length - length // 9]]
+        texts += [changed(rng, words, max(1, length // 40)) for _ in range(3)]
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def test_no_near_copy_is_missed(spark):
+    texts = near_copies(random.Random(2))
+    want = brute_force(texts)
+    assert len(texts[48][1].split()) == 8 and (49, 48) in want  # four of five shingles
+    assert groups(spark, texts) == want
