@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+import pytest
+
 from veilscan.llm import similar
 
 
@@ -69,3 +72,35 @@ def test_no_near_copy_is_missed(spark):
     want = brute_force(texts)
     assert len(texts[48][1].split()) == 8 and (49, 48) in want  # four of five shingles
     assert groups(spark, texts) == want
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_buckets_cut_into_pieces(spark, monkeypatch, rounds):
+    monkeypatch.setattr(similar, "ROWS_PER_PIECE", 4)
+    monkeypatch.setattr(similar, "SHINGLES_PER_PIECE", 500)
+    rng = random.Random(3)
+    bases = [w.split() for _, w in near_copies(rng)[96:160:8]]
+    texts = [(i, " ".join(changed(rng, rng.choice(bases), rng.randrange(3)))) for i in range(120)]
+    texts += [(200 + i, " ".join(w)) for i, w in enumerate(family(rng, 40))]
+    assert groups(spark, texts, rounds=rounds) == brute_force(texts)
+
+
+def test_links_are_handed_on_in_bounded_batches():
+    """A task holds the homes of one piece, whatever the number of rows that link to them."""
+    own = similar.shingle_set("one two three four five six seven").tobytes()
+    taken = []
+
+    def batches():
+        for at in range(0, 100_000, 10_000):
+            taken.append(at)
+            names = list(range(at, at + 10_000))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([7] * 10_000), pa.array([0] * 10_000), pa.array([n == 0 for n in names]), pa.array(names), pa.array([own] * 10_000)],
+                ["bucket", "piece", "home", "node", "shingles"],
+            )
+
+    sizes, early = [], []
+    for links in similar._compare(0.8)(batches()):
+        sizes.append(links.num_rows)
+        early.append(len(taken))
+    assert sum(sizes) == 99_999 and max(sizes) <= similar.EDGES_PER_BATCH and early[0] <= 2
