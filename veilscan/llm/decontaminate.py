@@ -8,7 +8,7 @@ state. Time is linear in the words of the documents, whatever the number of item
 
 The automaton is broadcast. Its size is bounded: items are summed first and, beyond
 ``block_bytes`` of text, dealt into blocks of about that size, each with its own automaton and
-pass; hits of several blocks are united per document.
+pass; hits of several blocks are united per document, and texts are cut by all of them at once.
 
 Words are the matches of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 Defined cases: null or empty texts have no words and are never hit; items without words are
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilscan.llm.inputs import id_and_text
+from veilscan.session import materialise
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -257,10 +258,10 @@ def decontaminate(
     ``max_span_words`` are cut out, until none is left; documents of which more than
     ``max_coverage`` of the words are hit go altogether. Texts without hits stay as they are;
     an integer or long column ``n_chars`` follows the text."""
-    cleaned = docs
-    for automaton in _automata(benchmark, item_col, item_text_col, window, block_bytes):
-        cleaned = _clean(cleaned, automaton, text_col, max_span_words, max_coverage)
-    return cleaned
+    blocks = list(_automata(benchmark, item_col, item_text_col, window, block_bytes))
+    if len(blocks) == 1:
+        return _clean(docs, blocks[0], text_col, max_span_words, max_coverage)
+    return _clean_by_blocks(docs, blocks, text_col, max_span_words, max_coverage)
 
 
 def _clean(docs: DataFrame, automaton, text_col: str, max_span_words: int, max_coverage: float) -> DataFrame:
@@ -274,7 +275,11 @@ def _clean(docs: DataFrame, automaton, text_col: str, max_span_words: int, max_c
             spans, _ = automaton.value.spans(words_of(text))
         return True, text
 
-    marked = docs.withColumn("__clean", _fixer(fixed)(F.col(f"`{text_col}`").cast("string")))
+    return _changed(docs.withColumn("__clean", _fixer(fixed)(F.col(f"`{text_col}`").cast("string"))), docs, text_col)
+
+
+def _changed(marked: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` as the column ``__clean`` (kept, text) tells."""
     kept = marked.filter("__clean.kept")
     changes = {c: F.col(f"`{c}`") for c in docs.columns}
     changes[text_col] = F.col("__clean.text")
@@ -285,6 +290,56 @@ def _clean(docs: DataFrame, automaton, text_col: str, max_span_words: int, max_c
     return kept.select(*[col.alias(c) for c, col in changes.items()])
 
 
+def _clean_by_blocks(docs: DataFrame, blocks: list, text_col: str, max_span_words: int, max_coverage: float) -> DataFrame:
+    """The spans of all blocks are taken on one text and united; coverage is judged once, on the
+    input. Texts with hits are cut and tried again on all blocks until none finds a hit."""
+
+    @F.udf("kept boolean, text string")
+    def cut(text, spans, judged):
+        runs = [(x["first"], x["after"]) for x in spans or ()]
+        if judged and sum(e - s for s, e in runs) > max_coverage * len(words_of(text)):
+            return False, text
+        long = [x for x in runs if x[1] - x[0] > max_span_words]
+        return True, cut_spans(text, long) if long else text
+
+    def hit(texts: DataFrame) -> DataFrame:
+        """copy and the united spans of the texts in which a block finds any."""
+        found = None
+        for automaton in blocks:
+            one = materialise(
+                _scan(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), automaton)
+                .filter("size(spans) > 0").select("copy", "spans").distinct(),
+                "leak-spans",
+            )
+            found = one if found is None else found.unionByName(one)
+        return found.groupBy("copy").agg(F.collect_set("spans").alias("all_spans")).select("copy", F.expr(_UNITED).alias("spans"))
+
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
+    spans = materialise(hit(texts), "leaks")
+    fixed = materialise(
+        texts.withColumn("copy", digest).join(spans, "copy").dropDuplicates(["copy"])
+        .select("copy", cut("text", "spans", F.lit(True)).alias("__clean")),
+        "leaks-cut",
+    )
+    done = fixed.filter("NOT __clean.kept")
+    now = fixed.filter("__clean.kept").select("copy", F.col("__clean.text").alias("text"))
+    while True:
+        again = hit(now.select("text")).withColumnRenamed("copy", "now")
+        again = materialise(again.filter(f"exists(spans, x -> x.after - x.first > {max_span_words})"), "leaks")
+        if again.isEmpty():
+            break
+        rest = now.withColumn("now", digest).join(again, "now", "left")
+        shorter = F.when(F.col("spans").isNotNull(), cut("text", "spans", F.lit(False))["text"]).otherwise(F.col("text"))
+        now = materialise(rest.select("copy", shorter.alias("text")), "leaks-cut")
+    done = done.unionByName(now.select("copy", F.struct(F.lit(True).alias("kept"), "text").alias("__clean")))
+    marked = docs.withColumn("__copy", F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)).join(
+        done.withColumnRenamed("copy", "__copy"), "__copy", "left"
+    )
+    same = F.struct(F.lit(True).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _changed(marked.withColumn("__clean", F.coalesce("__clean", same)), docs, text_col)
+
+
 def _fixer(fixed):
     @F.arrow_udf("kept boolean, text string")
     def clean(texts: pa.Array) -> pa.Array:
