@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from veilscan.llm import similar
+from veilscan.llm import similar, simhash
 
 
 def brute_force(texts, similarity=0.8):
@@ -104,3 +104,13 @@ def test_links_are_handed_on_in_bounded_batches():
         sizes.append(links.num_rows)
         early.append(len(taken))
     assert sum(sizes) == 99_999 and max(sizes) <= similar.EDGES_PER_BATCH and early[0] <= 2
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"w{rng.getrandbits(40)}" for _ in range(60)] for _ in range(3))
+    rows = [(1, a), (2, b), (2, [*a, "more"]), (3, [*b, "more"]), (3, c), (None, c[:30]), (None, a), (5, a[30:]), (5, b[30:])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = simhash.keep_one_per_group(docs, similar.similar_groups(docs)).collect()
+    want = [(i, " ".join(w)) for i, w in (rows[0], rows[1], rows[4], rows[5], rows[6], rows[7], rows[8])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))

@@ -233,17 +233,22 @@ def near_duplicates(
 
 def keep_one_per_group(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those that are near-duplicates of a kept one:
-    each group of ``marks`` (doc_id, component_id) keeps the row of its smallest id; of several
-    rows with that id the one whose text sorts first. Rows without an id cannot be named by a
-    group and are kept."""
-    kept = (
-        marks.filter(F.col("doc_id") == F.col("component_id"))
-        .select(F.col("component_id").alias("__id")).distinct().withColumn("__kept", F.lit(True))
+    each group of ``marks`` (doc_id, component_id, and label, the group, and copy, the SHA-256 of
+    the text) keeps the row of its smallest id; of several rows with that id the one with the smallest digest, of rows equal
+    in both any one. Rows without an id cannot be named by a group and are kept. Marks without
+    ``copy`` tell rows by their id only: of several with one id the smallest digest stays."""
+    own = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256)
+    named = marks.filter(F.col("doc_id") == F.col("component_id"))
+    told = "copy" in marks.columns
+    kept = (named.groupBy("label", "component_id").agg(F.min("copy").alias("__copy")).drop("label").distinct() if told else named.select("component_id").distinct())
+    kept = kept.withColumnRenamed("component_id", "__id")
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("__id"), own.alias("__copy"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     )
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    one = Window.partitionBy("__id").orderBy(F.col(f"__row.`{text_col}`"))
-    return (
-        rows.join(kept, "__id", "left").filter("__kept OR __id IS NULL")
-        .withColumn("__at", F.row_number().over(one)).filter("__at = 1 OR __id IS NULL")
-        .select("__row.*")
+    keys = ["__id", "__copy"] if told else ["__id"]
+    one = Window.partitionBy(*keys).orderBy("__copy", F.xxhash64("__row"))
+    chosen = (
+        rows.filter("__id IS NOT NULL").join(kept, keys, "left_semi")
+        .withColumn("__at", F.row_number().over(one)).filter("__at = 1")
     )
+    return chosen.select("__row.*").unionByName(rows.filter("__id IS NULL").select("__row.*"))
