@@ -16,8 +16,8 @@ them ever become rows:
    position in them gets the pair (rank of its first 25 bytes, rank of the 25 bytes after them);
    the pairs of one anchor are sorted where they lie, and a position whose pair first occurs in a
    smaller document is removed. 50 bytes are the threshold, so this is the last round.
-3. *Large anchors.* The positions of an anchor with more than ``GROUP_RUNS`` surroundings do not
-   stay in one task: they become rows of their own and Spark sorts their pairs.
+3. *Large anchors.* The positions of an anchor with more than ``GROUP_RUNS`` surroundings or
+   ``PAIR_BYTES`` of them do not stay in one task: they become rows of their own and Spark sorts their pairs.
 
 Ranks are 64-bit hashes rather than places in the sorted order, which saves a second shuffle per
 round; positions are only ever taken as equal if a pair of them is. Rows that a task can already
@@ -25,7 +25,7 @@ decide (a smaller document in its own batch has the same pair) are decided there
 that a third of all documents share reaches the sort as a few rows per task.
 
 Documents travel by id and a checksum of their text. Sorted rows are read as streams, and no more
-of a group is held than ``GROUP_RUNS`` allow. Each round is written to the shared folder.
+of a group is held than ``GROUP_RUNS`` and ``PAIR_BYTES`` allow. Each round is written to the shared folder.
 
 Defined cases: null and empty texts have no bytes; a text shorter than ``length`` keeps all; a
 null id is larger than any other; documents with one id neither remove each other's bytes nor
@@ -55,8 +55,9 @@ NO_ID = (1 << 63) - 1
 PIECE = 1 << 20
 SLICE_BYTES = 16 << 20
 GROUP_RUNS = 50_000
-# Bytes of runs whose pairs are sorted together.
+# Bytes of runs whose pairs are sorted together, and windows per row of an open run.
 PAIR_BYTES = 4 << 20
+RUN_WINDOWS = 1 << 16
 PLACE_BITS = 31
 
 _letters = np.random.default_rng(20240101).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,7 +260,9 @@ def _opened(length: int):
                     raw = text.as_py()
                     for span in spans.as_py():
                         start = span["place"] & ((1 << PLACE_BITS) - 1)
-                        out.append((span["rank"], doc, span["place"], span["n"], raw[start : start + span["n"] + length - 1]))
+                        for at in range(0, span["n"], RUN_WINDOWS):
+                            n = min(RUN_WINDOWS, span["n"] - at)
+                            out.append((span["rank"], doc, span["place"] + at, n, raw[start + at : start + at + n + length - 1]))
                 if out:
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                     columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
@@ -307,24 +310,26 @@ def _second_round(length: int, group_runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # complete groups, then the last one so far
         last = 0  # where the last group starts
+        size = 0  # bytes of the last group, or of what is held of a large one
         large: int | None = None  # the anchor whose positions are going on
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("k1", "doc", "place", "n", "bytes"))):
                 if large is not None and row[0] != large:
                     if held:
                         yield _pairs(*arrays(held))
-                    held, last, large = [], 0, None
+                    held, last, size, large = [], 0, 0, None
                 elif held and row[0] != held[-1][0]:
-                    last = len(held)
+                    last, size = len(held), 0
                 held.append(row)
-                if large is None and len(held) - last > group_runs:
+                size += len(row[4])
+                if large is None and (len(held) - last > group_runs or size > PAIR_BYTES):
                     large = row[0]
                     if last:
                         yield from settled(held[:last])
                         held, last = held[last:], 0
-                if large is not None and len(held) > 10_000:
+                if large is not None and (len(held) > 10_000 or size > PAIR_BYTES):
                     yield _pairs(*arrays(held))
-                    held, last = [], 0
+                    held, last, size = [], 0, 0
             if large is None and last:
                 yield from settled(held[:last])
                 held, last = held[last:], 0
