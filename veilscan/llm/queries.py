@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilscan.llm import bpe, chat, chat_events, decontaminate, exact_dedup, files, simhash, suffix_array, token_count, token_files, toxicity, warc
+from veilscan.llm import bpe, chat, chat_events, decontaminate, exact_dedup, files, license_scan, simhash, suffix_array, token_count, token_files, toxicity, warc
 from veilscan.llm.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,8 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_summary(license_scan.license_detections(table(spark, sf_dir, "documents")))
