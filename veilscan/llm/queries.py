@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilscan.llm import bpe, chat, chat_events, decontaminate, exact_dedup, files, license_scan, simhash, suffix_array, token_count, token_files, toxicity, warc
+from veilscan.llm import bpe, chat, chat_events, decontaminate, exact_dedup, files, lexical_search, license_scan, simhash, suffix_array, token_count, token_files, toxicity, warc
 from veilscan.llm.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_license_scan")
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_summary(license_scan.license_detections(table(spark, sf_dir, "documents")))
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
