@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilscan.llm import bpe, chat, chat_events, decontaminate, exact_dedup, files, lexical_search, license_scan, simhash, suffix_array, token_count, token_files, toxicity, warc
+from veilscan.llm import alignment, bpe, chat, chat_events, decontaminate, exact_dedup, files, lexical_search, license_scan, simhash, suffix_array, token_count, token_files, toxicity, warc
 from veilscan.llm.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,12 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_lexical_search", lexical_search.SQL)
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    scored = alignment.link_scores(table(spark, sf_dir, "documents"), first, second, digest=True)
+    return scored.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
