@@ -14,8 +14,8 @@ together.
   character, and keeps the tokens that end in it. A range without such a place is joined with the
   one before.
 
-Between white space the same pieces come again and again, so what a piece contributes is remembered,
-in two generations of at most ``REMEMBERED`` pieces per Python worker (results do not depend on it).
+Within a range all is arithmetic on arrays of byte ends: common ends are their intersection, links
+the stretches between any two neighbouring ends.
 
 How often a pair of ids is linked in the corpus is a sum over all documents. The table of pairs goes
 back to the documents in blocks of at most ``BLOCK_PAIRS`` pairs, broadcast one after the other, so
@@ -30,6 +30,7 @@ no part.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,145 +38,167 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from veilscan.llm.bpe import byte_letters
 from veilscan.llm.inputs import id_and_text, shuffle_partitions
+from veilscan.llm.token_files import _UNSURE, Encoder
 from veilscan.session import discard, materialise
 
 CHUNK_BYTES = 1 << 16
 GROUP = 128
-REMEMBERED = 120_000
+# The word pattern of byte-level files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Words and pieces of the first tokenizer kept per Python worker (then the memory starts anew).
+REMEMBERED = 300_000
 BLOCK_PAIRS = 1 << 22
 PAIRS_PER_SUM = 1 << 21
 B_BITS = 32
 B_MASK = (1 << B_BITS) - 1
 
-_BEFORE_SPACE = re.compile(r"\s |^ ")
 _SAFE = re.compile(rb"(?<=[!-~]) ")
-_PLAIN_WORD = re.compile(r" [A-Za-z]+")
-_BAD = 1 << 80
-_COUNT_BITS = 40
-_COUNT_MASK = (1 << _COUNT_BITS) - 1
-
-# A token as (id, start, end) in bytes.
-Tokens = list[tuple[int, int, int]]
-
-
-def pieces(text: str) -> list[str]:
-    """A space and the text, cut before each space that follows a character that is no space:
-    neither a byte-level pattern nor pieces that begin with their space go across such a place."""
-    parts = text.split(" ")
-    if "  " in text or _BEFORE_SPACE.search(text):
-        out = parts[:1]
-        for part in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(part)
-            else:
-                out[-1] = out[-1] + " " + part
-        parts = out
-    return [" " + part for part in parts]
-
-
-def common_ends(a: Tokens, b: Tokens) -> list[int]:
-    return sorted({t[2] for t in a} & {t[2] for t in b})
-
-
-def groups_of(a: Tokens, b: Tokens) -> tuple[list[str], list[int]]:
-    """Groups between common ends and the keys of linked pairs, for token lists that end together."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a) and j < len(b):
-        links.append(a[i][0] << B_BITS | b[j][0])
-        end = a[i][2] - b[j][2]
-        if end <= 0:
-            i += 1
-        if end >= 0:
-            j += 1
-        if end == 0:
-            groups.append(f"{','.join([str(t[0]) for t in a[first_a:i]])}|{','.join([str(t[0]) for t in b[first_b:j]])}")
-            first_a, first_b = i, j
-    return groups, links
-
-
-def _split(tokens: Tokens, end: int) -> tuple[Tokens, Tokens]:
-    at = next((k for k, t in enumerate(tokens) if t[2] > end), len(tokens))
+_NONE = np.zeros((0, 2), dtype=np.int64)
+_NO_LINKS = np.zeros(0, dtype=np.int64)
+
+
+class Table:
+    """Decimal ids of both tokenizers with what follows them in a written group."""
+
+    def __init__(self, size_a: int, size_b: int) -> None:
+        self.first_b = 2 * size_a
+        self.texts = [f"{n}{mark}" for n in range(size_a) for mark in ",|"] + [f"{n}{mark}" for n in range(size_b) for mark in ",;"]
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.intersect1d(a[:, 1], b[:, 1], assume_unique=True)
+
+
+def groups_of(a: np.ndarray, b: np.ndarray, table: Table) -> tuple[str, np.ndarray]:
+    """Groups between common ends (each closed by a semicolon) and the keys of linked pairs, for
+    rows of (id, end) that begin and end together."""
+    if not len(a):
+        return "", _NO_LINKS
+    (ids_a, ends_a), (ids_b, ends_b) = a.T, b.T
+    beside = np.searchsorted(ends_b, ends_a)
+    last_a = ends_b[beside] == ends_a
+    last_b = np.zeros(len(b), dtype=bool)
+    last_b[beside[last_a]] = True
+    # Where each token is written: all of a group from the first side, then those from the second.
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    after_a, after_b = np.nonzero(last_a)[0] + 1, np.concatenate(([0], np.nonzero(last_b)[0] + 1))
+    names = np.empty(len(a) + len(b), dtype=np.int64)
+    names[np.arange(len(a)) + after_b[group_a]] = 2 * ids_a + last_a
+    names[np.arange(len(b)) + after_a[group_b]] = table.first_b + 2 * ids_b + last_b
+    # A stretch between neighbouring ends is a link; it ends with a token of the first side or, else, of the second.
+    other = ~last_b
+    links = np.concatenate((ids_a << B_BITS | ids_b[beside], ids_a[np.searchsorted(ends_a, ends_b[other])] << B_BITS | ids_b[other]))
+    return "".join(map(table.texts.__getitem__, names.tolist())), links
+
+
+def _split(tokens: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    at = int(np.searchsorted(tokens[:, 1], end, side="right"))
     return tokens[:at], tokens[at:]
 
 
+def _joined(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate((x[0], y[0])), np.concatenate((x[1], y[1]))
+
+
 @dataclass
 class Fragment:
     """What a byte range contributes. Without a common end all tokens are in ``head``."""
 
     closes: bool = False
-    head: tuple[Tokens, Tokens] = field(default_factory=lambda: ([], []))
-    groups: list[str] = field(default_factory=list)
-    links: list[int] = field(default_factory=list)
-    tail: tuple[Tokens, Tokens] = field(default_factory=lambda: ([], []))
+    head: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)
+    groups: str = ""
+    links: np.ndarray = field(default_factory=lambda: _NO_LINKS)
+    tail: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)
     n_a: int = 0
     n_b: int = 0
     bad: bool = False
 
     @classmethod
-    def of(cls, a: Tokens, b: Tokens) -> Fragment:
+    def of(cls, a: np.ndarray, b: np.ndarray, table: Table) -> Fragment:
         made = cls(n_a=len(a), n_b=len(b), head=(a, b))
         ends = common_ends(a, b)
-        if ends:
+        if len(ends):
             made.closes = True
             (head_a, a), (head_b, b) = _split(a, ends[0]), _split(b, ends[0])
             (a, tail_a), (b, tail_b) = _split(a, ends[-1]), _split(b, ends[-1])
             made.head, made.tail = (head_a, head_b), (tail_a, tail_b)
-            made.groups, made.links = groups_of(a, b)
+            made.groups, made.links = groups_of(a, b, table)
         return made
 
-    def then(self, other: Fragment) -> Fragment:
+    def then(self, other: Fragment, table: Table) -> Fragment:
         """This range and the one after it."""
-        own = self.tail if self.closes else self.head
-        middle = Fragment.of(own[0] + other.head[0], own[1] + other.head[1])
+        middle = Fragment.of(*_joined(self.tail if self.closes else self.head, other.head), table)
         made = Fragment(self.closes or middle.closes, n_a=self.n_a + other.n_a, n_b=self.n_b + other.n_b, bad=self.bad or other.bad)
+        groups, links = [middle.groups], [middle.links]
         if self.closes:
-            made.head, made.groups, made.links = self.head, self.groups, self.links
+            made.head = self.head
             if middle.closes:
-                groups, links = groups_of(*middle.head)
-                made.groups, made.links = made.groups + groups + middle.groups, made.links + links + middle.links
+                between = groups_of(*middle.head, table)
+                groups.insert(0, between[0])
+                links.insert(0, between[1])
+            groups.insert(0, self.groups)
+            links.insert(0, self.links)
         else:
-            made.head, made.groups, made.links = middle.head, middle.groups, middle.links
+            made.head = middle.head
         if other.closes:
-            made.groups, made.links, made.tail = made.groups + other.groups, made.links + other.links, other.tail
+            made.tail = other.tail
+            groups.append(other.groups)
+            links.append(other.links)
         elif middle.closes:
             made.tail = middle.tail
         elif self.closes:
             made.tail = middle.head
+        made.groups, made.links = "".join(groups), np.concatenate(links)
         return made
 
-    def finished(self) -> tuple[list[str], list[int]]:
+    def finished(self, table: Table) -> tuple[str, np.ndarray]:
         """Groups and links of a whole text."""
-        groups, links = groups_of(*self.head)
-        return groups + self.groups, links + self.links
+        groups, links = groups_of(*self.head, table)
+        return (groups + self.groups)[:-1], np.concatenate((links, self.links))
+
+
+def ranked(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary of a byte-level file as ranks, which the faster library reads, if its merges
+    are in the order of their ids; texts in which the two libraries' ideas of letters may differ
+    are not given to it."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    of_letter = {letter: b for b, letter in enumerate(byte_letters())}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in pairs]
+    if made != sorted(made) or any(len(t) > 1 for t in model["vocab"].keys() - {a + b for a, b in pairs} if set(t) <= of_letter.keys()):
+        return None
+    tokens = {t: n for t, n in model["vocab"].items() if len(t) == 1 or n >= made[0]}
+    ranks = {bytes(of_letter[c] for c in t): n for t, n in tokens.items() if set(t) <= of_letter.keys()}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Aligner:
-    """Two tokenizers, a byte-level one of the ``tokenizers`` library and a ``sentencepiece``
-    model, with what their pieces contribute."""
+    """Two tokenizers, a byte-level one of the ``tokenizers`` library and a ``sentencepiece`` model."""
 
     _loaded: dict[tuple[str, str], Aligner] = {}
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(path_a)
-        self.first.encode_special_tokens = True  # their strings in a text are plain text
+        self.first = Encoder(path_a, "<u4")
+        self.first.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        self.ranked = ranked(path_a)
         self.second = sentencepiece.SentencePieceProcessor(model_file=path_b)
         of_letter = {letter: b for b, letter in enumerate(byte_letters())}
-        self.letters = str.maketrans({chr(b): letter for letter, b in of_letter.items()})
-        self.bytes_a = {
-            n: bytes(of_letter[c] for c in token) if all(c in of_letter for c in token) else token.encode()
-            for token, n in self.first.get_vocab().items()
-        }
+        vocabulary = self.first.tokenizer.get_vocab()
+        self.bytes_a = [b""] * (1 + max(vocabulary.values()))
+        for token, n in vocabulary.items():
+            self.bytes_a[n] = bytes(of_letter[c] for c in token) if all(c in of_letter for c in token) else token.encode()
         self.bytes_b = [self._piece(n) for n in range(self.second.get_piece_size())]
+        self.sizes_a, self.sizes_b = (np.array([*map(len, x)], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.space_b = self.second.piece_to_id("▁")
-        self.known: dict[str, tuple] = Known(self)
+        self.table = Table(len(self.bytes_a), len(self.bytes_b))
 
     def _piece(self, n: int) -> bytes:
         piece = self.second.id_to_piece(n)
@@ -187,78 +210,43 @@ class Aligner:
             cls._loaded[path_a, path_b] = cls(path_a, path_b)
         return cls._loaded[path_a, path_b]
 
-    def ids(self, piece: str) -> tuple[list[int], list[int]]:
-        """Ids of both for a text that begins with the added space."""
-        if _PLAIN_WORD.fullmatch(piece):  # one word of the pattern, so the merges alone decide
-            a = [t.id for t in self.first.model.tokenize(piece.translate(self.letters))]
-        else:
-            a = self.first.encode(piece, add_special_tokens=False).ids
-        return a, self.second.encode(piece[1:]) if len(piece) > 1 else [self.space_b]
-
-    def tokens(self, piece: str, at: int = 0) -> tuple[Tokens, Tokens] | None:
-        """Tokens of both from byte ``at`` on; None if one of them does not spell the piece."""
-        a, b = self.ids(piece)
-        raw = piece.encode()
-        out = []
-        for spelled, ids in ((self.bytes_a, a), (self.bytes_b, b)):
-            if b"".join([spelled[n] for n in ids]) != raw:
+    def first_ids(self, text: str) -> np.ndarray:
+        if self.ranked and not _UNSURE.search(text):
+            return np.array(self.ranked.encode_ordinary(" " + text), dtype=np.int64)
+        memory, words = self.first.memory, self.first.words
+        if len(memory) + len(words) > REMEMBERED:
+            memory.clear()
+            words.clear()
+        start, *others = self.first.pieces(text)
+        return np.frombuffer(self.first.piece(" " + start) + b"".join(map(memory.__getitem__, others)), dtype="<u4").astype(np.int64)
+
+    def tokens(self, text: str, at: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+        """Rows of (id, end) of a space and the text, from byte ``at`` on; None if the tokens of
+        one do not spell them."""
+        a = self.first_ids(text)
+        b = np.array(self.second.encode(text) if text else [self.space_b], dtype=np.int64)
+        raw, out = (" " + text).encode("utf-8", "surrogatepass"), []
+        for ids, spelled, sizes in ((a, self.bytes_a, self.sizes_a), (b, self.bytes_b, self.sizes_b)):
+            if b"".join(map(spelled.__getitem__, ids.tolist())) != raw:
                 return None
-            here, tokens = at, []
-            for n in ids:
-                end = here + len(spelled[n])
-                tokens.append((n, here, end))
-                here = end
-            out.append(tokens)
+            out.append(np.stack((ids, at + np.cumsum(sizes[ids])), axis=1))
         return out[0], out[1]
 
-    def contribution(self, piece: str) -> tuple[bytes, bytes, int]:
-        """Groups, keys of links, and counts of tokens (with a mark if it is not spelled)."""
-        both = self.tokens(piece)
+    def whole(self, text: str) -> tuple[str, np.ndarray, int, int]:
+        """A whole text: its groups, keys of links, and counts of tokens."""
+        both = self.tokens(text) if text else None
         if both is None:
-            return b"", b"", _BAD
-        groups, links = groups_of(*both)
-        return ";".join(groups).encode(), np.array(links, dtype=np.int64).tobytes(), len(both[0]) | len(both[1]) << _COUNT_BITS
+            return "", _NO_LINKS, 0, 0
+        groups, links = groups_of(*both, self.table)
+        return groups[:-1], links, len(both[0]), len(both[1])
 
-    def whole(self, text: str) -> tuple[bytes, bytes, int]:
-        """A whole text: its groups, keys of links, and counts of tokens."""
-        if not text:
-            return b"", b"", 0
-        parts = [*map(self.known.__getitem__, pieces(text))]
-        counts = sum([p[2] for p in parts])
-        if counts >= _BAD:
-            one = self.contribution(" " + text)
-            return one if one[2] < _BAD else (b"", b"", 0)
-        return b";".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), counts
-
-    def ranged(self, piece: str, at: int, low: int, high: int) -> Fragment:
+    def ranged(self, stretch: str, at: int, low: int, high: int) -> Fragment:
         """The fragment of bytes (low, high] out of a stretch of text that begins at byte ``at``
-        and, like a whole text, with a space."""
-        a, b = [], []
-        for part in pieces(piece[1:]):
-            both = self.tokens(part, at)
-            if both is None:
-                return Fragment(bad=True)
-            a += both[0]
-            b += both[1]
-            at += len(part.encode())
-        return Fragment.of([t for t in a if low < t[2] <= high], [t for t in b if low < t[2] <= high])
-
-
-class Known(dict):
-    """Contributions of pieces; the older generation is dropped when the younger is full."""
-
-    def __init__(self, aligner: Aligner) -> None:
-        super().__init__()
-        self.make, self.old = aligner.contribution, {}
-
-    def __missing__(self, piece: str) -> tuple:
-        made = self.old.get(piece) or self.make(piece)
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = made
-        return made
+        with a space."""
+        both = self.tokens(stretch[1:], at)
+        if both is None:
+            return Fragment(bad=True)
+        return Fragment.of(*(t[(t[:, 1] > low) & (t[:, 1] <= high)] for t in both), self.table)
 
 
 def ranges_of(text: str, chunk_bytes: int) -> Iterator[tuple[int, int, int, str]]:
@@ -288,24 +276,13 @@ _FRAGMENTS = (
 )
 
 
-def _flat(tokens: Tokens) -> list[int]:
-    return [x for t in tokens for x in t]
-
-
-def _tokens(flat) -> Tokens:
-    return [tuple(t) for t in np.asarray(flat, dtype=np.int64).reshape(-1, 3).tolist()]
-
-
 def _row(item: int, doc_id, at: int, f: Fragment) -> tuple:
-    return (item, doc_id, at, f.bad, f.closes, _flat(f.head[0]), _flat(f.head[1]), ";".join(f.groups), f.links,
-            _flat(f.tail[0]), _flat(f.tail[1]), f.n_a, f.n_b)
+    return (item, doc_id, at, f.bad, f.closes, *(t.ravel() for t in f.head), f.groups, f.links, *(t.ravel() for t in f.tail), f.n_a, f.n_b)
 
 
 def _fragment(r) -> Fragment:
-    return Fragment(
-        bool(r.closes), (_tokens(r.head_a), _tokens(r.head_b)), r.groups.split(";") if r.groups else [], [*map(int, r.links)],
-        (_tokens(r.tail_a), _tokens(r.tail_b)), int(r.n_a), int(r.n_b), bool(r.bad),
-    )
+    head_a, head_b, tail_a, tail_b = (np.asarray(t, dtype=np.int64).reshape(-1, 2) for t in (r.head_a, r.head_b, r.tail_a, r.tail_b))
+    return Fragment(bool(r.closes), (head_a, head_b), r.groups, np.asarray(r.links, dtype=np.int64), (tail_a, tail_b), int(r.n_a), int(r.n_b), bool(r.bad))
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -313,12 +290,12 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return out.assign(doc_id=pd.array([None if pd.isna(i) else int(i) for i in out["doc_id"]], dtype="Int64"))
 
 
-def _aligned_row(doc_id, counts: int, groups: bytes, links: bytes, digest: bool) -> tuple:
-    if not counts:
+def _aligned_row(doc_id, groups: str, links: np.ndarray, n_a: int, n_b: int, digest: bool) -> tuple:
+    if not n_a:
         return doc_id, 0, 0, 0, 0, "", [], []
-    pairs, times = np.unique(np.frombuffer(links, dtype=np.int64), return_counts=True)
-    shown = hashlib.sha256(groups).hexdigest() if digest else groups.decode()
-    return doc_id, counts & _COUNT_MASK, counts >> _COUNT_BITS, groups.count(b";") + 1, len(links) // 8, shown, pairs, times
+    pairs, times = np.unique(links, return_counts=True)
+    shown = hashlib.sha256(groups.encode()).hexdigest() if digest else groups
+    return doc_id, n_a, n_b, groups.count(";") + 1, len(links), shown, pairs, times
 
 
 def align_tokens(
@@ -337,8 +314,7 @@ def align_tokens(
                 part = batch.slice(at, 256)
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    groups, links, counts = aligner.whole(text.as_py())
-                    rows.append(_aligned_row(doc_id, counts, groups, links, digest))
+                    rows.append(_aligned_row(doc_id, *aligner.whole(text.as_py()), digest))
                 yield _aligned_batch(rows)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,14 +329,21 @@ def align_tokens(
             for r in batch.itertuples():
                 yield _frame([_row(r.item, r.doc_id, r.at, aligner.ranged(r.stretch, r.start, r.low, r.high))], _FRAGMENTS)
 
-    def ended(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def composed(group: pd.DataFrame) -> pd.DataFrame:
+        table = Aligner.at(path_a, path_b).table
+        rows = [*group.sort_values("at").itertuples()]
+        level = [_fragment(r) for r in rows]
+        while len(level) > 1:  # a tree, so nothing is copied more often than its depth
+            level = [x.then(y, table) if y else x for x, y in zip(level[::2], [*level[1::2], None])]
+        return _frame([_row(rows[0].item, rows[0].doc_id, int(rows[0].at) // GROUP, level[0])], _FRAGMENTS)
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Aligner.at(path_a, path_b).table
         for batch in batches:
             for r in batch.to_pandas().itertuples():
-                f = _fragment(r)
-                groups, links = ([], []) if f.bad else f.finished()
-                counts = 0 if f.bad else f.n_a | f.n_b << _COUNT_BITS
-                doc_id = None if pd.isna(r.doc_id) else int(r.doc_id)
-                yield _aligned_batch([_aligned_row(doc_id, counts, ";".join(groups).encode(), np.array(links, dtype=np.int64).tobytes(), digest)])
+                doc_id, f = None if pd.isna(r.doc_id) else int(r.doc_id), _fragment(r)
+                groups, links = ("", _NO_LINKS) if f.bad else f.finished(table)
+                yield _aligned_batch([_aligned_row(doc_id, groups, links, 0 if f.bad else f.n_a, f.n_b, digest)])
 
     long = F.octet_length("text") > chunk_bytes
     ranges = (
@@ -368,19 +351,11 @@ def align_tokens(
         .repartition(shuffle_partitions(docs), "item", "at")
     )
     first = ranges.mapInPandas(mapped, _FRAGMENTS).withColumn("part", F.floor(F.col("at") / GROUP))
-    second = first.groupBy("item", "part").applyInPandas(_composed, _FRAGMENTS)
-    wholes = second.groupBy("item").applyInPandas(_composed, _FRAGMENTS)
+    second = first.groupBy("item", "part").applyInPandas(composed, _FRAGMENTS)
+    wholes = second.groupBy("item").applyInPandas(composed, _FRAGMENTS)
     return texts.filter(~long).mapInArrow(whole, _ALIGNED).unionByName(wholes.mapInArrow(ended, _ALIGNED))
 
 
-def _composed(group: pd.DataFrame) -> pd.DataFrame:
-    rows = [*group.sort_values("at").itertuples()]
-    level = [_fragment(r) for r in rows]
-    while len(level) > 1:  # a tree, so nothing is copied more often than its depth
-        level = [a.then(b) if b else a for a, b in zip(level[::2], [*level[1::2], None])]
-    return _frame([_row(rows[0].item, rows[0].doc_id, int(rows[0].at) // GROUP, level[0])], _FRAGMENTS)
-
-
 def _aligned_batch(rows: list[tuple]) -> pa.RecordBatch:
     ids, n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*rows)
     ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
