@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from veilscan.llm.inputs import id_and_text
 
@@ -44,6 +46,9 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _SPACES = regex.compile(f"[{_SPACE}]+")
 # str.split() also splits at these four, which are no white space there.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
+# Characters whose class or lower case may differ between this interpreter's Unicode tables and
+# those of the tokenizers library; texts with one of them are normalised and cut by the library.
+_UNSURE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
@@ -86,7 +91,9 @@ class Vocabulary:
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         # The rank of a pair above the id of what it becomes: the least number merges first.
         self.ranks = {pair: rank << ID_BITS | whole for pair, (rank, whole) in self.merges.items()}
+        self.library = Tokenizer.from_file(path)
         letters = byte_letters()
+        self.of_letter = {letter: b for b, letter in enumerate(letters)}
         self.inner = [ids[c] for c in letters]
         self.final = [ids[c + end] for c in letters]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -106,6 +113,12 @@ class Vocabulary:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def library_words(self, text: str) -> list[str]:
+        """The words of a text with any characters, as the library's normaliser and pattern have
+        them; what becomes of a word is not left to it."""
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.of_letter.__getitem__, letters)).decode("utf-8", "surrogatepass") for letters, _ in cut]
+
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         parts = [*map(self.inner.__getitem__, raw)]
@@ -179,6 +192,11 @@ class Vocabulary:
         )
 
     def _plain(self, text: str) -> bytes:
+        if _UNSURE.search(text):
+            if len(self.memory) + len(self.words) >= REMEMBERED:
+                self.memory.clear()
+                self.words.clear()
+            return b"".join(map(self._known_word, self.library_words(text)))
         word, other, new = self.words.get, self.memory.get, self._fragment
         return b"".join([word(f) or other(f) or new(f) for f in fragments(normalised(text))])
 

@@ -33,7 +33,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from veilscan.llm.bpe import _SPACE, Vocabulary, fragments, normalised
+from veilscan.llm.bpe import _SPACE, _UNSURE, Vocabulary, fragments, normalised
 from veilscan.llm.inputs import id_and_text, shuffle_partitions
 
 CHUNK_CHARS = 1 << 18
@@ -239,8 +239,15 @@ class Transducer:
         """Tokens of a raw text; special strings in it count one each."""
         cut = self.vocabulary.cut
         if cut is None or "<|" not in text:
+            return self.plain(text)
+        return sum(1 if k % 2 else self.plain(p) for k, p in enumerate(cut.split(text)))
+
+    def plain(self, text: str) -> int:
+        """Tokens of a raw text in which special strings are plain text. Where the library's
+        Unicode tables decide what a word is, it names the words, which are walked all the same."""
+        if not _UNSURE.search(text):
             return self.run(normalised(text))
-        return sum(1 if k % 2 else self.run(normalised(p)) for k, p in enumerate(cut.split(text)))
+        return sum(map(self.whole, self.vocabulary.library_words(text)))
 
 
 # Maps of chunks: (head, tokens, tail), tokens None for a chunk without white space (all head).
