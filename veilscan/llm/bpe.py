@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from veilscan.llm.inputs import id_and_text
 
 SHORT = 64
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 NO_RANK = 1 << 60
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -91,7 +91,7 @@ class Vocabulary:
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         # The rank of a pair above the id of what it becomes: the least number merges first.
         self.ranks = {pair: rank << ID_BITS | whole for pair, (rank, whole) in self.merges.items()}
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         letters = byte_letters()
         self.of_letter = {letter: b for b, letter in enumerate(letters)}
         self.inner = [ids[c] for c in letters]
@@ -116,6 +116,8 @@ class Vocabulary:
     def library_words(self, text: str) -> list[str]:
         """The words of a text with any characters, as the library's normaliser and pattern have
         them; what becomes of a word is not left to it."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.of_letter.__getitem__, letters)).decode("utf-8", "surrogatepass") for letters, _ in cut]
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from veilscan.session import materialise
+from veilscan.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -50,4 +50,6 @@ def component_labels(edges: DataFrame) -> DataFrame:
                 now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
             )
         mark = seen
-        now = materialise(_small_star(_large_star(now)), "edges")
+        after = materialise(_small_star(_large_star(now)), "edges")
+        discard(now)
+        now = after
