@@ -260,10 +260,10 @@ def key_values_uploads(spark, sf_dir):
     customers = corpora.read_table(spark, sf_dir, "customer")
     key = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat(F.lit("nation"), "c_nationkey"))
     csv, lines, document = (work_dir(spark, f"upload-{n}") for n in ("csv", "lines", "document"))
-    customers.select(key.alias("key"), F.col("c_name").alias("value")).coalesce(1).write.option("header", "true").csv(csv)
+    customers.select(key.alias("key"), F.col("c_name").alias("value")).write.option("header", "true").csv(csv)
     events = corpora.read_table(spark, sf_dir, "events")
     pair = F.struct(F.col("event_type").alias("key"), F.col("event_id").alias("value"))
-    events.select(F.to_json(pair).alias("value")).repartition(3).write.text(lines)
+    events.select(F.to_json(pair).alias("value")).write.text(lines)
     nations = corpora.read_table(spark, sf_dir, "nation").select(
         F.concat(F.lit('{"key": "n'), "n_nationkey", F.lit('",\n "value": "'), "n_name", F.lit('"}')).alias("item")
     )

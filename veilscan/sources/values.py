@@ -6,44 +6,49 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.functions import fixed_values as fv, text
 from veilscan.operators.lookups import keep_known, lookup_join
+from veilscan.session import materialise
 
 OBJECT = "map<string,variant>"
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) pairs of an upload: JSON when its text starts with a bracket or
-    brace, else CSV. JSON lines (every filled line is a document of its own) and CSV files of
-    any size are read in splits; one JSON document over several lines is one row by nature."""
-    lines = spark.read.text(path)
-    filled = lines.filter(F.trim("value") != "")
-    if filled.limit(1).filter(F.ltrim("value").rlike(r"^[\[{]")).isEmpty():
-        return key_values_of_lines(_without_header(lines), F.col("value"), drop_headers=False)
-    if filled.filter(F.try_parse_json("value").isNull()).isEmpty():
-        return key_values_of_json(filled, F.col("value"))
-    return key_values_of_json(spark.read.text(path, wholetext=True), F.col("value"))
-
-
-def _without_header(lines: DataFrame) -> DataFrame:
-    """The lines without the first one, where that holds just the words key and value."""
-    head = lines.limit(1)
-    if head.isEmpty() or not key_values_of_lines(head, F.col("value")).isEmpty():
-        return lines
-    first = head.first()["value"]
-    if key_values_of_lines(head, F.col("value"), drop_headers=False).isEmpty():
-        return lines
-    again = lines.filter(F.col("value") == first).count() - 1
-    copies = lines.sparkSession.range(again).select(F.lit(first).alias("value"))
-    return lines.filter(F.col("value") != first).unionByName(copies)
+    """(key, value) pairs of an upload of one file or many, each read by its own kind: JSON when its
+    first filled line starts with a bracket or brace, else CSV, whose first line goes if it holds
+    just the words key and value. JSON lines (every filled line is a document of its own) and CSV
+    files of any size are read in splits; one JSON document over several lines is one row by nature."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    filled = F.trim("value") != ""
+    first = F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("_place")))
+    documents = F.bool_and(~filled | F.try_parse_json("value").isNotNull())
+    kind = F.when(~first.rlike(r"^\s*[\[{]"), "csv").when(documents, "lines").otherwise("document")
+    files = lines.groupBy("_file").agg(F.min("_place").alias("_first"), F.coalesce(kind, F.lit("csv")).alias("_kind"))
+    files = materialise(files, "upload-files")
+    known = lookup_join(lines, files, ["_file"], "inner", stored=True)
+    header = (F.col("_place") == F.col("_first")) & _is_header(F.col("value"))
+    found = key_values_of_lines(known.filter((F.col("_kind") == "csv") & ~header), F.col("value"), drop_headers=False)
+    found = found.unionByName(key_values_of_json(known.filter((F.col("_kind") == "lines") & filled), F.col("value")))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    whole = lookup_join(whole, files.filter("_kind = 'document'").select("_file"), ["_file"], "left_semi", stored=True)
+    return found.unionByName(key_values_of_json(whole, F.col("value")))
+
+
+def _cells(line: Column) -> tuple[Column, Column]:
+    """The two columns of a CSV line."""
+    cols = F.split(F.trim(F.regexp_replace(line, r"\r$", "")), "[,;]", 2)
+    return _unquoted(F.trim(F.get(cols, F.lit(0)))), _unquoted(F.trim(F.get(cols, F.lit(1))))
+
+
+def _is_header(line: Column) -> Column:
+    key, value = _cells(line)
+    return F.coalesce((F.lower(F.trim(key)) == "key") & (F.lower(F.trim(value)) == "value"), F.lit(False))
 
 
 def key_values_of_lines(rows: DataFrame, line: Column, drop_headers: bool = True) -> DataFrame:
     """CSV lines ``key,value`` or ``key;value``, optionally quoted. Lines without two filled
     columns are left out, and unless told otherwise lines of just the words key and value."""
-    cols = F.split(F.trim(F.regexp_replace(line, r"\r$", "")), "[,;]", 2)
-    pairs = rows.select(
-        _unquoted(F.trim(F.get(cols, F.lit(0)))).alias("key"),
-        _unquoted(F.trim(F.get(cols, F.lit(1)))).alias("value"),
-    )
+    key, value = _cells(line)
+    pairs = rows.select(key.alias("key"), value.alias("value"))
     header = (F.lower("key") == "key") & (F.lower("value") == "value")
     return _filled(pairs.filter(~header) if drop_headers else pairs)
 
@@ -61,7 +66,7 @@ def _filled(pairs: DataFrame) -> DataFrame:
 
 def key_values_of_json(rows: DataFrame, document: Column) -> DataFrame:
     """Arrays of {key, value}, arrays of objects, or one object."""
-    is_array = F.ltrim(document).startswith("[")
+    is_array = document.rlike(r"^\s*\[")
     objects = rows.select(
         F.explode(
             F.when(is_array, F.from_json(document, f"array<{OBJECT}>")).otherwise(
