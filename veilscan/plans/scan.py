@@ -28,6 +28,14 @@ class ScanInputs:
 
 def raw_findings(units: DataFrame, config: ScanConfig, inputs: ScanInputs = ScanInputs()) -> DataFrame:
     """All detectors over the units, with the repositories' rule overrides."""
+    return raw_findings_reporting(units, config, inputs)[0]
+
+
+def raw_findings_reporting(
+    units: DataFrame, config: ScanConfig, inputs: ScanInputs = ScanInputs()
+) -> tuple[DataFrame, DataFrame]:
+    """The findings of all detectors, and the detectors left out (detector_id, message)."""
+    failed = units.sparkSession.createDataFrame([], "detector_id string, message string")
     if inputs.rulesets is not None:
         config = config.with_rules_on(tuple(rulesets.rules_switched_on(inputs.rulesets)))
     found = detect(units, config)
@@ -39,23 +47,32 @@ def raw_findings(units: DataFrame, config: ScanConfig, inputs: ScanInputs = Scan
         )
         found = found.unionByName(hashed)
     if inputs.plugins is not None:
-        found = found.unionByName(inputs.plugins.run(units))
+        own, failed = inputs.plugins.run_reporting(units)
+        found = found.unionByName(own)
     if inputs.rulesets is not None:
         found = rulesets.apply_overrides(found, inputs.rulesets, named=config.pii_patterns)
-    return found
+    return found, failed
 
 
 def scan(
     units: DataFrame, config: ScanConfig = ScanConfig(), inputs: ScanInputs = ScanInputs()
 ) -> DataFrame:
     """Raw findings → verification → dedup → path suppression → baseline."""
-    found = raw_findings(units, config, inputs)
+    return scan_reporting(units, config, inputs)[0]
+
+
+def scan_reporting(
+    units: DataFrame, config: ScanConfig = ScanConfig(), inputs: ScanInputs = ScanInputs()
+) -> tuple[DataFrame, DataFrame]:
+    """The findings of a scan together with its degradations (detector_id, message): detectors
+    that failed are left out, the others' findings stand."""
+    found, failed = raw_findings_reporting(units, config, inputs)
     if inputs.verifications is not None:
         found = fo.verify_and_escalate(found, inputs.verifications)
     aggregated = fo.apply_path_rules(fo.aggregate_findings(found), inputs.suppressions)
     if inputs.baseline is not None:
         aggregated = fo.apply_baseline(aggregated, inputs.baseline)
-    return aggregated
+    return aggregated, failed
 
 
 def gate(
