@@ -341,3 +341,24 @@ TEST_MAIL_ADDRESSES = (
     "youremail@gmail.com", "your.email@gmail.com", "example@gmail.com", "a@a.com",
     "x@x.com", "foo@bar.com",
 )
+
+# Number ranges of card schemes by their first digits, and the lengths of a number.
+CARD_RANGES = (
+    (4, 4, (13, 16, 19)),
+    (34, 34, (15,)),
+    (37, 37, (15,)),
+    (51, 55, (16,)),
+    (2221, 2720, (16,)),
+    (6011, 6011, (16, 19)),
+    (65, 65, (16, 19)),
+    (6440, 6499, (16, 19)),
+    (622126, 622925, (16, 19)),
+    (3000, 3059, (14, 15, 16, 17, 18, 19)),
+    (3095, 3095, (14, 15, 16, 17, 18, 19)),
+    (36, 36, (14, 15, 16, 17, 18, 19)),
+    (38, 39, (14, 15, 16, 17, 18, 19)),
+    (3528, 3589, (16, 17, 18, 19)),
+    (62, 62, (16, 17, 18, 19)),
+    (50, 50, (12, 13, 14, 15, 16, 17, 18, 19)),
+    (56, 69, (12, 13, 14, 15, 16, 17, 18, 19)),
+)
