@@ -30,3 +30,14 @@ def test_blocks_do_not_change_the_result(spark):
     assert 0 not in {r[0] for r in one} and len(one) == len(rows) - 1
     for size in (2000, 600, 100):
         assert sorted(map(tuple, decontaminate(docs, benchmark, block_bytes=size).collect()), key=key) == one
+
+
+def test_columns_under_the_names_of_the_operator(spark):
+    leak = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{leak} " + "own " * 30, "c", "k", "y"), (2, None, None, "k", None), (3, leak, "c", "k", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __clean string, __copy string, kept string")
+    items = spark.createDataFrame([(k, f"{leak} {k}") for k in range(5)], "item_id long, text string")
+    for size in (1 << 20, 40):
+        found = sorted(decontaminate(docs, items, block_bytes=size).collect())
+        assert [(r.doc_id, r["__clean"], r["__copy"], r.kept) for r in found] == [(1, "c", "k", "y"), (2, None, "k", None)]
+        assert found[0].text.split() == ["own"] * 30 and found[1].text is None

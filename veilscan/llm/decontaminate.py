@@ -275,18 +275,27 @@ def _clean(docs: DataFrame, automaton, text_col: str, max_span_words: int, max_c
             spans, _ = automaton.value.spans(words_of(text))
         return True, text
 
-    return _changed(docs.withColumn("__clean", _fixer(fixed)(F.col(f"`{text_col}`").cast("string"))), docs, text_col)
+    clean = _free(docs, "__clean")
+    return _changed(docs.withColumn(clean, _fixer(fixed)(F.col(f"`{text_col}`").cast("string"))), docs, text_col, clean)
 
 
-def _changed(marked: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` as the column ``__clean`` (kept, text) tells."""
-    kept = marked.filter("__clean.kept")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _changed(marked: DataFrame, docs: DataFrame, text_col: str, clean: str) -> DataFrame:
+    """``docs`` as the column ``clean`` (kept, text) tells."""
+    kept, text = marked.filter(F.col(clean)["kept"]), F.col(clean)["text"]
     changes = {c: F.col(f"`{c}`") for c in docs.columns}
-    changes[text_col] = F.col("__clean.text")
+    changes[text_col] = text
     if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
-        changed = ~F.col("__clean.text").eqNullSafe(F.col(f"`{text_col}`"))
+        changed = ~text.eqNullSafe(F.col(f"`{text_col}`"))
         kind = dict(docs.dtypes)["n_chars"]
-        changes["n_chars"] = F.when(changed, F.length("__clean.text").cast(kind)).otherwise(F.col("n_chars"))
+        changes["n_chars"] = F.when(changed, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
     return kept.select(*[col.alias(c) for c, col in changes.items()])
 
 
@@ -333,11 +342,12 @@ def _clean_by_blocks(docs: DataFrame, blocks: list, text_col: str, max_span_word
         shorter = F.when(F.col("spans").isNotNull(), cut("text", "spans", F.lit(False))["text"]).otherwise(F.col("text"))
         now = materialise(rest.select("copy", shorter.alias("text")), "leaks-cut")
     done = done.unionByName(now.select("copy", F.struct(F.lit(True).alias("kept"), "text").alias("__clean")))
-    marked = docs.withColumn("__copy", F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)).join(
-        done.withColumnRenamed("copy", "__copy"), "__copy", "left"
+    clean, copy = _free(docs, "__clean"), _free(docs, "__copy")
+    marked = docs.withColumn(copy, F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)).join(
+        done.select(F.col("copy").alias(copy), F.col("__clean").alias(clean)), copy, "left"
     )
     same = F.struct(F.lit(True).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return _changed(marked.withColumn("__clean", F.coalesce("__clean", same)), docs, text_col)
+    return _changed(marked.withColumn(clean, F.coalesce(clean, same)), docs, text_col, clean)
 
 
 def _fixer(fixed):
