@@ -8,8 +8,9 @@ from catalog import common, sql
 from catalog.registry import plain, query
 from veilscan.functions import fixed_values as fv, text
 from veilscan.operators import findings as fo, govern, rulesets
-from veilscan.operators.detect import ScanConfig, detect
-from veilscan.operators.scrub import remaining_secrets, scrub_content
+from veilscan.operators.detect import EntropyConfig, ScanConfig, detect
+from veilscan.operators.lookups import keep_known
+from veilscan.operators.scrub import remaining_open, remaining_secrets, scrub_content
 from veilscan.plans.scan import ScanInputs, raw_findings, scan
 from veilscan.session import materialise, work_dir
 from veilscan.sources import corpora, store as st
@@ -580,32 +581,80 @@ def apply_edits(spark, sf_dir):
     )
 
 
-_SCRUB_RULES = [r for r in fv.SECRET_RULES]
+SCRUB = ScanConfig(groups=("secrets",), entropy=EntropyConfig(threshold=4.0))
 
 
-def _scrub_sql() -> str:
-    line = "x"
-    for r in _SCRUB_RULES:
-        line = f"regexp_replace({line}, {sql.lit(r.pattern)}, '***REMOVED***', 'g')"
-    return f"array_to_string(list_transform(string_split(content, chr(10)), lambda x: {line}), chr(10))"
+def _scrub_store(spark, sf_dir):
+    """Secrets of the repositories that may be rewritten; some are suppressed by their path, some
+    were judged false positives."""
+    chosen = corpora.repositories(spark, sf_dir).filter("remediation_enabled").select(F.col("name").alias("repo_id"))
+    found = fo.aggregate_findings(detect(common.history(spark, sf_dir), SCRUB))
+    flagged = fo.apply_path_rules(keep_known(found, chosen, ["repo_id"]), common.SUPPRESSIONS)
+    judged = F.when(F.col("fingerprint").startswith("0"), F.lit("FALSE_POSITIVE")).otherwise(F.col("triage_status"))
+    return materialise(govern.stored_findings(flagged, F.lit("scan")).withColumn("triage_status", judged), "store")
+
+
+def _scrub_places() -> str:
+    """Every match of a secret rule with the character at which it begins."""
+    rules = [(r.rule_id, r.pattern, "true") for r in SCRUB.secret_rules]
+    e = SCRUB.entropy
+    rules.append((fv.ENTROPY_RULE, fv.ENTROPY_TOKEN, f"length(m) >= {e.min_length} AND {sql.entropy('m')} >= {e.threshold}"))
+    lengths = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return " UNION ALL ".join(
+        f"SELECT *, 'SECRET' AS category, {sql.lit(rule_id)} AS rule_id FROM (SELECT *, ms[j] AS m, "
+        f"({lengths.format('ps[:j]')} + {lengths.format('ms[:j - 1]')} + 1)::BIGINT AS s "
+        "FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j FROM (SELECT *, "
+        f"regexp_extract_all(line, {sql.lit(pattern)}) AS ms, string_split_regex(line, {sql.lit(pattern)}) AS ps "
+        f"FROM lines WHERE regexp_matches(line, {sql.lit(pattern)})))) WHERE {accept}"
+        for rule_id, pattern, accept in rules
+    )
 
 
-@query("scrub_content", q(
-    f"units AS ({common.HISTORY}), {common.REPOSITORIES}",
-    f"SELECT repo_id, path, commit_id, sha256(CASE WHEN repo_id IN (SELECT name FROM repos WHERE remediation_enabled) THEN {_scrub_sql()} ELSE content END) AS digest FROM units",
-))
+_LINE = "repo_id, path, commit_id, line_no"
+_OPEN_SECRETS = (
+    f"{sql.findings_ctes(common.HISTORY, SCRUB)}, {sql.aggregate_ctes()}, {common.REPOSITORIES}, "
+    f"open_secrets AS (SELECT DISTINCT repo_id, fingerprint FROM agg WHERE NOT {common.SUPPRESSED_SQL} "
+    "AND NOT starts_with(fingerprint, '0') AND repo_id IN (SELECT name FROM repos WHERE remediation_enabled))"
+)
+_SCRUBBED = (
+    f"{_OPEN_SECRETS}, places AS ({_scrub_places()}), "
+    f"gone AS (SELECT DISTINCT {_LINE}, line, s, s + length(m) AS e FROM (SELECT *, {sql.FINGERPRINT} AS fingerprint "
+    f"FROM (SELECT *, {sql.REDACT} AS redacted_match FROM places WHERE NOT {sql.suppressed()})) "
+    "SEMI JOIN open_secrets USING (repo_id, fingerprint)), "
+    f"apart AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY {_LINE} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM gone), "
+    f"numbered_runs AS (SELECT *, sum(begins) OVER (PARTITION BY {_LINE} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW) AS run FROM apart), "
+    f"runs AS (SELECT {_LINE}, run, any_value(line) AS line, min(s) AS s, max(e) AS e FROM numbered_runs GROUP BY {_LINE}, run), "
+    f"pieces AS (SELECT *, lag(e, 1, 1) OVER (PARTITION BY {_LINE} ORDER BY s) AS since FROM runs), "
+    f"changed AS (SELECT {_LINE}, string_agg(substr(line, since, s - since) || '***REMOVED***', '' ORDER BY s) "
+    f"|| substr(any_value(line), max(e)) AS clean FROM pieces GROUP BY {_LINE}), "
+    "scrubbed AS (SELECT repo_id, path, commit_id, string_agg(coalesce(clean, line), chr(10) ORDER BY line_no) AS content "
+    f"FROM lines LEFT JOIN changed USING ({_LINE}) GROUP BY repo_id, path, commit_id)"
+)
+
+
+@query("scrub_content", q(_SCRUBBED, "SELECT repo_id, path, commit_id, sha256(content) AS digest FROM scrubbed"))
 def scrub_history(spark, sf_dir):
-    chosen = corpora.repositories(spark, sf_dir).filter("remediation_enabled").select(F.col("name").alias("repo_id"))
-    return scrub_content(common.history(spark, sf_dir), chosen).select(
-        "repo_id", "path", "commit_id", F.sha2("content", 256).alias("digest")
-    )
+    done = scrub_content(common.history(spark, sf_dir), _scrub_store(spark, sf_dir), SCRUB)
+    return done.select("repo_id", "path", "commit_id", F.sha2("content", 256).alias("digest"))
 
 
-@query("scrub_remaining", q(
-    f"{sql.findings_ctes(common.HISTORY, ScanConfig(groups=('secrets',)))}, {common.REPOSITORIES}",
-    "SELECT repo_id, count(*) AS remaining FROM raw WHERE repo_id NOT IN (SELECT name FROM repos WHERE remediation_enabled) GROUP BY repo_id",
-))
+@query("scrub_remaining", q(_OPEN_SECRETS, "SELECT DISTINCT repo_id, 0::BIGINT AS remaining FROM open_secrets"))
 def scrub_remaining(spark, sf_dir):
-    """Re-scan after the scrub: only repositories that were left out still have any."""
-    chosen = corpora.repositories(spark, sf_dir).filter("remediation_enabled").select(F.col("name").alias("repo_id"))
-    return remaining_secrets(scrub_content(common.history(spark, sf_dir), chosen))
+    """Re-scan after the scrub: nothing is left of the open findings."""
+    stored, units = _scrub_store(spark, sf_dir), common.history(spark, sf_dir)
+    return remaining_open(scrub_content(units, stored, SCRUB), stored, SCRUB)
+
+
+_RESCANNED = (
+    f"WITH {_SCRUBBED} SELECT s.repo_id, s.path, s.commit_id, u.author, u.ts, s.content "
+    "FROM scrubbed s JOIN units u USING (repo_id, path, commit_id)"
+)
+
+
+@query("scrub_left", q(sql.findings_ctes(_RESCANNED, SCRUB), "SELECT repo_id, count(*) AS remaining FROM raw GROUP BY repo_id"))
+def scrub_left(spark, sf_dir):
+    """Re-scan after the scrub: suppressed secrets, false positives and other repositories' stay."""
+    stored = _scrub_store(spark, sf_dir)
+    return remaining_secrets(scrub_content(common.history(spark, sf_dir), stored, SCRUB), SCRUB)

@@ -73,3 +73,43 @@ def test_hashed_values(spark, make_units):
     assert detect_hashed_values(units, frame("99999999", ""), "").count() == 0
     assert detect_hashed_values(units, frame("abc", ""), "").count() == 0
     assert detect_hashed_values(units, frame("abc", ""), "", min_length=3).count() == 1
+
+
+def test_only_pieces_that_may_be_known_leave_their_task(spark, make_units):
+    from pyspark.sql import functions as F
+
+    from veilscan.operators import values as v
+
+    words = [f"w{i}x{i * 7919 % 1000}" for i in range(20_000)]
+    units = make_units(*[(f"f{i}.java", " ".join(words[i * 1000 : i * 1000 + 1000])) for i in range(20)])
+    some = words[::20]
+    rows = [(f"a{i % 3}", w, w) for i, w in enumerate(some)]
+    parts = spark.createDataFrame(rows, "attribute string, value string, core string").withColumns(
+        {"severity": F.lit("HIGH"), "category": F.lit("PII")}
+    )
+    left = v._line_pieces(units, v._parts(parts), False)
+    found = {r.piece for r in left.select("piece").collect()}
+    assert set(some) <= found and len(found) <= len(some) + 20_000 / v.SLOTS_PER_VALUE
+    known = spark.createDataFrame([(hashlib.sha256(w.encode()).hexdigest(),) for w in some], "piece string")
+    hashed = v._hashed_tokens(units, known, "", 1, False)
+    assert len(some) <= hashed.count() <= len(some) + 20_000 / v.SLOTS_PER_VALUE
+    # Results do not depend on the way the two sides meet, nor on a filter that lets all pass.
+    values = spark.createDataFrame([(a, w) for a, w, _ in rows], "attribute string, value string")
+    want = sorted((r.path, r.rule_id, r.line_no, r.redacted_match) for r in v.detect_values(units, values).collect())
+    assert len(want) == len(some)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for slots in (v.FILTER_SLOTS, (1, 1)):
+            v.FILTER_SLOTS, old = slots, v.FILTER_SLOTS
+            got = v.detect_values(units, values).collect()
+            v.FILTER_SLOTS = old
+            assert sorted((r.path, r.rule_id, r.line_no, r.redacted_match) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_no_known_values(spark, make_units):
+    units = make_units(("A.java", "one two"))
+    assert detect_values(units, spark.createDataFrame([], "attribute string, value string")).count() == 0
+    assert detect_hashed_values(units, spark.createDataFrame([], "attribute string, value_hash string")).count() == 0

@@ -1,39 +1,136 @@
-"""Removing open secrets from all history rows, and checking that none remains."""
+"""Removing the secrets of open findings from all history rows, and checking that none remains.
+
+A scrub is directed by findings, not by rules: a match goes if its fingerprint is that of an open
+secret of its repository. What was suppressed, accepted or judged a false positive stays, and so
+does a match that an inline directive covers.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from veilscan.functions import fixed_values as fv
-from veilscan.functions.patterns import may_match_sql, spark_pattern
-from veilscan.operators.detect import ScanConfig, run_detections, secret_detections
-from veilscan.operators.lookups import lookup_join
+from veilscan.functions import fixed_values as fv, text
+from veilscan.functions.patterns import may_match_sql, spark_pattern, sql_text, text_array
+from veilscan.operators.detect import (
+    ScanConfig, candidate_lines, run_detections, secret_detections, suppression_flags,
+)
+from veilscan.operators.findings import with_fingerprint
+from veilscan.operators.govern import open_secret
+from veilscan.operators.lookups import keep_known, lookup_join
 
+# Equal contents under one path have the same matches, whatever commit they are from.
+FILE = ("repo_id", "path", "digest")
 
-def scrub_content(units: DataFrame, repos: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Units with every match of the secret rules replaced, in the repositories that
-    are to be scrubbed (repo_id). All rows of the history take part, and every line of
-    them; content stays in its task.
-    """
-    chosen = repos.select("repo_id").distinct().withColumn("_scrub", F.lit(True))
-    marked = lookup_join(units, chosen, ["repo_id"], "left")
-    rules = [r for r in config.secret_rules if config.active(r.rule_id)]
-    needed = " OR ".join(f"({may_match_sql('content', r, whole_text=True)})" for r in rules)
 
-    def clean(line):
-        out = line
-        for rule in rules:
-            out = F.regexp_replace(out, F.lit(spark_pattern(rule.pattern)), F.lit(fv.REMOVED_MARK))
-        return out
+def _with_digest(units: DataFrame) -> DataFrame:
+    return units.withColumn("digest", F.sha2("content", 256))
+
+
+def _open(findings: DataFrame) -> DataFrame:
+    return findings.filter(open_secret()).select("repo_id", "fingerprint").distinct()
+
+
+def _gaps(pattern: str) -> str:
+    """Every match on ``line`` with the number of characters since the match before it."""
+    p = sql_text(spark_pattern(pattern))
+    return (
+        f"filter(transform(arrays_zip(split(line, {p}, -1), regexp_extract_all(line, {p}, 0)), "
+        "z -> named_struct('gap', length(z.`0`), 'match', z.`1`)), z -> z.match IS NOT NULL)"
+    )
+
+
+def open_matches(units: DataFrame, findings: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Where the matches of open secrets stand: repo_id, path, digest (of the content), line_no,
+    first and after (characters of the line, from 1). ``config`` is that of the scan which found
+    them. Matches leave their task as numbers and fingerprints, and once per distinct content."""
+    detections = secret_detections(config)
+    found = ", ".join(
+        f"CASE WHEN {may_match_sql('line', d.rule)} THEN {_gaps(d.rule.pattern)} END" for d in detections
+    )
+    per_rule = (
+        candidate_lines(_with_digest(units), detections, FILE)
+        .withColumn("off", suppression_flags(config.require_reason))
+        .filter("NOT (off.all OR off.secret)")
+        .select(*FILE, "line_no", F.posexplode(F.expr(f"array({found})")).alias("rule", "found"))
+        .select(*FILE, "line_no", "rule", F.posexplode("found").alias("match_no", "c"))
+    )
+    accepted = F.lit(True)
+    for i, d in enumerate(detections):
+        if d.accept is not None:
+            accepted = F.when(F.col("rule") == i, d.accept(F.col("c"))).otherwise(accepted)
+    rule_id = F.element_at(text_array(d.rule_id for d in detections), F.col("rule") + 1)
+    # Rejected matches count as well until places are known.
+    matches = with_fingerprint(
+        per_rule.select(
+            *FILE, "line_no", "rule", "match_no", accepted.alias("accepted"), rule_id.alias("rule_id"),
+            (F.col("c.gap") + F.length("c.match")).alias("step"), F.length("c.match").alias("n"),
+            text.redact(F.col("c.match")).alias("redacted_match"),
+        )
+    ).drop("rule_id", "redacted_match").distinct()
+    so_far = Window.partitionBy(*FILE, "line_no", "rule").orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = matches.withColumn("after", F.sum("step").over(so_far) + 1).filter("accepted")
+    return keep_known(placed, _open(findings), ["repo_id", "fingerprint"]).select(
+        *FILE, "line_no", (F.col("after") - F.col("n")).alias("first"), "after"
+    )
+
 
-    cleaned = F.array_join(F.transform(F.split("content", "\n", -1), clean), "\n")
-    wanted = F.coalesce(F.col("_scrub"), F.lit(False)) & F.expr(needed)
-    return marked.withColumn(
-        "content", F.when(wanted, cleaned).otherwise(F.col("content"))
-    ).drop("_scrub")
+def _cuts(matches: DataFrame) -> DataFrame:
+    """By content: its lines with matches, each with the runs of characters to replace.
+    Overlapping matches are one run. The arrays are no longer than the content itself."""
+    before = Window.partitionBy(*FILE, "line_no").orderBy("first", "after")
+    reach = F.max("after").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("first") < F.col("reach"), 0).otherwise(1)
+    return (
+        matches.distinct().withColumn("reach", reach)
+        .withColumn("run", F.sum(begins).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*FILE, "line_no", "run").agg(F.min("first").alias("first"), F.max("after").alias("after"))
+        .groupBy(*FILE, "line_no").agg(F.array_sort(F.collect_list(F.struct("first", "after"))).alias("runs"))
+        .groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("line_no", "runs"))).alias("cuts"))
+    )
+
+
+_MARK = sql_text(fv.REMOVED_MARK)
+# One line without its runs, and the lines between two changed ones as they are.
+_CLEAN_LINE = (
+    "array_join(transform(sequence(0, size(c.runs)), j -> substring(lines[c.line_no - 1], "
+    "cast(if(j = 0, 1, c.runs[j - 1].after) as int), "
+    "cast(if(j = size(c.runs), length(lines[c.line_no - 1]) + 1, c.runs[j].first) "
+    f"- if(j = 0, 1, c.runs[j - 1].after) as int))), {_MARK})"
+)
+_CLEAN = (
+    "array_join(concat(flatten(transform(cuts, (c, i) -> concat("
+    "slice(lines, if(i = 0, 0, cuts[i - 1].line_no) + 1, c.line_no - if(i = 0, 0, cuts[i - 1].line_no) - 1), "
+    f"array({_CLEAN_LINE})))), "
+    "slice(lines, element_at(cuts, -1).line_no + 1, size(lines))), '\\n')"
+)
+
+
+def scrub_content(units: DataFrame, findings: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """The units with every match of an open secret of ``findings`` (rows of a finding store)
+    replaced, in every commit that holds it; all other text stays as it is.
+
+    Places are found in narrow rows; a content meets its own places by the hash of the content,
+    by broadcast as long as they are few. Rows without content, repository or path stay.
+    """
+    cuts = _cuts(open_matches(units, findings, config))
+    marked = lookup_join(_with_digest(units), cuts, list(FILE), "left")
+    lines = F.when(F.col("cuts").isNotNull(), F.split("content", "\n", -1))
+    cleaned = F.when(F.col("cuts").isNotNull(), F.expr(_CLEAN)).otherwise(F.col("content"))
+    return marked.withColumn("lines", lines).withColumn("content", cleaned).select(*units.columns)
 
 
 def remaining_secrets(scrubbed: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Re-scan after a scrub: secret findings left per repository."""
-    left = run_detections(scrubbed, secret_detections(config))
+    """Re-scan after a scrub: all secret findings left per repository."""
+    left = run_detections(scrubbed, secret_detections(config), config.require_reason)
     return left.groupBy("repo_id").agg(F.count("*").alias("remaining"))
+
+
+def remaining_open(scrubbed: DataFrame, findings: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Re-scan after a scrub: per repository with open secrets, how many of their matches are
+    left. A scrub is verified if all are 0."""
+    wanted = _open(findings)
+    left = with_fingerprint(run_detections(scrubbed, secret_detections(config), config.require_reason))
+    counts = keep_known(left, wanted, ["repo_id", "fingerprint"]).groupBy("repo_id").agg(F.count("*").alias("n"))
+    return wanted.select("repo_id").distinct().join(counts, "repo_id", "left").select(
+        "repo_id", F.coalesce("n", F.lit(0)).alias("remaining")
+    )

@@ -11,6 +11,9 @@ from veilscan.session import materialise
 from veilscan.sources.units import explode_lines, with_file_type
 
 LINE_KEY = ("repo_id", "path", "commit_id", "ts", "line_no", "off")
+# A membership filter has about SLOTS_PER_VALUE bytes per known value, within these bounds.
+SLOTS_PER_VALUE = 16
+FILTER_SLOTS = (1 << 12, 1 << 22)
 
 
 def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
@@ -26,6 +29,37 @@ RUNS = f"regexp_extract_all(line, {sql_text(fv.WORD_TOKEN + '|' + fv.NON_WORD_RU
 WORD_CHAR = r"[\p{L}\p{Nd}_]"
 
 
+class Membership:
+    """A filter of bounded size over the known pieces, to test before a piece leaves its task: it
+    holds one byte per slot, 1 where the hash of a known piece falls. Whatever it lets through by
+    chance (about one in ``SLOTS_PER_VALUE`` up to 2^18 pieces, more beyond) the join drops."""
+
+    def __init__(self, known: DataFrame) -> None:
+        least, most = FILTER_SLOTS
+        rows = known.count()
+        self.slots = min(most, max(least, 1 << (SLOTS_PER_VALUE * rows).bit_length()))
+        slot = F.expr(self._slot("piece"))
+        found = known.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+        )
+        held = bytearray(self.slots + 1 + (1 << 15))
+        for r in found.collect():  # at most 129 rows of 4 kB
+            # Bucket k has the slots from 32768 * (k - 1) + 1 on; slots are numbered from 1 here.
+            at = 32768 * (r["bucket"] - 1) + 1
+            held[at : at + (1 << 15)] = b"".join(_BITS_OF[b] for b in r["bits"])
+        self.column = F.lit(bytearray(held[1 : self.slots + 1]))
+
+    def _slot(self, piece: str) -> str:
+        return f"pmod(xxhash64({piece}), {self.slots}L) + 1"
+
+    def test(self, piece: str) -> str:
+        """For a row with this filter in the column ``members``."""
+        return f"substring(members, cast({self._slot(piece)} as int), 1) = X'01'"
+
+
+_BITS_OF = [bytes(b >> k & 1 for k in range(8)) for b in range(256)]
+
+
 def _core(value: Column) -> Column:
     """The part of a value from its first to its last word character, as it must
     appear in a line between word borders; a value without words is its own core."""
@@ -65,11 +99,13 @@ def _needs(parts: DataFrame) -> tuple[list[int], list[int], int, int]:
     return row["words"], row["symbols"], row["before"] or 0, row["after"] or 0
 
 
-def _pieces(word_counts: list[int], symbol_lengths: list[int], before: int, after: int) -> Column:
-    """The stretches of a line that could be a part of a known value, each with its place and the
-    few characters before and after it that decide whether the value stands there: runs of as
-    many words as some part has, with what lies between them; and, for values without words, the
-    stretches of their length between words. The line itself stays behind."""
+def _pieces(
+    members: Membership, word_counts: list[int], symbol_lengths: list[int], before: int, after: int
+) -> Column:
+    """The stretches of a line that could be a part of a known value and pass its filter, each with
+    its place and the few characters before and after it that decide whether the value stands
+    there: runs of as many words as some part has, with what lies between them; and, for values
+    without words, the stretches of their length between words. The line itself stays behind."""
     first = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
 
     def left(i: str) -> str:
@@ -83,19 +119,19 @@ def _pieces(word_counts: list[int], symbol_lengths: list[int], before: int, afte
         last = f"size(runs) - {2 * (k - 1)}"
         core = "get(runs, i - 1)" if k == 1 else f"array_join(slice(runs, i, {2 * k - 1}), '')"
         parts.append(
-            f"CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}, 2), i -> named_struct("
-            f"'piece', {core}, 'place', cast(i as bigint), 'left', {left('i')}, 'right', {right('i', 2 * k - 1)})) END"
+            f"CASE WHEN {last} >= {first} THEN transform(filter(sequence({first}, {last}, 2), i -> {members.test(core)}), "
+            f"i -> named_struct('piece', {core}, 'place', cast(i as bigint), 'left', {left('i')}, 'right', {right('i', 2 * k - 1)})) END"
         )
     for n in symbol_lengths:
         # A stretch between words, with the last character before and the first one after it.
         parts.append(
-            "flatten(transform(filter(sequence(1, size(runs)), j -> length(get(runs, j - 1)) >= "
+            f"filter(flatten(transform(filter(sequence(1, size(runs)), j -> length(get(runs, j - 1)) >= "
             f"{n} AND NOT get(runs, j - 1) rlike {sql_text('^' + WORD_CHAR)}), "
             f"j -> transform(sequence(1, length(get(runs, j - 1)) - {n - 1}), i -> named_struct("
             f"'piece', substr(get(runs, j - 1), i, {n}), 'place', -(j * 2147483647L + i), "
             "'left', right(if(i > 1, substr(get(runs, j - 1), i - 1, 1), coalesce(get(runs, j - 2), '')), 1), "
             f"'right', left(if(i + {n} <= length(get(runs, j - 1)), substr(get(runs, j - 1), i + {n}, 1), "
-            "coalesce(get(runs, j), '')), 1)))))"
+            f"coalesce(get(runs, j), '')), 1))))), p -> {members.test('p.piece')})"
         )
     empty = "cast(array() as array<struct<piece:string,place:bigint,left:string,right:string>>)"
     filled = [f"coalesce({p}, {empty})" for p in parts]
@@ -119,20 +155,15 @@ def stands_whole(value: Column, piece: Column, left: Column, right: Column) -> C
 def detect_values(units: DataFrame, values: DataFrame, require_reason: bool = False) -> DataFrame:
     """Whole-word occurrences of (attribute, value): one finding per value and line.
 
-    A line lists its runs of 1, 2, 4, … words, up to the longest part of a value, and meets the
-    parts in an equi-join on the whole run. No line is paired with values it does not hold, even
+    A line lists its runs of 1, 2, 4, … words, up to the longest part of a value; those that pass
+    a filter of the parts (see ``Membership``) meet the parts in an equi-join on the whole run. No line is paired with values it does not hold, even
     where many values share a word, and no run carries its line: the work is linear in the text
     and grows with the logarithm of the longest value. ``values`` may carry the severity and
     category of its attribute.
     """
     known = _with_rule_columns(values).filter(F.col("value") != "").distinct()
     parts = materialise(_parts(known.withColumn("core", _core(F.col("value")))), "values")
-    pieces = (
-        value_lines(units, require_reason)
-        .withColumn("runs", F.expr(RUNS))
-        .select(*LINE_KEY, F.explode(_pieces(*_needs(parts))).alias("p"))
-        .select(*LINE_KEY, "p.*")
-    )
+    pieces = _line_pieces(units, parts, require_reason)
     # Heads and tails of a value belong together if the tail stands as far back as it should.
     here = _meet(pieces, parts).groupBy(
         *LINE_KEY, "attribute", "value", "severity", "category", "core", (F.col("place") - F.col("back")).alias("place")
@@ -145,6 +176,16 @@ def detect_values(units: DataFrame, values: DataFrame, require_reason: bool = Fa
     return _as_findings(met.drop("left", "right", "place").distinct(), F.col("value"))
 
 
+def _line_pieces(units: DataFrame, parts: DataFrame, require_reason: bool) -> DataFrame:
+    members = Membership(parts)
+    return (
+        value_lines(units, require_reason)
+        .withColumns({"runs": F.expr(RUNS), "members": members.column})
+        .select(*LINE_KEY, F.explode(_pieces(members, *_needs(parts))).alias("p"))
+        .select(*LINE_KEY, "p.*")
+    )
+
+
 def _meet(pieces: DataFrame, known: DataFrame) -> DataFrame:
     """Join on ``piece``. ``known`` is a stored table, so Spark knows its size in bytes: below the
     session's threshold it is broadcast, beyond the narrow pieces meet it in a shuffle join whose
@@ -163,17 +204,22 @@ def detect_hashed_values(
     holds (attribute, value_hash) and optionally severity and category."""
     known = _with_rule_columns(hashes.withColumnRenamed("value_hash", "piece")).distinct()
     known = materialise(known, "hashes")
-    tokens = (
+    return _as_findings(_meet(_hashed_tokens(units, known, pepper, min_length, require_reason), known), None)
+
+
+def _hashed_tokens(
+    units: DataFrame, known: DataFrame, pepper: str, min_length: int, require_reason: bool
+) -> DataFrame:
+    """The tokens whose hash passes the filter of the known ones, by hash and redacted text."""
+    members = Membership(known)
+    return (
         value_lines(units, require_reason)
         .select(*LINE_KEY, F.explode(text.tokens(F.col("line"))).alias("token"))
         .filter(F.length("token") >= min_length)
+        .withColumns({"piece": text.value_hash(F.col("token"), pepper), "members": members.column})
+        .filter(members.test("piece"))
+        .select(*LINE_KEY, "piece", text.redact(F.col("token")).alias("redacted"))
     )
-    hashed = tokens.select(
-        *LINE_KEY,
-        text.value_hash(F.col("token"), pepper).alias("piece"),
-        text.redact(F.col("token")).alias("redacted"),
-    )
-    return _as_findings(_meet(hashed, known), None)
 
 
 def _with_rule_columns(values: DataFrame) -> DataFrame:
