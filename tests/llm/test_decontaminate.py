@@ -2,7 +2,8 @@
 
 import random
 
-from veilscan.llm.decontaminate import decontaminate
+from veilscan.llm import decontaminate as module
+from veilscan.llm.decontaminate import decontaminate, find_overlaps
 
 
 def test_blocks_do_not_change_the_result(spark):
@@ -41,3 +42,27 @@ def test_columns_under_the_names_of_the_operator(spark):
         found = sorted(decontaminate(docs, items, block_bytes=size).collect())
         assert [(r.doc_id, r["__clean"], r["__copy"], r.kept) for r in found] == [(1, "c", "k", "y"), (2, None, "k", None)]
         assert found[0].text.split() == ["own"] * 30 and found[1].text is None
+
+
+def test_copies_of_one_item_are_one_text_in_blocks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(module, "IDS_PER_SHARE", 50)
+    leak, other = " ".join(f"w{k}" for k in range(12)), " ".join(f"v{k}" for k in range(12))
+    items = spark.createDataFrame(
+        [(i, leak) for i in range(1000)] + [(5, leak), (None, leak), (2000, other), (2001, "short one"), (2002, ""), (2003, None)],
+        "item_id long, text string",
+    )
+    docs = spark.createDataFrame([(1, f"a {leak} b"), (2, other), (3, "a short one"), (4, None)], "doc_id long, text string")
+    held = []
+    of = module.Automaton.of.__func__
+    monkeypatch.setattr(module.Automaton, "of", classmethod(lambda cls, rows, window: held.append(
+        sum(8 * len(ids) + len(text) for ids, text in rows)) or of(cls, rows, window)))
+    want = None
+    for size in (1 << 20, 2000):
+        held.clear()
+        found = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in find_overlaps(docs, items, block_bytes=size).collect()}
+        assert want in (None, found)
+        want = found
+        assert len(held) > 1 if size == 2000 else len(held) == 1
+        assert max(held) <= max(size, 2000)
+    assert want[1] == (14, [(1, 13)], list(range(1000))) and want[2] == (12, [(0, 12)], [2000])
+    assert want[3] == (3, [(1, 3)], [2001]) and want[4] == (0, [], [])

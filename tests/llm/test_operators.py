@@ -228,7 +228,7 @@ def test_decontamination_random(spark):
     rng = random.Random(2)
     items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 16)))) for k in range(25)]
     rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(40)))) for k in range(120)]
-    automaton = decontaminate.Automaton.of(items, 6)
+    automaton = decontaminate.Automaton.of([([] if i is None else [i], text) for i, text in items], 6)
     for _, t in rows:
         n, hit, found = hits(t, items, 6)
         spans, got = automaton.spans(decontaminate.words_of(t))

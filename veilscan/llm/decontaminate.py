@@ -6,9 +6,11 @@ ending there that occurs in some item. Where that run reaches a window (10 words
 shorter item), the words of the window are hit and the items that hold it are known from the
 state. Time is linear in the words of the documents, whatever the number of items.
 
-The automaton is broadcast. Its size is bounded: items are summed first and, beyond
-``block_bytes`` of text, dealt into blocks of about that size, each with its own automaton and
-pass; hits of several blocks are united per document, and texts are cut by all of them at once.
+The automaton is broadcast. Its size is bounded: equal items are one text with several ids, and
+beyond ``block_bytes`` the texts are dealt into blocks of about that size (an id counts as eight
+bytes, and a text with very many ids takes several shares). Each block has its own automaton and
+pass, whose hits are written before the next block is read, so one automaton lives at a time; hits
+of several blocks are united per document, and texts are cut by all of them at once.
 
 Words are the matches of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 Defined cases: null or empty texts have no words and are never hit; items without words are
@@ -21,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from veilscan.llm.inputs import id_and_text
@@ -33,6 +36,9 @@ from veilscan.session import materialise
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+# Shares per block when texts are dealt, and ids of one text in a share (about).
+SHARES = 4
+IDS_PER_SHARE = 1 << 12
 
 _KEPT = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -56,14 +62,15 @@ class Automaton:
     # By state: the state that holds its last `window` words, or -1.
     at_window: list[int] = field(default_factory=list)
     items: dict[int, set[int]] = field(default_factory=dict)
-    # By state: (words, item) of whole shorter items that are suffixes of the state.
-    short: dict[int, list[tuple[int, int | None]]] = field(default_factory=dict)
+    # By state: (words, items) of whole shorter items that are suffixes of the state.
+    short: dict[int, list[tuple[int, tuple[int, ...]]]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, items: list[tuple[int | None, str | None]], window: int) -> Automaton:
+    def of(cls, items: list[tuple[list[int], str | None]], window: int) -> Automaton:
+        """``items`` are texts with their ids, which may be none."""
         self = cls(window)
         numbered = [
-            (item, [self.words.setdefault(w, len(self.words)) for w in words_of(text)]) for item, text in items
+            (ids, [self.words.setdefault(w, len(self.words)) for w in words_of(text)]) for ids, text in items
         ]
         for _, numbers in numbered:
             last = 0
@@ -75,17 +82,15 @@ class Automaton:
             up = self.link[s]
             if self.length[s] >= window:
                 self.at_window[s] = s if self.length[up] < window else self.at_window[up]
-        ends: dict[int, set[tuple[int, int | None]]] = {}
-        for item, numbers in numbered:
+        ends: dict[int, set[tuple[int, tuple[int, ...]]]] = {}
+        for ids, numbers in numbered:
             state = 0
             for k, n in enumerate(numbers, 1):
                 state = self.moves[state][n]
                 if k >= window:
-                    held = self.items.setdefault(self.at_window[state], set())
-                    if item is not None:
-                        held.add(item)
+                    self.items.setdefault(self.at_window[state], set()).update(ids)
             if 0 < len(numbers) < window:
-                ends.setdefault(state, set()).add((len(numbers), item))
+                ends.setdefault(state, set()).add((len(numbers), tuple(ids)))
         if ends:
             for s in by_length[1:]:
                 own = [*self.short.get(self.link[s], []), *ends.get(s, ())]
@@ -149,11 +154,10 @@ class Automaton:
                 reach = window
                 found |= self.items[at_window[state]]
             if short and state in short:
-                for size, item in short[state]:
+                for size, ids in short[state]:
                     if size <= matched:
                         reach = max(reach, size)
-                        if item is not None:
-                            found.add(item)
+                        found.update(ids)
             if reach:
                 start = k + 1 - reach
                 while spans and spans[-1][1] >= start:
@@ -162,15 +166,51 @@ class Automaton:
         return spans, found
 
 
-def _automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[object]:
-    """Broadcast automata, one per block of items."""
-    items = id_and_text(benchmark, item_col, text_col)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        automaton = Automaton.of([(r.doc_id, r.text) for r in mine], window)
-        yield benchmark.sparkSession.sparkContext.broadcast(automaton)
+class Blocks:
+    """The texts of the items with their ids, in blocks of bounded size."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> None:
+        self.spark, self.window = benchmark.sparkSession, window
+        pairs = id_and_text(benchmark, item_col, text_col).filter("text <> ''").distinct()
+        shares = pairs.groupBy("text").agg(F.ceil(F.count("*") / IDS_PER_SHARE).alias("shares"))
+        texts = (
+            pairs.join(shares, "text").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")))
+            .groupBy("text", "share").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+            .withColumn("weight", F.octet_length("text") + 8 * F.size("ids"))
+        )
+        texts = materialise(texts, "leak-items")
+        total = texts.agg(F.sum("weight")).first()[0] or 0
+        parts = SHARES * -(-total // block_bytes) if total > block_bytes else 1
+        part = F.pmod(F.xxhash64("text", "share"), F.lit(parts))
+        self.texts = texts.withColumn("part", part)
+        # Neighbouring parts go together as long as they fit; one row per quarter of a block.
+        self.bounds: list[list[int]] = []
+        held = 0
+        for r in self.texts.groupBy("part").agg(F.sum("weight").alias("weight")).orderBy("part").collect():
+            if not self.bounds or held + r.weight > block_bytes:
+                self.bounds.append([r.part, r.part])
+                held = 0
+            self.bounds[-1][1] = r.part
+            held += r.weight
+        self.bounds = self.bounds or [[0, 0]]
+
+    def __len__(self) -> int:
+        return len(self.bounds)
+
+    def automaton(self, block: int) -> Broadcast:
+        first, last = self.bounds[block]
+        mine = self.texts.filter(F.col("part").between(first, last)).select("ids", "text").collect()
+        return self.spark.sparkContext.broadcast(Automaton.of([(r.ids, r.text) for r in mine], self.window))
+
+    def united(self, scan: Callable[[Broadcast], DataFrame]) -> DataFrame:
+        """What ``scan`` finds with each block, one after the other."""
+        found = None
+        for block in range(len(self)):
+            automaton = self.automaton(block)
+            one = materialise(scan(automaton), "leak-spans")
+            automaton.destroy()
+            found = one if found is None else found.unionByName(one)
+        return found
 
 
 _HITS = "doc_id long, copy string, n_words long, spans array<struct<first:long,after:long>>, items array<long>"
@@ -206,12 +246,10 @@ def find_overlaps(
     """One row per document: doc_id, n_words, spans (maximal runs of hit words) and items (ids
     of the items whose windows occur, sorted)."""
     rows = id_and_text(docs, id_col, text_col)
-    passes = [_scan(rows, a) for a in _automata(benchmark, item_col, item_text_col, window, block_bytes)]
-    if len(passes) == 1:
-        return passes[0].drop("copy")
-    hits = passes[0].filter("size(spans) > 0")
-    for other in passes[1:]:
-        hits = hits.unionByName(other.filter("size(spans) > 0"))
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if len(blocks) == 1:
+        return _scan(rows, blocks.automaton(0)).drop("copy")
+    hits = blocks.united(lambda automaton: _scan(rows, automaton).filter("size(spans) > 0"))
     united = (
         hits.groupBy("doc_id", "copy")
         .agg(F.collect_set("spans").alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -258,9 +296,9 @@ def decontaminate(
     ``max_span_words`` are cut out, until none is left; documents of which more than
     ``max_coverage`` of the words are hit go altogether. Texts without hits stay as they are;
     an integer or long column ``n_chars`` follows the text."""
-    blocks = list(_automata(benchmark, item_col, item_text_col, window, block_bytes))
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_bytes)
     if len(blocks) == 1:
-        return _clean(docs, blocks[0], text_col, max_span_words, max_coverage)
+        return _clean(docs, blocks.automaton(0), text_col, max_span_words, max_coverage)
     return _clean_by_blocks(docs, blocks, text_col, max_span_words, max_coverage)
 
 
@@ -299,28 +337,27 @@ def _changed(marked: DataFrame, docs: DataFrame, text_col: str, clean: str) -> D
     return kept.select(*[col.alias(c) for c, col in changes.items()])
 
 
-def _clean_by_blocks(docs: DataFrame, blocks: list, text_col: str, max_span_words: int, max_coverage: float) -> DataFrame:
+def _clean_by_blocks(docs: DataFrame, blocks: Blocks, text_col: str, max_span_words: int, max_coverage: float) -> DataFrame:
     """The spans of all blocks are taken on one text and united; coverage is judged once, on the
     input. Texts with hits are cut and tried again on all blocks until none finds a hit."""
 
-    @F.udf("kept boolean, text string")
-    def cut(text, spans, judged):
-        runs = [(x["first"], x["after"]) for x in spans or ()]
-        if judged and sum(e - s for s, e in runs) > max_coverage * len(words_of(text)):
-            return False, text
-        long = [x for x in runs if x[1] - x[0] > max_span_words]
-        return True, cut_spans(text, long) if long else text
+    @F.arrow_udf("kept boolean, text string")
+    def cut(texts: pa.Array, spans: pa.Array, judged: pa.Array) -> pa.Array:
+        kept, changed = [], []
+        for text, found, judge in zip(texts, spans, judged):
+            text, runs = text.as_py(), [(x["first"], x["after"]) for x in found.as_py() or ()]
+            go = judge.as_py() and sum(e - s for s, e in runs) > max_coverage * len(words_of(text))
+            long = [] if go else [x for x in runs if x[1] - x[0] > max_span_words]
+            kept.append(not go)
+            changed.append(cut_spans(text, long) if long else text)
+        return _kept(kept, changed)
 
     def hit(texts: DataFrame) -> DataFrame:
         """copy and the united spans of the texts in which a block finds any."""
-        found = None
-        for automaton in blocks:
-            one = materialise(
-                _scan(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), automaton)
-                .filter("size(spans) > 0").select("copy", "spans").distinct(),
-                "leak-spans",
-            )
-            found = one if found is None else found.unionByName(one)
+        only = texts.select(F.lit(None).cast("long").alias("doc_id"), "text")
+        found = blocks.united(
+            lambda automaton: _scan(only, automaton).filter("size(spans) > 0").select("copy", "spans").distinct()
+        )
         return found.groupBy("copy").agg(F.collect_set("spans").alias("all_spans")).select("copy", F.expr(_UNITED).alias("spans"))
 
     digest = F.sha2(F.col("text").cast("binary"), 256)
@@ -358,6 +395,10 @@ def _fixer(fixed):
             stays, new = fixed(text.as_py())
             kept.append(stays)
             changed.append(new)
-        return pa.StructArray.from_arrays([pa.array(kept, pa.bool_()), pa.array(changed, pa.string())], ["kept", "text"])
+        return _kept(kept, changed)
 
     return clean
+
+
+def _kept(kept: list[bool], texts: list[str | None]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(kept, pa.bool_()), pa.array(texts, pa.string())], ["kept", "text"])
