@@ -20,7 +20,8 @@ them ever become rows:
    ``PAIR_BYTES`` of them do not stay in one task: they become rows of their own and Spark sorts their pairs.
 
 Ranks are 64-bit hashes rather than places in the sorted order, which saves a second shuffle per
-round; positions are only ever taken as equal if a pair of them is. Rows that a task can already
+round; positions are only ever taken as equal if a pair of them is (in the first round the pair is
+the anchor and the whole stretch, so bytes outside the anchor stand on one 64-bit hash). Rows that a task can already
 decide (a smaller document in its own batch has the same pair) are decided there, so a passage
 that a third of all documents share reaches the sort as a few rows per task.
 
