@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veilscan.llm import similar, simhash
 
@@ -78,6 +79,8 @@ def test_no_near_copy_is_missed(spark):
 def test_buckets_cut_into_pieces(spark, monkeypatch, rounds):
     monkeypatch.setattr(similar, "ROWS_PER_PIECE", 4)
     monkeypatch.setattr(similar, "SHINGLES_PER_PIECE", 500)
+    monkeypatch.setattr(similar, "HOMES_PER_PIECE", 3)
+    monkeypatch.setattr(similar, "VISITORS", 2)
     rng = random.Random(3)
     bases = [w.split() for _, w in near_copies(rng)[96:160:8]]
     texts = [(i, " ".join(changed(rng, rng.choice(bases), rng.randrange(3)))) for i in range(120)]
@@ -114,3 +117,19 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     kept = simhash.keep_one_per_group(docs, similar.similar_groups(docs)).collect()
     want = [(i, " ".join(w)) for i, w in (rows[0], rows[1], rows[4], rows[5], rows[6], rows[7], rows[8])]
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def test_sets_without_a_possible_partner_of_another_component_send_no_shingles(spark):
+    """One bucket: two sets that may be similar, one of their component, one far larger, one far off."""
+    rng = random.Random(7)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(100)]
+    texts = [base, [*base, "x"], [*base, "y"], base * 4 + [f"z{k}" for k in range(400)], base[:20] + [f"q{k}" for k in range(80)]]
+    sets = [similar.shingle_set(" ".join(t)) for t in texts]
+    odd = [similar._parity(s).tolist() for s in sets]
+    live = spark.createDataFrame([(1, k, min(k, 1) * k) for k in range(5)] + [(2, 0, 0), (2, 4, 4)], "token long, node long, label long")
+    live = live.withColumn("label", F.when(F.col("node") == 1, 0).otherwise(F.col("label")).cast("long"))
+    sizes = spark.createDataFrame([(k, len(s), *o) for k, (s, o) in enumerate(zip(sets, odd))], "node long, n int, " + ", ".join(f"{p} long" for p in similar._ODD))
+    got = similar._still_open(live, sizes, 0.8).collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (1, 1), (1, 2)]
+    alone = live.withColumn("label", F.lit(0).cast("long"))
+    assert similar._still_open(alone, sizes, 0.8).isEmpty()
