@@ -13,7 +13,7 @@ from veilscan.operators.lookups import keep_known
 from veilscan.operators.scrub import remaining_open, remaining_secrets, scrub_content
 from veilscan.plans.scan import ScanInputs, raw_findings, scan
 from veilscan.session import materialise, work_dir
-from veilscan.sources import corpora, store as st
+from veilscan.sources import corpora, decisions as dl, store as st
 
 q = sql.with_query
 
@@ -433,6 +433,22 @@ def triage_audit(spark, sf_dir):
     return plain(govern.triage_audit(accepted, F.timestamp_seconds(F.lit(common.NOW))))
 
 
+@query("triage_merge_on_read", q(
+    f"{common.STORE}, {_DECISIONS}, {common.REPOSITORIES}, done AS (SELECT s.* REPLACE (CASE WHEN j.id IS NOT NULL THEN j.status ELSE s.triage_status END AS triage_status, "
+    "CASE WHEN j.id IS NOT NULL THEN j.reason END AS triage_reason) FROM store s LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.id = s.id)",
+    "SELECT id, repo_id, triage_status, triage_reason, CASE WHEN category = 'SECRET' AND triage_status = 'OPEN' AND repo_id IN "
+    "(SELECT name FROM repos WHERE remediation_enabled) THEN 'SCRUBBED' ELSE remediation_status END AS remediation_status FROM done",
+))
+def triage_merge_on_read(spark, sf_dir):
+    """A store with a log of two batches, triage and the marks of a scrub, merged when it is read."""
+    stored, path = materialise(common.store(spark, sf_dir), "store"), work_dir(spark, "decisions")
+    dl.append(dl.triage_rows(stored, _decisions(stored)), path, 0)
+    done = corpora.repositories(spark, sf_dir).filter("remediation_enabled").select(F.col("name").alias("repo_id"))
+    dl.append(dl.scrub_rows(stored, dl.read_log(spark, path), done, 2), path, 1)
+    now = dl.current(stored, dl.read_log(spark, path))
+    return now.select("id", "repo_id", "triage_status", "triage_reason", "remediation_status")
+
+
 @query("recent_audit", q(
     f"{common.STORE}, {_DECISIONS}",
     "SELECT target, detail, \"at\" FROM (SELECT s.id AS target, 'status=' || j.status || CASE WHEN reason IS NULL THEN '' ELSE ', reason set' END AS detail, s.last_seen AS \"at\" "

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from catalog import common, sql
 from catalog.registry import plain, query
 from veilscan.functions import fixed_values as fv, text
-from veilscan.operators import govern, metrics as mo, query as qo
-from veilscan.session import materialise
-from veilscan.sources import corpora, reports as rp
+from veilscan.operators import govern, metrics as mo, query as qo, sketches
+from veilscan.operators.lookups import lookup_join
+from veilscan.session import materialise, work_dir
+from veilscan.sources import corpora, reports as rp, store as st
 
 q = sql.with_query
 
@@ -272,6 +273,28 @@ def detector_health(spark, sf_dir):
     return health.withColumn("error_rate", F.round("error_rate", 9))
 
 
+@query("stored_duration_sketches", q(
+    common.SCAN_RECORDS, "SELECT repo_id, count(*) AS runs, true AS p50_fits, true AS p95_fits, true AS distinct_fits FROM records GROUP BY repo_id",
+))
+def stored_duration_sketches(spark, sf_dir):
+    """Two increments stored as daily sketches and merged; the merged figures are held against the
+    exact ranks and counts, as far as their stated errors allow."""
+    records, path = corpora.scan_records(spark, sf_dir), work_dir(spark, "sketches")
+    for batch in (0, 1):
+        st.write_batch(sketches.daily_sketches(records.filter(F.col("id") % 2 == batch), "repo_id", "started_at", of="id"), path, batch)
+    stored = spark.read.parquet(path)
+    about = lookup_join(sketches.quantiles(stored, "repo_id"), sketches.distinct_values(stored, "repo_id"), ["repo_id"], "inner")
+    n = F.count("duration_s")
+
+    def fits(value, share):
+        return (F.abs(F.count_if(F.col("duration_s") <= F.col(value)) / n - share) <= sketches.RANK_ERROR + F.count_if(F.col("duration_s") == F.col(value)) / n).alias(f"{value}_fits")
+
+    ids = F.count_distinct("id")
+    return lookup_join(records, about, ["repo_id"], "inner").groupBy("repo_id", "runs").agg(
+        fits("p50", 0.5), fits("p95", 0.95), (F.abs(F.any_value("distinct_values") - ids) <= 0.04 * ids).alias("distinct_fits"),
+    )
+
+
 @query("active_detectors", q(common.DETECTOR_RUNS, "SELECT count(DISTINCT detector_id) AS detectors FROM runs"))
 def active_detectors(spark, sf_dir):
     return mo.active_detectors(corpora.detector_runs(spark, sf_dir))
