@@ -133,3 +133,21 @@ def test_sets_without_a_possible_partner_of_another_component_send_no_shingles(s
     assert sorted(map(tuple, got)) == [(1, 0), (1, 1), (1, 2)]
     alone = live.withColumn("label", F.lit(0).cast("long"))
     assert similar._still_open(alone, sizes, 0.8).isEmpty()
+
+
+def test_more_parity_bits_rule_out_large_sets(spark):
+    """2,000 words of which two texts share three quarters: 512 bits say nothing, 8,192 do."""
+    rng = random.Random(8)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(2000)]
+    texts = [base, base[:1700] + [f"q{rng.getrandbits(40)}" for _ in range(300)], [*base, "x"]]
+    sets = [similar.shingle_set(" ".join(t)) for t in texts]
+    stored = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, shingles binary")
+    sizes = spark.createDataFrame(
+        [(k, len(x), *similar._parity(x).tolist()) for k, x in enumerate(sets)], "node long, n int, " + ", ".join(f"{p} long" for p in similar._ODD)
+    )
+    far = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "token long, node long, label long")
+    assert similar._still_open(far, sizes, 0.8).count() == 2
+    wide = similar._wide_sizes(stored)
+    assert similar._still_open(far, wide, 0.8).isEmpty()
+    near = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 2)], "token long, node long, label long")
+    assert sorted(map(tuple, similar._still_open(near, wide, 0.8).collect())) == [(1, 0), (1, 2)]
