@@ -36,9 +36,19 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/veilscan/{own}"
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def is_folder(spark: SparkSession, name: str) -> bool:
+    files, path = _file_system(spark, name)
+    return files.getFileStatus(path).isDirectory()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
 
 
 def remove_work(spark: SparkSession) -> None:

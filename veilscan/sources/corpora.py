@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from veilscan.session import is_folder
 
 EPOCH_2024 = 1704067200
 
@@ -64,9 +65,13 @@ def _document_path() -> Column:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a file stream, be it one file or a folder of files. A stream reads folders; one
+    file is picked out of its folder by name."""
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def document_units(spark: SparkSession, sf_dir: str, path: Column | None = None) -> DataFrame:
