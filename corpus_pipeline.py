@@ -26,8 +26,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that share 80 % of their five-word shingles; the smallest id of a group stays."""
-    return simhash.keep_one_per_group(docs, similar.similar_groups(docs))
+    """By SimHash, as ``op3`` links them; of what is left, texts that share 80 % of their five-word
+    shingles, which four differing bits may miss. The smallest id of a group stays."""
+    apart = materialise(simhash.keep_one_per_group(docs, simhash.near_groups(docs)), "pipeline-simhash")
+    return simhash.keep_one_per_group(apart, similar.similar_groups(apart))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,10 @@ def test_copies_of_one_item_are_one_text_in_blocks_of_bounded_size(spark, monkey
         assert max(held) <= max(size, 2000)
     assert want[1] == (14, [(1, 13)], list(range(1000))) and want[2] == (12, [(0, 12)], [2000])
     assert want[3] == (3, [(1, 3)], [2001]) and want[4] == (0, [], [])
+
+
+def test_each_text_is_searched_once(spark):
+    docs = spark.createDataFrame([(1, "own words " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(12)))], "item_id long, text string")
+    plan = decontaminate(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilscan.llm import similar, simhash
 
 
@@ -151,3 +152,27 @@ def test_more_parity_bits_rule_out_large_sets(spark):
     assert similar._still_open(far, wide, 0.8).isEmpty()
     near = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 2)], "token long, node long, label long")
     assert sorted(map(tuple, similar._still_open(near, wide, 0.8).collect())) == [(1, 0), (1, 2)]
+
+
+def test_the_pipeline_drops_what_either_method_finds(spark):
+    """A pair within four bits of SimHash whose similarity is below 0.8, one of 0.8 that differs in
+    more bits, and a text alone."""
+    rng, fp = random.Random(3), simhash.fingerprint
+
+    def pair(times, linked):
+        while True:
+            one = [f"t{rng.getrandbits(40)}" for _ in range(200)]
+            for _ in range(300):
+                other = changed(rng, one, times)
+                apart = (fp(" ".join(one)) ^ fp(" ".join(other))).bit_count()
+                if (apart <= simhash.MAX_BITS) == linked:
+                    return " ".join(one), " ".join(other)
+
+    a, b = pair(7, True)
+    c, d = pair(3, False)
+    mine = [set(similar.shingle_set(t).tolist()) for t in (a, b, c, d)]
+    assert 5 * len(mine[0] & mine[1]) < 4 * len(mine[0] | mine[1])
+    assert 5 * len(mine[2] & mine[3]) >= 4 * len(mine[2] | mine[3])
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, " ".join(f"u{k}" for k in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 5]

@@ -397,7 +397,8 @@ def _fixer(fixed):
             changed.append(new)
         return _kept(kept, changed)
 
-    return clean
+    # Otherwise the filter on ``kept`` gets a call of its own and each text is searched twice.
+    return clean.asNondeterministic()
 
 
 def _kept(kept: list[bool], texts: list[str | None]) -> pa.Array:

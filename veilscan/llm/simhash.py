@@ -66,14 +66,15 @@ def fingerprint(text: str, words: int = WORDS_PER_SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, copy (SHA-256 of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, words) for t in batch["text"]), dtype=np.uint64, count=len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "copy": batch["copy"], "fp": fps.view(np.int64)})
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+    texts = id_and_text(docs, id_col, text_col).withColumn("copy", F.sha2(F.col("text").cast("binary"), 256))
+    return texts.mapInPandas(run, "doc_id long, copy string, fp long")
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -218,6 +219,17 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest
     id reachable over links). Components need not be cliques."""
+    return near_groups(docs, id_col, text_col, words, max_bits).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    words: int = WORDS_PER_SHINGLE, max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """The same with what tells rows of one id apart: doc_id, copy (SHA-256 of the text), fp, label
+    (of the component) and component_id."""
     prints = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = materialise(component_labels(fingerprint_links(distinct, max_bits)), "labels")
@@ -225,10 +237,8 @@ def near_duplicates(
         "label", F.coalesce("label", "fp")
     )
     names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(names, "label").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    classes = labelled.join(names, "label").select("fp", "label", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "copy", "fp", "label", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
