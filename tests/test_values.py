@@ -113,3 +113,19 @@ def test_no_known_values(spark, make_units):
     units = make_units(("A.java", "one two"))
     assert detect_values(units, spark.createDataFrame([], "attribute string, value string")).count() == 0
     assert detect_hashed_values(units, spark.createDataFrame([], "attribute string, value_hash string")).count() == 0
+
+
+def test_long_stretches_are_tested_only_where_their_first_words_are_known(spark, make_units):
+    """Of a text that shares no two words with a passage nothing is put together; passages and marks
+    are found at the beginning, in the middle and at the end of lines."""
+    from veilscan.operators import values as v
+
+    passage = " ".join(f"p{k}" for k in range(21))
+    texts = [passage, f"x {passage}, y", f"say: {passage}", f"x{passage} no", f"{passage}x", "what???", "???", "a???b", "p0 p2 p4", ""]
+    units = make_units(*[(f"f{i}.java", t) for i, t in enumerate(texts)])
+    values = spark.createDataFrame([("long", passage), ("marks", "???")], "attribute string, value string")
+    got = sorted((r.path, r.rule_id) for r in v.detect_values(units, values).collect())
+    assert got == [("f0.java", "long"), ("f1.java", "long"), ("f2.java", "long"), ("f6.java", "marks")]
+    known = values.selectExpr("attribute", "value", "value AS core", "'HIGH' AS severity", "'PII' AS category")
+    starts = {r.piece for r in v._filtered(v._parts(known)).collect()}
+    assert {"p0 p1", "p5 p6", "???"} <= starts

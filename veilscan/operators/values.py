@@ -14,6 +14,8 @@ LINE_KEY = ("repo_id", "path", "commit_id", "ts", "line_no", "off")
 # A membership filter has about SLOTS_PER_VALUE bytes per known value, within these bounds.
 SLOTS_PER_VALUE = 16
 FILTER_SLOTS = (1 << 12, 1 << 22)
+# Stretches of more words are looked at only where their first words are those of a known part.
+START_WORDS = 2
 
 
 def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
@@ -87,6 +89,15 @@ def _parts(known: DataFrame) -> DataFrame:
     return whole.unionByName(head).unionByName(tail)
 
 
+def _filtered(parts: DataFrame) -> DataFrame:
+    """What lines test their stretches against: the parts and, of the longer ones, the beginning,
+    so that a long stretch is put together only where its first two words are known."""
+    runs = F.regexp_extract_all(F.col("piece"), F.lit(f"{fv.WORD_TOKEN}|{fv.NON_WORD_RUN}"), F.lit(0))
+    long = parts.filter(F.col("size") > START_WORDS)
+    starts = long.select(F.array_join(F.slice(runs, 1, 2 * START_WORDS - 1), "").alias("piece"))
+    return parts.select("piece").unionByName(starts)
+
+
 def _needs(parts: DataFrame) -> tuple[list[int], list[int], int, int]:
     """Which powers of two of words occur, the lengths of values without words, and how many
     characters values have before and after their cores."""
@@ -99,6 +110,19 @@ def _needs(parts: DataFrame) -> tuple[list[int], list[int], int, int]:
     return row["words"], row["symbols"], row["before"] or 0, row["after"] or 0
 
 
+# Words and what lies between them take turns in ``runs``: the first of either.
+_FIRST = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
+_GAP = f"(3 - {_FIRST})"
+
+
+def _starts(members: Membership) -> Column:
+    """Where in ``runs`` the first words of a longer part may stand."""
+    last = f"size(runs) - {2 * (START_WORDS - 1)}"
+    two = "concat(get(runs, i - 1), get(runs, i), get(runs, i + 1))"
+    found = f"filter(sequence({_FIRST}, {last}, 2), i -> {members.test(two)})"
+    return F.expr(f"CASE WHEN {last} >= {_FIRST} THEN {found} ELSE cast(array() as array<int>) END")
+
+
 def _pieces(
     members: Membership, word_counts: list[int], symbol_lengths: list[int], before: int, after: int
 ) -> Column:
@@ -106,7 +130,7 @@ def _pieces(
     its place and the few characters before and after it that decide whether the value stands
     there: runs of as many words as some part has, with what lies between them; and, for values
     without words, the stretches of their length between words. The line itself stays behind."""
-    first = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
+    first = _FIRST
 
     def left(i: str) -> str:
         return f"right(concat(coalesce(get(runs, {i} - 3), ''), coalesce(get(runs, {i} - 2), '')), {before + 1})"
@@ -118,20 +142,22 @@ def _pieces(
     for k in word_counts:
         last = f"size(runs) - {2 * (k - 1)}"
         core = "get(runs, i - 1)" if k == 1 else f"array_join(slice(runs, i, {2 * k - 1}), '')"
+        begin = f"filter(starts, i -> i <= {last})" if k > START_WORDS else f"sequence({first}, {last}, 2)"
         parts.append(
-            f"CASE WHEN {last} >= {first} THEN transform(filter(sequence({first}, {last}, 2), i -> {members.test(core)}), "
+            f"CASE WHEN {last} >= {first} THEN transform(filter({begin}, i -> {members.test(core)}), "
             f"i -> named_struct('piece', {core}, 'place', cast(i as bigint), 'left', {left('i')}, 'right', {right('i', 2 * k - 1)})) END"
         )
     for n in symbol_lengths:
         # A stretch between words, with the last character before and the first one after it.
+        stretch = f"substr(get(runs, j - 1), i, {n})"
         parts.append(
-            f"filter(flatten(transform(filter(sequence(1, size(runs)), j -> length(get(runs, j - 1)) >= "
-            f"{n} AND NOT get(runs, j - 1) rlike {sql_text('^' + WORD_CHAR)}), "
-            f"j -> transform(sequence(1, length(get(runs, j - 1)) - {n - 1}), i -> named_struct("
-            f"'piece', substr(get(runs, j - 1), i, {n}), 'place', -(j * 2147483647L + i), "
+            f"CASE WHEN {_GAP} <= size(runs) THEN flatten(transform("
+            f"filter(sequence({_GAP}, size(runs), 2), j -> length(get(runs, j - 1)) >= {n}), "
+            f"j -> transform(filter(sequence(1, length(get(runs, j - 1)) - {n - 1}), i -> {members.test(stretch)}), "
+            f"i -> named_struct('piece', {stretch}, 'place', -(j * 2147483647L + i), "
             "'left', right(if(i > 1, substr(get(runs, j - 1), i - 1, 1), coalesce(get(runs, j - 2), '')), 1), "
             f"'right', left(if(i + {n} <= length(get(runs, j - 1)), substr(get(runs, j - 1), i + {n}, 1), "
-            f"coalesce(get(runs, j), '')), 1))))), p -> {members.test('p.piece')})"
+            "coalesce(get(runs, j), '')), 1))))) END"
         )
     empty = "cast(array() as array<struct<piece:string,place:bigint,left:string,right:string>>)"
     filled = [f"coalesce({p}, {empty})" for p in parts]
@@ -164,24 +190,26 @@ def detect_values(units: DataFrame, values: DataFrame, require_reason: bool = Fa
     known = _with_rule_columns(values).filter(F.col("value") != "").distinct()
     parts = materialise(_parts(known.withColumn("core", _core(F.col("value")))), "values")
     pieces = _line_pieces(units, parts, require_reason)
-    # Heads and tails of a value belong together if the tail stands as far back as it should.
-    here = _meet(pieces, parts).groupBy(
+    whole = stands_whole(F.col("value"), F.col("core"), F.col("left"), F.col("right"))
+    # A part that is the whole core is judged where it stands, before anything is shuffled. Heads and tails of a value belong together if the tail stands as far back as it should.
+    here = _meet(pieces, parts).filter((F.col("role") != "whole") | whole).groupBy(
         *LINE_KEY, "attribute", "value", "severity", "category", "core", (F.col("place") - F.col("back")).alias("place")
     ).agg(
         F.max(F.when(F.col("role") != "tail", F.col("left"))).alias("left"),
         F.max(F.when(F.col("role") != "head", F.col("right"))).alias("right"),
     )
-    whole = stands_whole(F.col("value"), F.col("core"), F.col("left"), F.col("right"))
     met = here.filter(F.col("left").isNotNull() & F.col("right").isNotNull()).filter(whole)
     return _as_findings(met.drop("left", "right", "place").distinct(), F.col("value"))
 
 
 def _line_pieces(units: DataFrame, parts: DataFrame, require_reason: bool) -> DataFrame:
-    members = Membership(parts)
+    members = Membership(_filtered(parts))
+    needs = _needs(parts)
+    lines = value_lines(units, require_reason).withColumns({"runs": F.expr(RUNS), "members": members.column})
+    if any(k > START_WORDS for k in needs[0]):
+        lines = lines.withColumn("starts", _starts(members))
     return (
-        value_lines(units, require_reason)
-        .withColumns({"runs": F.expr(RUNS), "members": members.column})
-        .select(*LINE_KEY, F.explode(_pieces(members, *_needs(parts))).alias("p"))
+        lines.select(*LINE_KEY, F.explode(_pieces(members, *needs)).alias("p"))
         .select(*LINE_KEY, "p.*")
     )
 
