@@ -87,8 +87,10 @@ def _branched(spark, sf_dir):
     _BRANCHED, "SELECT DISTINCT repo_id, path, commit_id, ts, sha256(content) AS digest FROM branched",
 ))
 def select_history_full(spark, sf_dir):
-    chosen = un.select_history(_branched(spark, sf_dir), "FULL")
-    return plain(chosen, "repo_id", "path", "commit_id", "ts", F.sha2("content", 256).alias("digest"))
+    """By the digests of the contents: what is kept after the choice needs no more of them."""
+    units = _branched(spark, sf_dir).withColumn("digest", F.sha2("content", 256)).drop("content")
+    chosen = un.select_history(units, "FULL")
+    return plain(chosen, "repo_id", "path", "commit_id", "ts", "digest")
 
 
 @query("select_history_head", q(

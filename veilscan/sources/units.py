@@ -82,8 +82,9 @@ def select_history(
     without the commits in ``seen``.
 
     A unit table holding one row per branch has a ``branch`` column; the branch that
-    stands for a commit is then picked from the narrow key columns and content is
-    never moved.
+    stands for a commit is then picked from the narrow key columns. Units stay in place as
+    long as the commits are few enough to be broadcast; beyond, they are shuffled once with
+    all columns given, so give a digest for the content where that is all one needs.
     """
     if mode == "HEAD":
         heads = head_commits(units) if heads is None else heads
