@@ -7,27 +7,40 @@ does a match that an inline directive covers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilscan.functions import fixed_values as fv, text
 from veilscan.functions.patterns import may_match_sql, spark_pattern, sql_text, text_array
-from veilscan.operators.detect import (
-    ScanConfig, candidate_lines, run_detections, secret_detections, suppression_flags,
-)
+from veilscan.operators.detect import ScanConfig, run_detections, secret_detections, suppression_flags
 from veilscan.operators.findings import with_fingerprint
 from veilscan.operators.govern import open_secret
-from veilscan.operators.lookups import keep_known, lookup_join
+from veilscan.operators.lookups import lookup_join
+from veilscan.operators.values import Membership
+from veilscan.session import materialise
+from veilscan.sources.units import explode_lines
 
 # Equal contents under one path have the same matches, whatever commit they are from.
 FILE = ("repo_id", "path", "digest")
 
 
-def _with_digest(units: DataFrame) -> DataFrame:
-    return units.withColumn("digest", F.sha2("content", 256))
+# A fingerprint names rule, path, line and redacted text: its matches stand there and nowhere else.
+IN_FILE = "repo_id, path"
+IN_LINE = "repo_id, path, cast(line_no as int)"
+
+
+def _with_digest(units: DataFrame, wanted: Column) -> DataFrame:
+    return units.withColumn("digest", F.when(wanted, F.sha2("content", 256)))
 
 
 def _open(findings: DataFrame) -> DataFrame:
-    return findings.filter(open_secret()).select("repo_id", "fingerprint").distinct()
+    """The open secrets, once: repo_id, fingerprint, path, line_no."""
+    return materialise(findings.filter(open_secret()).select("repo_id", "fingerprint", "path", "line_no").distinct(), "open")
+
+
+def _files_of(wanted: DataFrame) -> Column:
+    """May a unit hold one of the wanted secrets, going by its repository and path? What the filter
+    lets through by chance is judged like the rest."""
+    return Membership(wanted, IN_FILE).column_test()
 
 
 def _gaps(pattern: str) -> str:
@@ -42,13 +55,21 @@ def _gaps(pattern: str) -> str:
 def open_matches(units: DataFrame, findings: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Where the matches of open secrets stand: repo_id, path, digest (of the content), line_no,
     first and after (characters of the line, from 1). ``config`` is that of the scan which found
-    them. Matches leave their task as numbers and fingerprints, and once per distinct content."""
+    them. Only lines in which an open secret was found are searched. Matches leave their task as
+    numbers and fingerprints, and once per distinct content."""
+    wanted = _open(findings)
+    return _places(units, wanted, _files_of(wanted), config)
+
+
+def _places(units: DataFrame, wanted: DataFrame, in_files: Column, config: ScanConfig) -> DataFrame:
     detections = secret_detections(config)
     found = ", ".join(
         f"CASE WHEN {may_match_sql('line', d.rule)} THEN {_gaps(d.rule.pattern)} END" for d in detections
     )
+    # Other units have their content set to null and so give no lines.
+    marked = _with_digest(units, in_files).select(*FILE, F.when(in_files, F.col("content")).alias("content"))
     per_rule = (
-        candidate_lines(_with_digest(units), detections, FILE)
+        explode_lines(marked).filter(Membership(wanted, IN_LINE).column_test())
         .withColumn("off", suppression_flags(config.require_reason))
         .filter("NOT (off.all OR off.secret)")
         .select(*FILE, "line_no", F.posexplode(F.expr(f"array({found})")).alias("rule", "found"))
@@ -69,7 +90,7 @@ def open_matches(units: DataFrame, findings: DataFrame, config: ScanConfig = Sca
     ).drop("rule_id", "redacted_match").distinct()
     so_far = Window.partitionBy(*FILE, "line_no", "rule").orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
     placed = matches.withColumn("after", F.sum("step").over(so_far) + 1).filter("accepted")
-    return keep_known(placed, _open(findings), ["repo_id", "fingerprint"]).select(
+    return placed.join(wanted, ["repo_id", "fingerprint"], "left_semi").select(
         *FILE, "line_no", (F.col("after") - F.col("n")).alias("first"), "after"
     )
 
@@ -112,8 +133,10 @@ def scrub_content(units: DataFrame, findings: DataFrame, config: ScanConfig = Sc
     Places are found in narrow rows; a content meets its own places by the hash of the content,
     by broadcast as long as they are few. Rows without content, repository or path stay.
     """
-    cuts = _cuts(open_matches(units, findings, config))
-    marked = lookup_join(_with_digest(units), cuts, list(FILE), "left")
+    wanted = _open(findings)
+    in_files = _files_of(wanted)
+    cuts = _cuts(_places(units, wanted, in_files, config))
+    marked = lookup_join(_with_digest(units, in_files), cuts, list(FILE), "left")
     lines = F.when(F.col("cuts").isNotNull(), F.split("content", "\n", -1))
     cleaned = F.when(F.col("cuts").isNotNull(), F.expr(_CLEAN)).otherwise(F.col("content"))
     return marked.withColumn("lines", lines).withColumn("content", cleaned).select(*units.columns)
@@ -127,10 +150,11 @@ def remaining_secrets(scrubbed: DataFrame, config: ScanConfig = ScanConfig()) ->
 
 def remaining_open(scrubbed: DataFrame, findings: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Re-scan after a scrub: per repository with open secrets, how many of their matches are
-    left. A scrub is verified if all are 0."""
+    left. A scrub is verified if all are 0. Only files in which they were found can hold them."""
     wanted = _open(findings)
-    left = with_fingerprint(run_detections(scrubbed, secret_detections(config), config.require_reason))
-    counts = keep_known(left, wanted, ["repo_id", "fingerprint"]).groupBy("repo_id").agg(F.count("*").alias("n"))
+    files = scrubbed.filter(_files_of(wanted))
+    left = with_fingerprint(run_detections(files, secret_detections(config), config.require_reason))
+    counts = left.join(wanted, ["repo_id", "fingerprint"], "left_semi").groupBy("repo_id").agg(F.count("*").alias("n"))
     return wanted.select("repo_id").distinct().join(counts, "repo_id", "left").select(
         "repo_id", F.coalesce("n", F.lit(0)).alias("remaining")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan.functions import fixed_values as fv, text
@@ -27,8 +29,12 @@ def value_lines(units: DataFrame, require_reason: bool = False) -> DataFrame:
     return lines.drop("prev_line").filter(F.col("line") != "")
 
 
-RUNS = f"regexp_extract_all(line, {sql_text(fv.WORD_TOKEN + '|' + fv.NON_WORD_RUN)}, 0)"
 WORD_CHAR = r"[\p{L}\p{Nd}_]"
+# What lies between the words of a line and the words, in turns: words have the even places from 2 on.
+RUNS = (
+    f"concat(if(line rlike {sql_text('^' + WORD_CHAR)}, array(''), cast(array() as array<string>)), "
+    f"regexp_extract_all(line, {sql_text(fv.WORD_TOKEN + '|' + fv.NON_WORD_RUN)}, 0))"
+)
 
 
 class Membership:
@@ -36,11 +42,12 @@ class Membership:
     holds one byte per slot, 1 where the hash of a known piece falls. Whatever it lets through by
     chance (about one in ``SLOTS_PER_VALUE`` up to 2^18 pieces, more beyond) the join drops."""
 
-    def __init__(self, known: DataFrame) -> None:
+    def __init__(self, known: DataFrame, piece: str = "piece") -> None:
+        self.piece = piece
         least, most = FILTER_SLOTS
         rows = known.count()
         self.slots = min(most, max(least, 1 << (SLOTS_PER_VALUE * rows).bit_length()))
-        slot = F.expr(self._slot("piece"))
+        slot = F.expr(self._slot(piece))
         found = known.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
         )
@@ -58,6 +65,10 @@ class Membership:
         """For a row with this filter in the column ``members``."""
         return f"substring(members, cast({self._slot(piece)} as int), 1) = X'01'"
 
+    def column_test(self) -> Column:
+        """For a row with the columns of a known piece."""
+        return F.substring(self.column, F.expr(f"cast({self._slot(self.piece)} as int)"), F.lit(1)) == F.expr("X'01'")
+
 
 _BITS_OF = [bytes(b >> k & 1 for k in range(8)) for b in range(256)]
 
@@ -98,66 +109,66 @@ def _filtered(parts: DataFrame) -> DataFrame:
     return parts.select("piece").unionByName(starts)
 
 
-def _needs(parts: DataFrame) -> tuple[list[int], list[int], int, int]:
-    """Which powers of two of words occur, the lengths of values without words, and how many
-    characters values have before and after their cores."""
+class Needs(NamedTuple):
+    """Which powers of two of words occur, how long single words are, the lengths of values without
+    words, and how many characters values have before and after their cores."""
+
+    words: list[int]
+    shortest: int
+    longest: int
+    symbols: list[int]
+    before: int
+    after: int
+
+
+def _needs(parts: DataFrame) -> Needs:
     at = F.instr(F.col("value"), F.col("core")) - 1
+    single = F.when(F.col("size") == 1, F.length("piece"))
     row = parts.agg(
         F.array_sort(F.collect_set(F.when(F.col("size") > 0, F.col("size")))).alias("words"),
+        F.coalesce(F.min(single), F.lit(0)).alias("shortest"), F.coalesce(F.max(single), F.lit(0)).alias("longest"),
         F.array_sort(F.collect_set(F.when(F.col("size") == 0, F.length("value")))).alias("symbols"),
-        F.max(at).alias("before"), F.max(F.length("value") - F.length("core") - at).alias("after"),
+        F.coalesce(F.max(at), F.lit(0)).alias("before"),
+        F.coalesce(F.max(F.length("value") - F.length("core") - at), F.lit(0)).alias("after"),
     ).first()
-    return row["words"], row["symbols"], row["before"] or 0, row["after"] or 0
+    return Needs(**row.asDict())
 
 
-# Words and what lies between them take turns in ``runs``: the first of either.
-_FIRST = f"if(runs[0] rlike {sql_text('^' + WORD_CHAR)}, 1, 2)"
-_GAP = f"(3 - {_FIRST})"
+def _promising(members: Membership, needs: Needs) -> str:
+    """Could a part of a known value begin in this run? Of longer parts the first words are sought."""
+    tests = []
+    if 1 in needs.words:  # the length is tested before the hash
+        tests.append(f"(place % 2 = 0 AND length(run) BETWEEN {needs.shortest} AND {needs.longest} AND {members.test('run')})")
+    if max(needs.words, default=0) >= START_WORDS:
+        start = f"array_join(slice(runs, place, {2 * START_WORDS - 1}), '')"
+        tests.append(f"(place % 2 = 0 AND place + {2 * (START_WORDS - 1)} <= size(runs) AND {members.test(start)})")
+    if needs.symbols:
+        tests.append(f"(place % 2 = 1 AND length(run) >= {min(needs.symbols)})")
+    return " OR ".join(tests) or "false"
 
 
-def _starts(members: Membership) -> Column:
-    """Where in ``runs`` the first words of a longer part may stand."""
-    last = f"size(runs) - {2 * (START_WORDS - 1)}"
-    two = "concat(get(runs, i - 1), get(runs, i), get(runs, i + 1))"
-    found = f"filter(sequence({_FIRST}, {last}, 2), i -> {members.test(two)})"
-    return F.expr(f"CASE WHEN {last} >= {_FIRST} THEN {found} ELSE cast(array() as array<int>) END")
-
-
-def _pieces(
-    members: Membership, word_counts: list[int], symbol_lengths: list[int], before: int, after: int
-) -> Column:
-    """The stretches of a line that could be a part of a known value and pass its filter, each with
-    its place and the few characters before and after it that decide whether the value stands
+def _pieces(members: Membership, needs: Needs) -> Column:
+    """The stretches that begin in a run, could be a part of a known value and pass its filter, each
+    with its place and the few characters before and after it that decide whether the value stands
     there: runs of as many words as some part has, with what lies between them; and, for values
     without words, the stretches of their length between words. The line itself stays behind."""
-    first = _FIRST
-
-    def left(i: str) -> str:
-        return f"right(concat(coalesce(get(runs, {i} - 3), ''), coalesce(get(runs, {i} - 2), '')), {before + 1})"
-
-    def right(i: str, k: int) -> str:
-        return f"left(concat(coalesce(get(runs, {i} - 1 + {k}), ''), coalesce(get(runs, {i} + {k}), '')), {after + 1})"
-
     parts = []
-    for k in word_counts:
-        last = f"size(runs) - {2 * (k - 1)}"
-        core = "get(runs, i - 1)" if k == 1 else f"array_join(slice(runs, i, {2 * k - 1}), '')"
-        begin = f"filter(starts, i -> i <= {last})" if k > START_WORDS else f"sequence({first}, {last}, 2)"
+    for k in needs.words:
+        core = f"array_join(slice(near, 1, {2 * k - 1}), '')"
+        right = f"left(concat(coalesce(get(near, {2 * k - 1}), ''), coalesce(get(near, {2 * k}), '')), {needs.after + 1})"
         parts.append(
-            f"CASE WHEN {last} >= {first} THEN transform(filter({begin}, i -> {members.test(core)}), "
-            f"i -> named_struct('piece', {core}, 'place', cast(i as bigint), 'left', {left('i')}, 'right', {right('i', 2 * k - 1)})) END"
+            f"CASE WHEN place % 2 = 0 AND size(near) >= {2 * k - 1} AND {members.test(core)} THEN array(named_struct("
+            f"'piece', {core}, 'place', cast(place as bigint), 'left', before, 'right', {right})) END"
         )
-    for n in symbol_lengths:
+    for n in needs.symbols:
         # A stretch between words, with the last character before and the first one after it.
-        stretch = f"substr(get(runs, j - 1), i, {n})"
+        stretch = f"substr(near[0], i, {n})"
         parts.append(
-            f"CASE WHEN {_GAP} <= size(runs) THEN flatten(transform("
-            f"filter(sequence({_GAP}, size(runs), 2), j -> length(get(runs, j - 1)) >= {n}), "
-            f"j -> transform(filter(sequence(1, length(get(runs, j - 1)) - {n - 1}), i -> {members.test(stretch)}), "
-            f"i -> named_struct('piece', {stretch}, 'place', -(j * 2147483647L + i), "
-            "'left', right(if(i > 1, substr(get(runs, j - 1), i - 1, 1), coalesce(get(runs, j - 2), '')), 1), "
-            f"'right', left(if(i + {n} <= length(get(runs, j - 1)), substr(get(runs, j - 1), i + {n}, 1), "
-            "coalesce(get(runs, j), '')), 1))))) END"
+            f"CASE WHEN place % 2 = 1 AND length(near[0]) >= {n} THEN "
+            f"transform(filter(sequence(1, length(near[0]) - {n - 1}), i -> {members.test(stretch)}), "
+            f"i -> named_struct('piece', {stretch}, 'place', -(place * 2147483647L + i), "
+            "'left', right(if(i > 1, substr(near[0], i - 1, 1), before), 1), "
+            f"'right', left(if(i + {n} <= length(near[0]), substr(near[0], i + {n}, 1), coalesce(get(near, 1), '')), 1))) END"
         )
     empty = "cast(array() as array<struct<piece:string,place:bigint,left:string,right:string>>)"
     filled = [f"coalesce({p}, {empty})" for p in parts]
@@ -203,13 +214,19 @@ def detect_values(units: DataFrame, values: DataFrame, require_reason: bool = Fa
 
 
 def _line_pieces(units: DataFrame, parts: DataFrame, require_reason: bool) -> DataFrame:
-    members = Membership(_filtered(parts))
-    needs = _needs(parts)
+    """One row per run, most of which the filter drops at once: a test per row is compiled, one per
+    element of an array would be interpreted."""
+    members, needs = Membership(_filtered(parts)), _needs(parts)
     lines = value_lines(units, require_reason).withColumns({"runs": F.expr(RUNS), "members": members.column})
-    if any(k > START_WORDS for k in needs[0]):
-        lines = lines.withColumn("starts", _starts(members))
+    # Of a bare column Spark would first ask for its size, and take the line apart twice for it.
+    runs = F.slice("runs", F.lit(1), F.size("runs"))
+    before = f"right(concat(coalesce(get(runs, place - 3), ''), coalesce(get(runs, place - 2), '')), {needs.before + 1})"
+    near = f"slice(runs, place, {2 * max(needs.words, default=0) + 2})"
     return (
-        lines.select(*LINE_KEY, F.explode(_pieces(members, *needs)).alias("p"))
+        lines.select(*LINE_KEY, "runs", "members", F.posexplode(runs).alias("pos", "run"))
+        .withColumn("place", F.col("pos") + 1).filter(_promising(members, needs))
+        .select(*LINE_KEY, "members", "place", F.expr(before).alias("before"), F.expr(near).alias("near"))
+        .select(*LINE_KEY, F.explode(_pieces(members, needs)).alias("p"))
         .select(*LINE_KEY, "p.*")
     )
 
