@@ -40,7 +40,7 @@ from veilscan.session import materialise
 
 MARK = b"VSTOKEN1"
 END_ID = 0
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 MANIFEST = "shard int, width int, n_docs long, n_tokens long, ids_file string, index_file string"
 
 
@@ -114,10 +114,10 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         unsure = _UNSURE.search(piece)
         if piece[:1] == " " and not unsure:  # most pieces are a space and a word, with or without a mark
-            if piece[1:].isalpha():
-                return self.word(piece)
+            if piece[1:].isalpha():  # remembered as a piece, and only so
+                return self.merged(piece)
             if piece[1:-1].isalpha() and piece[-1] in ".,;:!?":
-                return self.word(piece[:-1]) + self.word(piece[-1])
+                return self.memory[piece[1:-1]] + self.word(piece[-1])
         if unsure:
             return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.word, _WORDS.findall(piece)))
@@ -125,12 +125,15 @@ class Encoder:
     def word(self, word: str) -> bytes:
         known = self.words.get(word)
         if known is None:
-            letters = word.encode().decode("latin-1").translate(_LETTERS)
-            known = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            known = self.merged(word)
             if len(word) <= 256:
                 self.words[word] = known
         return known
 
+    def merged(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(_LETTERS)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
 
 # All white space, the space first. Looking for each in turn is faster than a pattern for all.
 _SPACES = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
